@@ -129,9 +129,10 @@ def _pack(capacity: int, reopen: float, last: bool, first_id: int):
         from pyspark import TaskContext
 
         base = (first_id + TaskContext.get().partitionId()) << 32
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
+        table = pa.Table.from_batches(got)
         seq, offset, fill = packed(table.column("length").to_numpy(), capacity)
         done = (fill[seq] >= (1 - reopen) * capacity) | last
         out = table.select(["uid", "length"]).append_column("sequence_id", pa.array(np.where(done, base + seq, -1))).append_column("offset", pa.array(np.where(done, offset, 0)))
