@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels with pointer jumping. Nothing but counts reaches the driver."""
+"""Connected components of an edge table by hooking roots and full pointer jumping. Only emptiness tests reach the driver."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _ends(parent: DataFrame) -> DataFrame:
+    """(id, root) with every root followed to the end of its chain; the steps double, so long chains take few."""
+    while True:
+        up = parent.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        jumped = cut(parent.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved")))
+        parent = jumped.select("id", "root")
+        if jumped.where("moved").isEmpty():
+            return parent
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for every end of edges (a, b): root is the smallest id reachable.
 
-    Each round, a node takes the smallest label among itself and its neighbours, then the label of its label; both
-    at least halve the height of star-like components. Sums are pre-aggregated, so a node with many edges costs one
-    row per task. Edges whose ends already share a label leave the table.
+    Each round, every root hooks to the smallest root that an edge joins it to, and chains of hooks are followed to
+    their end. Minima are pre-aggregated, so a node with many edges costs one row per task; edges inside a component
+    leave the table.
     """
     labels = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("root")))
-    edges = cut(edges.select("a", "b").distinct())
+    edges = edges.select("a", "b")
     for _ in range(rounds):
         ends = edges.join(labels.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(labels.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-        links = cut(ends.where("ra <> rb").select(F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi")).distinct())
+        links = cut(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if links.isEmpty():
             return labels
-        # every root hooks to the smallest root it touches, then labels follow to the end of the chain
-        hook = links.groupBy(F.col("hi").alias("root")).agg(F.min("lo").alias("to"))
-        for _ in range(2):
-            up = hook.select(F.col("root").alias("to"), F.col("to").alias("to2"))
-            hook = hook.join(up, "to", "left").select("root", F.coalesce("to2", "to").alias("to"))
-        labels = cut(labels.join(hook, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-        edges = links.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+        hook = _ends(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")))
+        labels = cut(labels.join(hook.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        edges = links
     raise RuntimeError("components did not settle")
