@@ -109,9 +109,15 @@ def unescaped(text: Column) -> Column:
 
 
 def _role(role: Column) -> Column:
+    """A role in one line: a line break becomes backslash, n, which doubling leaves free."""
     return F.replace(escaped(role), F.lit("\n"), F.lit("\\n"))
 
 
+def _unrole(role: Column) -> Column:
+    """Backslash, n is a line break only after an even number of backslashes."""
+    return unescaped(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
+
+
 def formatted(turns: Column, trained=("assistant",)) -> Column:
     """struct(text, mask): the formatted string and (start, end, loss) per turn, in one pass over the turns."""
     each = F.transform(turns, lambda t: F.struct(F.concat(F.lit(START), _role(t["role"]), F.lit("\n")).alias("head"), escaped(t["text"]).alias("body"), t["role"].isin(*trained).alias("loss")))
@@ -132,7 +138,7 @@ def read_back(text: Column) -> Column:
     parts = F.filter(F.split(text, r"<\|im_end\|>\n", -1), lambda p: p != "")
     body = lambda p: F.substr(p, F.locate("\n", p) + 1)
     role = lambda p: F.substr(p, F.lit(len(START) + 1), F.locate("\n", p) - len(START) - 1)
-    return F.transform(parts, lambda p: F.struct(unescaped(F.replace(role(p), F.lit("\\n"), F.lit("\n"))).alias("role"), unescaped(body(p)).alias("text"), F.length(body(p)).alias("chars"), F.length(p).alias("all_chars")))
+    return F.transform(parts, lambda p: F.struct(_unrole(role(p)).alias("role"), unescaped(body(p)).alias("text"), F.length(body(p)).alias("chars"), F.length(p).alias("all_chars")))
 
 
 def conversations(rows: DataFrame) -> DataFrame:
