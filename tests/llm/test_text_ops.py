@@ -1,0 +1,352 @@
+"""PII, quality rules, toxicity, byte-level BPE, packing: brute force, edge cases."""
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, packing, pii, quality_rules, site_quality, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, h int, score string"
+LONG = ("word " * 20000 + "mail a@b.co " + "9" * 5000).strip()
+EDGE = [None, "", " ", "\n\n", "a", "x" * 5000, LONG, "déjà vu naïve 漢字 😀 text", "same text here", "same text here", "a@b.c@d.e.f", "1.2.3.4.5.6.7.8", "999.1.1.1 00001.2.3.4", "+1 (234) 555-0199 4111 1111 1111 1111", "4111-1111-1111-1111-5", "+12345678901234567890", "tab\tsep\x0bvt\x0cff\x1cfs nb"]
+
+
+def frame(spark, texts, ids=None):
+    rows = [(i if ids is None else ids[i], t, "en", f"src{i % 2}" if i % 5 else None, None if t is None else len(t), "u", 1, "s") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def sample(sf_dir, n=120):
+    import duckdb
+
+    return [r[0] for r in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet' ORDER BY doc_id LIMIT {n}").fetchall()]
+
+
+# --- PII ---------------------------------------------------------------------------------------------------------
+
+
+def literal_spans(t):
+    """The rules as written, by plain regular expressions."""
+    t, out = t or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[ -]", "", m[0])
+        if 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_match_the_rules():
+    r = random.Random(7)
+    texts = EDGE[1:6] + EDGE[7:] + ["".join(r.choice("a1.@-+% ()2é\n0945") for _ in range(r.randint(0, 60))) for _ in range(4000)]
+    for t in texts:
+        assert pii.base_spans(t or "") == literal_spans(t)
+
+
+def test_long_runs_are_linear():
+    for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + "." * 300_000, "a." * 150_000 + "@", "@a" * 150_000):
+        pii.base_spans(t)
+
+
+def brute_terms(texts, alpha=pii.ALPHA):
+    """Disclosing (entity, term) pairs by plain counting."""
+    from collections import defaultdict
+    from math import log2
+
+    n = len(texts)
+    near = [{(e, t) for e, t, _, _ in pii.context_terms(x or "", pii.base_spans(x or ""))} for x in texts]
+    df = defaultdict(int)
+    for x in texts:
+        for w in {w.strip(pii.STRIP) for w in (x or "").lower().encode().split()}:
+            df[pii._signed(w)] += 1
+    ents, pairs, seen = defaultdict(int), defaultdict(int), defaultdict(set)
+    for x, s in zip(texts, near):
+        for e in {e for e, _ in s}:
+            ents[e] += 1
+        for p in s:
+            pairs[p] += 1
+            seen[p].add(x)
+    out = set()
+    for (e, t), k in pairs.items():
+        ic = log2(n / ents[e])
+        if len(seen[e, t]) >= 2 and ic > 0 and log2(k * n / (ents[e] * df[t])) >= ic / alpha - 1e-12:
+            out.add((e, t))
+    return out
+
+
+def test_disclosing_terms(spark):
+    filler = [f"the quiet river runs past house number w{i} and the old mill" for i in range(60)]
+    texts = filler + ["the man Zorblat wrote from joe@corp.com about the mill", "again the man Zorblat mailed joe@corp.com of the river", None, "", "joe@corp.com alone"]
+    want = brute_terms(texts)
+    docs = frame(spark, texts)
+    rows = {r.doc_id: r for r in pii.find(docs).collect()}
+    got = set()
+    for i, x in enumerate(texts):
+        spans = {(s["start"], s["end"]) for s in rows[i].terms or []}
+        expect = {(a, b) for e, t, a, b in pii.context_terms(x or "", pii.base_spans(x or "")) if (e, t) in want}
+        assert spans == expect
+        got |= {x[a:b] for a, b in spans}
+    assert "Zorblat" in got and "the" not in got
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "joe@corp.com" not in "".join(t or "" for t in clean.values()) and "Zorblat" not in clean[60] and clean[62] is None and clean[0] == texts[0]
+
+
+def test_pii_report_edges(spark):
+    docs = frame(spark, EDGE)
+    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    for i, t in enumerate(EDGE):
+        spans = literal_spans(t) if t != LONG else pii.base_spans(t)
+        joined = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert rows[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [x for x in rows[i].spans.split(",") if x and not x.startswith("term")] == [x for x in joined.split(",") if x]
+        assert (rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone) == tuple(sum(k == j for _, k, _ in spans) for j in range(4))
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and out.count() == len(EDGE)
+    assert pii.report(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
+    assert pii.report(frame(spark, ["a@b.co"] * 3, [None, 1, 1])).count() == 3
+
+
+# --- quality rules ------------------------------------------------------------------------------------------------
+
+
+def brute_quality(rows, line_docs):
+    """rows: (text, host). Base measures and verdicts by loops."""
+    ws = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    norm = lambda line: " ".join(ws(line)).lower()
+    lines = [[x for x in (t or "").split("\n") if ws(x)] for t, _ in rows]
+
+    def common(votes):
+        seen = {}
+        for (t, h), ls, v in zip(rows, lines, votes):
+            for x in {norm(x) for x in ls} if v is True else v or ():
+                seen.setdefault((h, x), set()).add(t or "")
+        return {k for k, s in seen.items() if len(s) > line_docs}
+
+    one = common([True] * len(rows))
+    share = [sum(len(x) for x in ls if (h, norm(x)) in one) / max(1, sum(map(len, ls))) for (t, h), ls in zip(rows, lines)]
+    two = common([{norm(x) for x in ls if (h, norm(x)) in one} if 1 - s >= quality_rules.VOTE_SHARE else None for (t, h), ls, s in zip(rows, lines, share)])
+    out = []
+    for (t, h), ls in zip(rows, lines):
+        w = ws(t)
+        grams = {}
+        for i in range(len(w) - 7):
+            grams.setdefault(tuple(w[i : i + 8]), []).append(i)
+        covered = {j for g in grams.values() if len(g) > 1 for i in g for j in range(i, i + 8)}
+        lost = sum(len(x) for x in ls if (h, norm(x)) in two)
+        total = sum(map(len, ls))
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        out.append((len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), len(covered), failed, not failed and not (lost and total - lost < quality_rules.KEEP_SHARE * total), lost))
+    return out
+
+
+def quality_texts():
+    r = random.Random(2)
+    body = lambda n: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(r.randint(0, 99)) for _ in range(n))
+    nav = "Home | About | Contact us today for more"
+    texts = [f"{nav}\n{body(60)}\n{body(30)}" for _ in range(9)] + [f"  home |  about | CONTACT us today for more \n{body(50)}" for _ in range(3)]
+    texts += [nav + "\n" + nav + "\n" + "short own line of a few extra words now and then it ends here ok fine", "\n".join([nav] * 6)] * 2
+    navs = [f"menu {k}1 item {k}2 number {k}3 of {k}4 this {k}5 fine site" for k in "abcd"]
+    texts += [n + "\n" + body(60) for n in navs for _ in range(24)] + ["\n".join(navs)] * 5
+    copies = "\n".join(body(25) for _ in range(5))
+    texts += [copies + f"\n{i}" for i in range(8)] + [copies] * 4 + [body(40) + " " + "one two three four five six seven eight " * 3]
+    return texts + EDGE
+
+
+def test_quality_against_loops(spark):
+    texts = quality_texts()
+    docs = frame(spark, texts)
+    hosts = [r.source for r in docs.orderBy("doc_id").select("source").collect()]
+    want = brute_quality(list(zip(texts, hosts)), 3)
+    got = quality_rules.judged(docs, line_docs=3)[0].orderBy("doc_id").select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars").collect()
+    assert [tuple(g) for g in got] == want
+    assert any(w[7] for w in want), Counter((w[5], w[6], w[7] > 0) for w in want)
+    assert any(w[7] and not w[6] and not w[5] for w in want), [w for w in want if w[7] and not w[6]]
+
+
+def test_quality_real_texts(spark, sf_dir):
+    texts = sample(sf_dir)
+    got = quality_rules.report(frame(spark, texts)).orderBy("doc_id").drop("doc_id").collect()
+    hosts = [f"src{i % 2}" if i % 5 else None for i in range(len(texts))]
+    assert [tuple(g) for g in got] == brute_quality(list(zip(texts, hosts)), quality_rules.LINE_DOCS)
+
+
+def test_quality_clean(spark):
+    texts = quality_texts()
+    docs = frame(spark, texts)
+    out = quality_rules.clean(docs)
+    assert out.columns == docs.columns
+    kept = {r.doc_id for r in quality_rules.judged(docs)[0].where("kept").collect()}
+    assert {r.doc_id for r in out.collect()} == kept
+    assert quality_rules.clean(docs.limit(0)).count() == 0 and quality_rules.report(docs.limit(0)).count() == 0
+
+
+# --- toxicity, site quality ----------------------------------------------------------------------------------------
+
+
+def labelled(spark, n=1500):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(n):
+        bad = r.random() < 0.2
+        ws = [r.choice("the a river house green runs slowly over table near you".split()) for _ in range(r.randint(20, 80))]
+        for _ in range(r.randint(2, 5) if bad else 0):
+            ws[r.randrange(len(ws))] = r.choice(["idiot", "moron,", "ID1OT", "pathetic", "scum!"])
+        rows.append(" ".join(ws))
+        labels.append((i, 1 - int(bad), int(bad)))
+    return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = labelled(spark)
+    got = {r.doc_id: r for r in toxicity.report(docs, labels).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    held = [(truth[i], r.predicted) for i, r in got.items() if r.held_out]
+    assert np.mean([a == b for a, b in held]) > 0.97 and len(held) > 200
+    kept = {r.doc_id for r in toxicity.clean(docs, labels).collect()}
+    assert kept == {i for i, r in got.items() if not r.predicted}
+
+
+def test_toxicity_never_sees_held_out_labels(spark):
+    docs, labels = labelled(spark, 600)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a = {r.doc_id: r.score for r in toxicity.report(docs, labels).collect()}
+    assert a == {r.doc_id: r.score for r in toxicity.report(docs, flipped).collect()}
+
+
+def test_toxicity_edges(spark):
+    docs = frame(spark, EDGE, [None, *range(1, len(EDGE) - 1), 1])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = toxicity.report(docs, none).collect()
+    assert len(got) == len(EDGE) and all(r.score == 0.5 for r in got)
+    assert toxicity.clean(docs.limit(0), none).columns == docs.columns
+    messy = spark.createDataFrame([(1, 1, None), (None, 1, 1), (5, 1, 0), (6, 0, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.report(docs, messy).count() == len(EDGE)
+
+
+def test_isotonic_is_monotone_and_calibrated():
+    r = np.random.default_rng(0)
+    x = r.normal(size=4000)
+    y = (r.random(4000) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    px, py = toxicity.isotonic(x, y)
+    assert (np.diff(py) >= 0).all() and (np.diff(px) >= 0).all()
+    assert abs(np.interp(x, px, py).mean() - y.mean()) < 0.01
+
+
+def test_site_quality(spark):
+    docs, labels = labelled(spark, 800)
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("tiny"), F.col("doc_id"))).otherwise("big"))
+    got = site_quality.report(docs, labels).collect()
+    assert len(got) == 800 and all(0 < r.score < 1 and 0 < r.path_posterior < 1 for r in got)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    assert np.mean([truth[r.doc_id] == r.kept for r in got]) > 0.9
+    edge = frame(spark, EDGE, [None, *range(1, len(EDGE))])
+    assert site_quality.report(edge, labels.limit(0)).count() == len(EDGE)
+    assert site_quality.report(edge.limit(0), labels).count() == 0
+
+
+def test_path_posterior_by_hand(spark):
+    groups = spark.createDataFrame([("a", 10, 9.0), ("b", 10, 1.0), ("c", 10, 5.0)], "g string, n long, s double")
+    m = site_quality.concentration(groups, F.lit(0.5))
+    within, between = 0.25, ((10 * 0.16 * 2) / 2 - 0.25) / 10
+    assert m == pytest.approx(max(1.0, within / between - 1))
+    assert site_quality.concentration(groups.limit(1), F.lit(0.5)) == site_quality.LARGEST
+
+
+# --- byte-level BPE, packing ----------------------------------------------------------------------------------------
+
+RANKS, TOKENIZER = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
+
+
+def reference_encoder():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={}).encode_ordinary
+
+
+def test_bpe_matches_a_rank_encoder(spark, sf_dir):
+    r = random.Random(3)
+    alphabet = "ab 's  \n\t\r\x0b\x1c\x85\xa0　éß漢字😀0¼٣.,!LlTt<|endoftext|>​́"
+    texts = sample(sf_dir) + EDGE + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 20))) for _ in range(500)]
+    encode = reference_encoder()
+    for row in bpe.report(frame(spark, texts), RANKS, P.PATTERN).collect():
+        t = texts[row.doc_id] or ""
+        ids = encode(t)
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_bpe_round_trip(spark):
+    docs = frame(spark, EDGE)
+    both = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
+    assert both.columns == [*docs.columns, "ids", "decoded"]
+    for r in both.collect():
+        assert bytes(r.decoded) == (EDGE[r.doc_id] or "").encode() and list(r.ids) == reference_encoder()(EDGE[r.doc_id] or "")
+    assert bpe.report(docs.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_packing_holds_every_id_once(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(TOKENIZER)
+    tk.encode_special_tokens = True
+    texts = sample(sf_dir) + EDGE
+    rows = packing.pack(frame(spark, texts), TOKENIZER, per_task=60).collect()
+    want = {i: [*tk.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for i, ids in want.items():
+        ps = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [p.piece for p in ps] == list(range(len(ps))) and sum(p.length for p in ps) == len(ids)
+        assert len(ps) == -(-len(ids) // 1024) and all(p.length == 1024 for p in ps[1:])
+        for p in ps:
+            assert zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
+    for s in by_seq.values():
+        s.sort(key=lambda r: r.offset)
+        assert all(a.offset + a.length == b.offset for a, b in zip(s, s[1:])) and s[0].offset == 0 and s[-1].offset + s[-1].length <= 1024
+    assert len(by_seq) <= 1.03 * -(-sum(map(len, want.values())) // 1024) + 2
+
+
+def test_sum_of_squares_takes_the_best_gap():
+    r = random.Random(1)
+    p = packing.SumOfSquares(20)
+    for _ in range(400):
+        s = r.randint(1, 20)
+        n = p.counts.copy()
+
+        def after(gap):
+            m = n.copy()
+            m[gap] -= 1
+            if gap > s:
+                m[gap - s] += 1
+            return int((m * m).sum())
+
+        options = [g for g in range(s, 20) if n[g]]
+        seq, gap = p.place(s)
+        assert (gap == 20 and not options) or after(gap) == min(map(after, options))
+        p.put(0 if seq is None else seq, gap, s)
+    sizes = np.array([r.randint(1, 1024) for _ in range(3000)])
+    seq, offset, fill = packing.packed(sizes, 1024)
+    assert fill.max() <= 1024 and fill.sum() == sizes.sum() and len(fill) <= 1.02 * sizes.sum() / 1024 + 1
+
+
+def test_packing_edges(spark):
+    assert packing.pack(frame(spark, []), TOKENIZER).count() == 0
+    got = packing.pack(frame(spark, [None, "", ""], [None, 7, 7]), TOKENIZER).collect()
+    assert len(got) == 3 and {r.sequence_id for r in got} == {got[0].sequence_id} and sorted(r.offset for r in got) == [0, 1, 2]
+    assert packing.pieces_of(2500) == [(0, 452), (452, 1024), (1476, 1024)] and packing.pieces_of(2048) == [(0, 1024), (1024, 1024)] and packing.pieces_of(5) == [(0, 5)]
