@@ -244,9 +244,9 @@ UNION ALL SELECT z::INT, tx, ty, is_leaf, "real", k1, k2, ((k1 + 0.5::DOUBLE) *
     q["g11_leaf_occupancy"] = (lambda s, d: (lambda c: cube.leaf_occupancy(c[0], c[1]).select("nnz", "marks", F.round("occupancy", 9).alias("occupancy")))(_cells(s, d)), _CELLS + " SELECT count(*) AS nnz, count(DISTINCT (z, tx, ty, mki)) AS marks, round(count(*) / (count(DISTINCT (z, tx, ty, mki)) * 84), 9) AS occupancy FROM cells")
     q["c03_layout"] = (lambda s, d: (lambda c: cube.layouts(c[0], c[1], 0.25).select("z", "tx", "ty", "marks", "nnz", "layout"))(_cells(s, d)), _CELLS + " SELECT z::INT AS z, tx, ty, count(DISTINCT mki) AS marks, count(*)::BIGINT AS nnz, CASE WHEN count(*) / (count(DISTINCT mki) * 84) >= 0.25 THEN 'dense' ELSE 'sparse' END AS layout FROM cells GROUP BY z, tx, ty")
     q["c04_sparse"] = (lambda s, d: (lambda c: cube.sparse(c[0], c[2]).select("z", "tx", "ty", F.array_join("offsets", ",").alias("offsets"), F.array_join("cell_ids", ",").alias("cell_ids"), F.array_join(F.transform("sum__qty", lambda v: v.cast("int")), ",").alias("sums")))(_cells(s, d)), _CELLS + ", o AS (SELECT z, tx, ty, mki, count(*) AS k FROM cells GROUP BY ALL), oo AS (SELECT z, tx, ty, '0,' || string_agg(CAST(e AS BIGINT)::VARCHAR, ',' ORDER BY mki) AS offsets FROM (SELECT *, sum(k) OVER (PARTITION BY z, tx, ty ORDER BY mki) AS e FROM o) GROUP BY z, tx, ty) SELECT z::INT AS z, tx, ty, first(offsets) AS offsets, string_agg(cell_id::VARCHAR, ',' ORDER BY mki, cell_id) AS cell_ids, string_agg(sum__qty::INT::VARCHAR, ',' ORDER BY mki, cell_id) AS sums FROM cells JOIN oo USING (z, tx, ty) GROUP BY z, tx, ty")
-    q["c06_prefix"] = (lambda s, d: (lambda c: cube.dense(c[0].where("z <= 3"), c[1], c[2]).select("z", "tx", "ty", "mki", "cell_id", "sum__qty", "cnt", F.when(~F.isnan("max__qty"), F.col("max__qty")).alias("max__qty")))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells WHERE z <= 3), ev AS (SELECT DISTINCT z, tx, ty, mki FROM low), fl AS (SELECT ev.*, r.c::INT AS cell_id, l.sum__qty, l.cnt, l.max__qty FROM ev CROSS JOIN range(0, 84) r(c) LEFT JOIN low l ON (l.z, l.tx, l.ty, l.mki, l.cell_id) = (ev.z, ev.tx, ev.ty, ev.mki, r.c)) SELECT z::INT AS z, tx, ty, mki::INT AS mki, cell_id, sum(coalesce(sum__qty, 0)::DOUBLE) OVER w::FLOAT AS sum__qty, sum(coalesce(cnt, 0)) OVER w::INT AS cnt, max__qty FROM fl WINDOW w AS (PARTITION BY z, tx, ty, mki, cell_id // 28 ORDER BY cell_id)".replace("OVER w::FLOAT", "OVER w").replace("OVER w::INT", "OVER w"))
-    q["c07_range_difference"] = (lambda s, d: (lambda c: cube.range_by_difference(cube.dense(c[0].where("z <= 3"), c[1], c[2]), c[1], c[2][0], 8, 15).select("z", "tx", "ty", "mki", "category", F.col("sum__qty").cast("double").alias("v")))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells WHERE z <= 3) SELECT z::INT AS z, tx, ty, mki::INT AS mki, c::BIGINT AS category, coalesce(sum(sum__qty::DOUBLE) FILTER (WHERE cell_id // 28 = c AND cell_id % 28 BETWEEN 8 AND 15), 0) AS v FROM low CROSS JOIN range(0, 3) r(c) GROUP BY z, tx, ty, mki, c")
-    q["c08_range_extremum"] = (lambda s, d: (lambda c: cube.range_by_difference(cube.dense(c[0].where("z <= 3"), c[1], c[2]), c[1], c[2][2], 8, 15).select("z", "tx", "ty", "mki", "category", "max__qty"))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells WHERE z <= 3) SELECT z::INT AS z, tx, ty, mki::INT AS mki, c::BIGINT AS category, max(max__qty) FILTER (WHERE cell_id // 28 = c AND cell_id % 28 BETWEEN 8 AND 15) AS max__qty FROM low CROSS JOIN range(0, 3) r(c) GROUP BY z, tx, ty, mki, c")
+    q["c06_prefix"] = (lambda s, d: (lambda c: cube.dense(c[0], c[1], c[2]).select("z", "tx", "ty", "mki", "cell_id", "sum__qty", "cnt", F.when(~F.isnan("max__qty"), F.col("max__qty")).alias("max__qty")))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells), ev AS (SELECT DISTINCT z, tx, ty, mki FROM low), fl AS (SELECT ev.*, r.c::INT AS cell_id, l.sum__qty, l.cnt, l.max__qty FROM ev CROSS JOIN range(0, 84) r(c) LEFT JOIN low l ON (l.z, l.tx, l.ty, l.mki, l.cell_id) = (ev.z, ev.tx, ev.ty, ev.mki, r.c)) SELECT z::INT AS z, tx, ty, mki::INT AS mki, cell_id, sum(coalesce(sum__qty, 0)::DOUBLE) OVER w::FLOAT AS sum__qty, sum(coalesce(cnt, 0)) OVER w::INT AS cnt, max__qty FROM fl WINDOW w AS (PARTITION BY z, tx, ty, mki, cell_id // 28 ORDER BY cell_id)".replace("OVER w::FLOAT", "OVER w").replace("OVER w::INT", "OVER w"))
+    q["c07_range_difference"] = (lambda s, d: (lambda c: cube.range_by_difference(cube.dense(c[0], c[1], c[2]), c[1], c[2][0], 8, 15).select("z", "tx", "ty", "mki", "category", F.col("sum__qty").cast("double").alias("v")))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells) SELECT z::INT AS z, tx, ty, mki::INT AS mki, c::BIGINT AS category, coalesce(sum(sum__qty::DOUBLE) FILTER (WHERE cell_id // 28 = c AND cell_id % 28 BETWEEN 8 AND 15), 0) AS v FROM low CROSS JOIN range(0, 3) r(c) GROUP BY z, tx, ty, mki, c")
+    q["c08_range_extremum"] = (lambda s, d: (lambda c: cube.range_by_difference(cube.dense(c[0], c[1], c[2]), c[1], c[2][2], 8, 15).select("z", "tx", "ty", "mki", "category", "max__qty"))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells) SELECT z::INT AS z, tx, ty, mki::INT AS mki, c::BIGINT AS category, max(max__qty) FILTER (WHERE cell_id // 28 = c AND cell_id % 28 BETWEEN 8 AND 15) AS max__qty FROM low CROSS JOIN range(0, 3) r(c) GROUP BY z, tx, ty, mki, c")
     q["b10_witness"] = (lambda s, d: cube.witness(_cells(s, d)[0]), _CELLS + " SELECT z::INT AS z, tx, ty, sum(cnt)::BIGINT AS facts FROM cells GROUP BY z, tx, ty")
     q["q01_fold_equals"] = (_view_fold(["total", "weighted", "top_flag"], fold.Context({"status": "O"})), _TILEFACTS + ", " + _fold_sql(["total", "weighted", "top_flag"], "status = 'O'", _MK))
     q["q01_fold_range"] = (_view_fold(list(MEASURES), CONTEXT), _TILEFACTS + ", " + _fold_sql(list(MEASURES), _CTX, _MK))
