@@ -224,12 +224,16 @@ def over_facts(a: Agg, where: Column | None = None) -> Column:
     return F.min(value) if a.verb == "min" else F.max(value)
 
 
-def flat(e: Agg | Share, source=over_partials) -> Column:
-    """A measure that one grouping by mark can compute."""
+def flat(e: Agg | Share, source=over_partials, inside: Column | None = None) -> Column:
+    """A measure that one grouping by mark can compute, over the rows inside a context."""
+
+    def kept(w: Where | None) -> Column | None:
+        own = None if w is None else F.col(w.channel) == w.value
+        return own if inside is None else inside if own is None else inside & own
+
     if isinstance(e, Share):
-        part = source(e.inner, F.col(e.where.channel) == e.where.value)
-        return F.coalesce(part, F.lit(0.0)) / F.nullif(source(e.inner), F.lit(0.0))
-    return source(e, F.col(e.where.channel) == e.where.value if e.where else None)
+        return F.coalesce(source(e.inner, kept(e.where)), F.lit(0.0)) / F.nullif(source(e.inner, kept(None)), F.lit(0.0))
+    return source(e, kept(e.where))
 
 
 def extreme(value: Column, by: Column, largest: bool = True) -> Column:

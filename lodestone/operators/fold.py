@@ -69,20 +69,22 @@ def mark_filters(df: DataFrame, filters: dict[str, str], temporal) -> DataFrame:
     return df
 
 
-def tail(cells: DataFrame, marks: DataFrame, keys, measures: dict[str, Expr], ctx: Context, grain) -> DataFrame:
+def tail(cells: DataFrame, keys, measures: dict[str, Expr], ctx: Context, grain) -> DataFrame:
     """Every mark with its measures, null where nothing of it survives. cells: keys, grain, partials.
 
-    Arg measures return the dimension's value; code it with `coded_values`.
+    One grouping computes all flat measures: cells outside the context only keep their mark. Arg measures return the
+    dimension's value (code it with `coded_values`) and take a grouping by dimension each.
     """
-    inside = cells.where(predicate(ctx, grain, dict(cells.dtypes)))
+    inside = F.coalesce(predicate(ctx, grain, dict(cells.dtypes)), F.lit(False))
     plain = {n: t for n, t in measures.items() if not isinstance(t, ArgExtreme)}
-    out = inside.groupBy(*keys).agg(*[flat(t).alias(n) for n, t in plain.items()], F.lit(True).alias("alive"))
+    out = cells.groupBy(*keys).agg(F.bool_or(inside).alias("alive"), *[flat(t, inside=inside).alias(n) for n, t in plain.items()])
+    out = out.withColumns({n: F.when(F.col("alive"), F.col(n)) for n in plain}) if plain else out
     for name, t in measures.items():
         if isinstance(t, ArgExtreme):
-            inner = inside.groupBy(*keys, t.dimension).agg(over_partials(t.inner, None if t.inner.where is None else F.col(t.inner.where.channel) == t.inner.where.value).alias("iv"))
+            inner = cells.where(inside).groupBy(*keys, t.dimension).agg(flat(t.inner).alias("iv"))
             best = inner.where(F.col("iv").isNotNull() & ~F.isnan("iv")).groupBy(*keys).agg(extreme(F.col(t.dimension), F.col("iv"), t.largest).alias(name))
             out = out.join(best, list(keys), "left")
-    return marks.join(out, list(keys), "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
+    return out.select(*keys, *measures, "alive")
 
 
 def coded_values(df: DataFrame, column: str, domain: DataFrame) -> DataFrame:
@@ -126,22 +128,20 @@ def requested(spark, tiles) -> DataFrame:
     return spark.createDataFrame([tuple(map(int, t)) for t in tiles], "z int, tx long, ty long")
 
 
-def cells_of(facts: DataFrame, root: Bbox, tiles, grain, parts: list[Partial]) -> tuple[DataFrame, DataFrame]:
-    """(marks, cells) of the requested tiles from facts (x, y, zreal, channels). One plan for all zooms."""
+def cells_of(facts: DataFrame, root: Bbox, tiles, grain, parts: list[Partial]) -> DataFrame:
+    """Cells of the requested tiles from facts (x, y, zreal, channels). One plan for all zooms."""
     tiles = [tuple(map(int, t)) for t in tiles]
     req = requested(facts.sparkSession, tiles)
     used = sorted({c for p in parts for c in (p.channel, p.weight) if c})
     near = indexed(facts.where(viewport_range(root, tiles)).select("x", "y", "zreal", *dict.fromkeys([*grain, *used])), root)
     rows = at_zooms(near, F.array(*[F.lit(z) for z in sorted({t[0] for t in tiles})])).join(F.broadcast(req), list(TILE)).withColumns(mark_keys())
-    cells = rows.groupBy(*MARK, *grain).agg(*[p.from_facts() for p in parts])
-    return cells.select(*MARK).distinct(), cells
+    return rows.groupBy(*MARK, *grain).agg(*[p.from_facts() for p in parts])
 
 
 def fold(facts: DataFrame, root: Bbox, measures: dict[str, Expr], ctx: Context, tiles, grain) -> DataFrame:
     """z, tx, ty, mark key, measures, alive; marks of a tile keep their rows whatever the context."""
     parts = list(dict.fromkeys([*partials(measures.values()), Partial("cnt")]))
-    marks, cells = cells_of(facts, root, tiles, grain, parts)
-    return tail(cells, marks, MARK, measures, ctx, grain)
+    return tail(cells_of(facts, root, tiles, grain, parts), MARK, measures, ctx, grain)
 
 
 def fold_cube(cube: DataFrame, measures: dict[str, Expr], ctx: Context, tiles, grain) -> DataFrame:
@@ -149,7 +149,7 @@ def fold_cube(cube: DataFrame, measures: dict[str, Expr], ctx: Context, tiles, g
     tiles = [tuple(map(int, t)) for t in tiles]
     parts = [p.name for p in partials(measures.values())]
     cells = cube.where(F.col("z").isin(sorted({t[0] for t in tiles}))).join(F.broadcast(requested(cube.sparkSession, tiles)), list(TILE)).select(*MARK, *grain, *parts)
-    return tail(cells, cells.select(*MARK).distinct(), MARK, measures, ctx, grain)
+    return tail(cells, MARK, measures, ctx, grain)
 
 
 def default_context(facts: DataFrame, root: Bbox, measures, tiles, grain) -> DataFrame:

@@ -75,7 +75,7 @@ def _fold_marks(df: DataFrame, measures, ctx) -> DataFrame:
 
     parts = list(dict.fromkeys([*partials(measures.values()), Partial("cnt")]))
     cells = df.groupBy("x", "y", *GRAIN).agg(*[p.from_facts() for p in parts])
-    return _rounded(fold.tail(cells, cells.select("x", "y").distinct(), ["x", "y"], measures, ctx, GRAIN), measures).drop("alive")
+    return _rounded(fold.tail(cells, ["x", "y"], measures, ctx, GRAIN), measures).drop("alive")
 
 
 def _rounded(df: DataFrame, measures) -> DataFrame:
