@@ -133,7 +133,7 @@ def _fold_sql(names, where: str, keys="x, y", src="f", grain=("flag", "status",
 
 
 _CTX = "status = 'O' AND quarter BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'"
-_REQ = "req(z, tx, ty) AS (VALUES " + ", ".join(f"({z}, {x}, {y})" for z, x, y in TILES) + ")"
+_REQ = "req(z, tx, ty) AS (VALUES " + ", ".join(f"({z}::INT, {x}::BIGINT, {y}::BIGINT)" for z, x, y in TILES) + ")"
 _TILEFACTS = f"""WITH f0 AS ({DUCK_FACTS}), {_REQ}, ft AS (SELECT f0.*, req.z, req.tx, req.ty, {_idx('x', '(1 << (req.z + 9))')} AS gx, {_idx('y', '(1 << (req.z + 9))')} AS gy FROM f0, req WHERE {_idx('x', '(1 << req.z)')} = req.tx AND {_idx('y', '(1 << req.z)')} = req.ty),
 f AS (SELECT *, zreal <= z AS "real", CASE WHEN zreal <= z THEN CAST(x AS DOUBLE) ELSE gx END AS k1, CASE WHEN zreal <= z THEN CAST(y AS DOUBLE) ELSE gy END AS k2 FROM ft)"""
 _MK = 'z, tx, ty, "real", k1, k2'
@@ -244,7 +244,7 @@ UNION ALL SELECT z::INT, tx, ty, is_leaf, "real", k1, k2, ((k1 + 0.5::DOUBLE) *
     q["g11_leaf_occupancy"] = (lambda s, d: (lambda c: cube.leaf_occupancy(c[0], c[1]).select("nnz", "marks", F.round("occupancy", 9).alias("occupancy")))(_cells(s, d)), _CELLS + " SELECT count(*) AS nnz, count(DISTINCT (z, tx, ty, mki)) AS marks, round(count(*) / (count(DISTINCT (z, tx, ty, mki)) * 84), 9) AS occupancy FROM cells")
     q["c03_layout"] = (lambda s, d: (lambda c: cube.layouts(c[0], c[1], 0.25).select("z", "tx", "ty", "marks", "nnz", "layout"))(_cells(s, d)), _CELLS + " SELECT z::INT AS z, tx, ty, count(DISTINCT mki) AS marks, count(*)::BIGINT AS nnz, CASE WHEN count(*) / (count(DISTINCT mki) * 84) >= 0.25 THEN 'dense' ELSE 'sparse' END AS layout FROM cells GROUP BY z, tx, ty")
     q["c04_sparse"] = (lambda s, d: (lambda c: cube.sparse(c[0], c[2]).select("z", "tx", "ty", F.array_join("offsets", ",").alias("offsets"), F.array_join("cell_ids", ",").alias("cell_ids"), F.array_join(F.transform("sum__qty", lambda v: v.cast("int")), ",").alias("sums")))(_cells(s, d)), _CELLS + ", o AS (SELECT z, tx, ty, mki, count(*) AS k FROM cells GROUP BY ALL), oo AS (SELECT z, tx, ty, '0,' || string_agg(CAST(e AS BIGINT)::VARCHAR, ',' ORDER BY mki) AS offsets FROM (SELECT *, sum(k) OVER (PARTITION BY z, tx, ty ORDER BY mki) AS e FROM o) GROUP BY z, tx, ty) SELECT z::INT AS z, tx, ty, first(offsets) AS offsets, string_agg(cell_id::VARCHAR, ',' ORDER BY mki, cell_id) AS cell_ids, string_agg(sum__qty::INT::VARCHAR, ',' ORDER BY mki, cell_id) AS sums FROM cells JOIN oo USING (z, tx, ty) GROUP BY z, tx, ty")
-    q["c06_prefix"] = (lambda s, d: (lambda c: cube.dense(c[0], c[1], c[2]).select("z", "tx", "ty", "mki", "cell_id", "sum__qty", "cnt", F.when(~F.isnan("max__qty"), F.col("max__qty")).alias("max__qty")))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells), ev AS (SELECT DISTINCT z, tx, ty, mki FROM low), fl AS (SELECT ev.*, r.c::INT AS cell_id, l.sum__qty, l.cnt, l.max__qty FROM ev CROSS JOIN range(0, 84) r(c) LEFT JOIN low l ON (l.z, l.tx, l.ty, l.mki, l.cell_id) = (ev.z, ev.tx, ev.ty, ev.mki, r.c)) SELECT z::INT AS z, tx, ty, mki::INT AS mki, cell_id, sum(coalesce(sum__qty, 0)::DOUBLE) OVER w::FLOAT AS sum__qty, sum(coalesce(cnt, 0)) OVER w::INT AS cnt, max__qty FROM fl WINDOW w AS (PARTITION BY z, tx, ty, mki, cell_id // 28 ORDER BY cell_id)".replace("OVER w::FLOAT", "OVER w").replace("OVER w::INT", "OVER w"))
+    q["c06_prefix"] = (lambda s, d: (lambda c: cube.dense(c[0], c[1], c[2]).select("z", "tx", "ty", "mki", "cell_id", "sum__qty", "cnt", F.when(~F.isnan("max__qty"), F.col("max__qty")).alias("max__qty")))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells), ev AS (SELECT DISTINCT z, tx, ty, mki FROM low), fl AS (SELECT ev.*, r.c::INT AS cell_id, l.sum__qty, l.cnt, l.max__qty FROM ev CROSS JOIN range(0, 84) r(c) LEFT JOIN low l ON (l.z, l.tx, l.ty, l.mki, l.cell_id) = (ev.z, ev.tx, ev.ty, ev.mki, r.c)) SELECT z::INT AS z, tx, ty, mki::INT AS mki, cell_id, CAST(sum(coalesce(sum__qty, 0)::DOUBLE) OVER w AS FLOAT) AS sum__qty, CAST(sum(coalesce(cnt, 0)) OVER w AS INT) AS cnt, max__qty FROM fl WINDOW w AS (PARTITION BY z, tx, ty, mki, cell_id // 28 ORDER BY cell_id)")
     q["c07_range_difference"] = (lambda s, d: (lambda c: cube.range_by_difference(cube.dense(c[0], c[1], c[2]), c[1], c[2][0], 8, 15).select("z", "tx", "ty", "mki", "category", F.col("sum__qty").cast("double").alias("v")))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells) SELECT z::INT AS z, tx, ty, mki::INT AS mki, c::BIGINT AS category, coalesce(sum(sum__qty::DOUBLE) FILTER (WHERE cell_id // 28 = c AND cell_id % 28 BETWEEN 8 AND 15), 0) AS v FROM low CROSS JOIN range(0, 3) r(c) GROUP BY z, tx, ty, mki, c")
     q["c08_range_extremum"] = (lambda s, d: (lambda c: cube.range_by_difference(cube.dense(c[0], c[1], c[2]), c[1], c[2][2], 8, 15).select("z", "tx", "ty", "mki", "category", "max__qty"))(_cells(s, d)), _CELLS + ", low AS (SELECT * FROM cells) SELECT z::INT AS z, tx, ty, mki::INT AS mki, c::BIGINT AS category, max(max__qty) FILTER (WHERE cell_id // 28 = c AND cell_id % 28 BETWEEN 8 AND 15) AS max__qty FROM low CROSS JOIN range(0, 3) r(c) GROUP BY z, tx, ty, mki, c")
     q["b10_witness"] = (lambda s, d: cube.witness(_cells(s, d)[0]), _CELLS + " SELECT z::INT AS z, tx, ty, sum(cnt)::BIGINT AS facts FROM cells GROUP BY z, tx, ty")
@@ -256,7 +256,7 @@ UNION ALL SELECT z::INT, tx, ty, is_leaf, "real", k1, k2, ((k1 + 0.5::DOUBLE) *
         c = pyramid.cube(facts(s, d), ROOT, GRAIN, marks.cube_partials(SUPPLY))
         return _rounded(fold.fold_cube(c, trees("total", "share_r", "low_flag"), CONTEXT, TILES, GRAIN), trees("total", "share_r", "low_flag")).drop("alive")
 
-    q["q01_fold_cube"] = (from_cube, _KEYED.replace("WITH f AS", "WITH f1 AS").replace("FROM f GROUP BY x, y)", "FROM f1 GROUP BY x, y)") + f', {_REQ}, f AS (SELECT pl.z, pl.tx, pl.ty, "real", k1, k2, f1.flag, f1.status, f1.quarter, f1.qty, f1.w FROM pl JOIN req USING (z, tx, ty) JOIN f1 USING (x, y)), ' + _fold_sql(["total", "share_r", "low_flag"], _CTX, _MK))
+    q["q01_fold_cube"] = (from_cube, _KEYED.replace("WITH f AS", "WITH f1 AS").replace("FROM f GROUP BY x, y)", "FROM f1 GROUP BY x, y)") + f', {_REQ}, f AS (SELECT pl.z::INT AS z, pl.tx, pl.ty, "real", k1, k2, f1.flag, f1.status, f1.quarter, f1.qty, f1.w FROM pl JOIN req USING (z, tx, ty) JOIN f1 USING (x, y)), ' + _fold_sql(["total", "share_r", "low_flag"], _CTX, _MK))
     q["q03_mki"] = (lambda s, d: pyramid.numbered(pyramid.aggregate(mark_table(s, d), ROOT, ["total"], ["zone"])).select("z", "tx", "ty", "real", "k1", "k2", "mki"), _KEYED + f' SELECT z::INT AS z, tx, ty, "real", k1, k2, (row_number() OVER (PARTITION BY z, tx, ty ORDER BY "real", k1, k2) - 1)::INT AS mki FROM (SELECT DISTINCT {_MK} FROM pl)')
     q["q08_route"] = (lambda s, d: (lambda c: planner.tile_costs(c, SUPPLY).orderBy(F.desc("bytes"), "z", "tx", "ty").limit(12))(pyramid.cube(facts(s, d), ROOT, GRAIN, marks.cube_partials(SUPPLY))), _KEYED + ", r AS (SELECT DISTINCT pl.z, pl.tx, pl.ty, \"real\", k1, k2, f.flag, f.status, f.quarter FROM pl JOIN f USING (x, y)) SELECT z::INT AS z, tx, ty, count(*) * 12 AS bytes FROM r GROUP BY z, tx, ty ORDER BY bytes DESC, z, tx, ty LIMIT 12")
     q["v01_select_tiles"] = (lambda s, d: viewport.select_tiles(pyramid.quadtree_tiles(pyramid.indexed(points(s, d), ROOT), 6, 500), ROOT, Bbox(0, 0, 262144, 65536), 1600), _PTS + f", t AS (SELECT *, {SIDE} / 262144.0 * 1600 / (1 << z) AS px FROM tiles) SELECT z::INT AS z, tx, ty, is_leaf FROM t WHERE tx::DOUBLE * {SIDE} / (1 << z) < 262144 AND (tx + 1)::DOUBLE * {SIDE} / (1 << z) > 0 AND ty::DOUBLE * {SIDE} / (1 << z) < 65536 AND (is_leaf OR px <= 512) AND (z = 0 OR 2 * px > 512)")
@@ -283,7 +283,7 @@ UNION ALL SELECT z::INT, tx, ty, is_leaf, "real", k1, k2, ((k1 + 0.5::DOUBLE) *
     q["src_range_join"] = _same("SELECT a.s_suppkey AS a, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_acctbal BETWEEN a.s_acctbal - 500 AND a.s_acctbal + 500 GROUP BY a.s_suppkey")
     q["src_set_ops"] = _same("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
     q["src_rollup"] = _same("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-    q["src_windows"] = _same("SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders")
+    q["src_windows"] = _same("SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders")
     return q
 
 
