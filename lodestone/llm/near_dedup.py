@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import cut, salted
 from .components import components
 
+MASK = (1 << 64) - 1
+#: Odd factors of the words of a shingle.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 WORDS, SIMILARITY, BANDS, ROWS, HEALING = 5, 0.8, 25, 5, 3
 
 
@@ -66,40 +69,41 @@ def shingles(text: str, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if len(h) < n:
         return mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out = mix(out + h[i : len(h) - n + 1 + i] + np.uint64(0x9E3779B97F4A7C15))
-    return out
+    size = len(h) - n + 1
+    out = h[:size] * FACTORS[0]
+    for i in range(1, n):
+        out += h[i : size + i] * FACTORS[i % len(FACTORS)] + np.uint64(i)
+    return mix(out)
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """The earliest dart (as a hash) of each of k coordinates."""
-    sig, best = np.zeros(k, np.uint64), np.full(k, np.inf)
-    height = (k * np.log(k) + 2 * k) / weights.sum()
+    # unit-width strips of a region: strip w of an element belongs to it if its weight exceeds w
+    strips = [elements] + [mix(elements[weights > w] + np.uint64(w * 0x9E3779B97F4A7C15 & MASK)) for w in range(1, int(weights.max()))]
+    strips = np.concatenate(strips) if len(strips) > 1 else elements
+    height = (k * np.log(k) + 2 * k) / len(strips)
     while True:
-        # unit-width strips of a region: strip w of an element belongs to it if its weight exceeds w
-        strips = [(elements, np.zeros(len(elements)))] + [(mix(elements[weights > w] + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), None) for w in range(1, int(weights.max()))]
-        key = np.concatenate([s for s, _ in strips])
-        rank, n = np.zeros(len(key)), 0
+        ranks, darts = [], []
+        key, base, n = strips, np.zeros(len(strips)), 0
+        width = 1 if height < 0.1 else int(np.ceil(height + 3 * np.sqrt(height)))
         while len(key):
-            rank = rank - np.log(unit(mix(key + np.uint64((2 * n + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))))
-            live = rank <= height
-            key, rank = key[live], rank[live]
-            dart = mix(key ^ np.uint64((2 * n + 2) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
-            at = (dart % np.uint64(k)).astype(np.int64)
-            order = np.lexsort((dart, rank))[::-1]  # the earliest is written last
-            a, r, d = at[order], rank[order], dart[order]
-            low = np.full(k, np.inf)
-            low[a] = r
-            new = np.zeros(k, np.uint64)
-            new[a] = d
-            better = low < best
-            best[better], sig[better] = low[better], new[better]
-            n += 1
-        if np.isfinite(best).all():
+            # `width` darts of every strip at once; strips whose last one is still below the height throw more
+            step = np.arange(n, n + width, dtype=np.uint64)
+            rank = base[:, None] - np.log(unit(mix(key[:, None] + (step * np.uint64(2) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)))).cumsum(axis=1)
+            i, j = np.nonzero(rank <= height)
+            ranks.append(rank[i, j])
+            darts.append(mix(key[i] ^ ((step[j] * np.uint64(2) + np.uint64(2)) * np.uint64(0xA24BAED4963EE407))))
+            more = rank[:, -1] <= height
+            key, base, n = key[more], rank[more, -1], n + width
+        rank, dart = np.concatenate(ranks), np.concatenate(darts)
+        dart = dart[np.argsort(-rank, kind="stable")]
+        at = (dart % np.uint64(k)).astype(np.int64)
+        sig, hit = np.zeros(k, np.uint64), np.zeros(k, bool)
+        sig[at] = dart  # written from the latest to the earliest
+        hit[at] = True
+        if hit.all():
             return sig
         height *= 2
-        best[:], sig[:] = np.inf, 0
 
 
 def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -117,8 +121,8 @@ def _signed(bands: int, rows: int, words: int, weighting: str):
             for text in b.column("text").to_pylist():
                 s = shingles(text or "", hashes, words)
                 if len(s):
-                    e, c = np.unique(s, return_counts=True)
-                    out.append(bands_of(signature(e, c if weighting == "count" else np.ones(len(e)), bands * rows), bands, rows))
+                    e, c = np.unique(s, return_counts=True) if weighting == "count" else (np.unique(s), np.ones(1))
+                    out.append(bands_of(signature(e, c, bands * rows), bands, rows))
                 else:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t1"), b.column("t2"), pa.array(out, pa.list_(pa.int64()))], names=["id", "t1", "t2", "bands"])
@@ -129,10 +133,11 @@ def _signed(bands: int, rows: int, words: int, weighting: str):
 def similarity(a, b, weighting: str = "binary") -> float:
     """Weighted Jaccard of two (elements, counts)."""
     (ea, ca), (eb, cb) = a, b
-    if weighting != "count":
-        ca, cb = np.ones(len(ea)), np.ones(len(eb))
-    if min(ca.sum(), cb.sum()) == 0:
+    if min(len(ea), len(eb)) == 0:
         return 0.0
+    if weighting != "count":
+        both = len(ea) + len(eb) - len(np.union1d(ea, eb))
+        return both / (len(ea) + len(eb) - both)
     _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
     both = np.minimum(ca[ia], cb[ib]).sum()
     return float(both / (ca.sum() + cb.sum() - both))
@@ -146,7 +151,8 @@ def _verify(words: int, least: float, weighting: str):
         for b in batches:
             keep = []
             for i, (p, member, text) in enumerate(zip(b.column("p").to_pylist(), b.column("m").to_pylist(), b.column("text").to_pylist())):
-                s = np.unique(shingles(text or "", hashes, words), return_counts=True)
+                s = shingles(text or "", hashes, words)
+                s = np.unique(s, return_counts=True) if weighting == "count" else (np.unique(s), None)
                 if member == -1:
                     held, pivot = s, p
                 elif pivot == p and similarity(held, s, weighting) >= least:
