@@ -8,7 +8,8 @@ largest weight of each block of documents. A query walks a shard in four steps:
 2. WAND: terms whose upper bounds together stay below the threshold cannot alone make a result, so only documents of
    the other lists are pivots, and only those whose known part plus all remaining bounds reaches the threshold;
 3. block-max: remaining bounds are replaced by those of the pivot's block, and pivots below the threshold are skipped;
-4. the rest are scored in full, highest bounds first, until the next bound falls below the rising threshold.
+4. the rest are scored in full: highest bounds first until the next bound falls below the rising threshold, or, where
+   the lists not yet read are shorter than the pivots' own terms, from those lists.
 
 Every step drops only documents that cannot enter, so each shard's k best are exact; they are merged by rank.
 
@@ -132,14 +133,15 @@ class Index:
         # 1. seeds
         m = min(len(ids), int(np.searchsorted(n.cumsum(), 20 * k)) + 1)
         part, touched = self._gather(ids[:m], w[:m], self.start, self.docs, self.weight, self.n_docs)
-        seeds = np.unique(touched)
-        full = self._full(seeds[np.argsort(-part[seeds], kind="stable")[: 20 * k]])
+        seen = np.zeros(self.n_docs, bool)
+        seen[touched] = True
+        seeds = np.flatnonzero(seen)
+        full = self._full(seeds[np.argsort(-part[seeds], kind="stable")[: 6 * k]])
         least = np.partition(full, -k)[-k] if len(full) >= k else 0.0
         # 2. pivots
         e = int(np.searchsorted(-rest, -(least - slack), side="right")) if least > 0 else len(ids)
         e = max(m, min(e, len(ids)))
         part, touched = self._gather(ids[:e], w[:e], self.start, self.docs, self.weight, self.n_docs)
-        seen = np.zeros(self.n_docs, bool)
         seen[touched] = True
         docs = np.flatnonzero(seen & (part + rest[e] >= least - slack))
         # 3. block bounds
@@ -147,7 +149,18 @@ class Index:
         if e < len(ids) and len(docs):
             blocks, _ = self._gather(ids[e:], w[e:], self.block_start, self.block_of, self.block_max, self.n_docs // BLOCK + 1)
             most = most + blocks[docs // BLOCK]
-        # 4. full scores
+        # 4. full scores: of the pivots' own terms, or by the remaining lists where those are shorter
+        open_ = int((most >= least - slack).sum())
+        if open_ * len(self.own_term) > n[e:].sum() * max(1, self.n_docs):
+            if e < len(ids):
+                part = part + self._gather(ids[e:], w[e:], self.start, self.docs, self.weight, self.n_docs)[0]
+            self.asked[ids] = 0
+            docs = docs[most >= least - slack]
+            score = part[docs]
+            if len(score) > k:
+                keep = score >= np.partition(score, -k)[-k] - slack
+                docs, score = docs[keep], score[keep]
+            return docs, score
         order = np.argsort(-most, kind="stable")
         docs, most = docs[order], most[order]
         got, scores, at, step = [docs[:0]], [most[:0]], 0, 4 * k
