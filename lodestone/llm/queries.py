@@ -59,5 +59,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), rep AS (SELECT t, min(doc_id) AS r FROM d GROUP BY t),
+w AS (SELECT r, regexp_extract_all(t, '[^ \\t-\\r]+') AS ws FROM rep),
+s AS (SELECT DISTINCT r, array_to_string(ws[i:i + {near_dedup.WORDS - 1}], ' ') AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - {near_dedup.WORDS - 2}, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS k FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE c >= {near_dedup.SIMILARITY} * (x.k + y.k - c)),
+sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT r, r FROM rep UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
+c AS (SELECT a AS r, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id FROM d JOIN rep USING (t) JOIN c USING (r)
+"""
+
+#: The fingerprint is the hash of the path text 'turns[],turns[].role,turns[].text', a constant of the layout.
+OP8 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, replace(text, chr(92), chr(92) || chr(92)) AS t2 FROM c),
+e AS (SELECT *, length(t2) + len(regexp_extract_all(t2, '[<\\[](\\||/?s>|/?INST\\]|</?SYS>>)')) AS body FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + body + length('<|im_end|>') + 1)::BIGINT AS formatted_chars, 'turns' AS mapping, FINGERPRINT::BIGINT AS fingerprint
+FROM e GROUP BY conv_id
+""".replace("FINGERPRINT", "7301158194952370592")
+
+
 def oracle_sql():
-    return {"op3_quality_rules": OP3}
+    return {"op3_quality_rules": OP3, "op6_near_dedup": OP6, "op8_chat": OP8}

@@ -33,7 +33,7 @@ from .common import cut
 from .near_dedup import WordHashes
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BLOCK, BLOCK, FLUSH = 48_000_000, 20_000, 64, 400_000
+SHARD_BYTES, QUERY_BLOCK, BLOCK, FLUSH = 32_000_000, 20_000, 64, 400_000
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 
