@@ -5,6 +5,7 @@ import gzip
 import json
 import os
 import uuid
+import zlib
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -93,6 +94,47 @@ def packed(tiles: DataFrame, codec: str = "gzip", level: int | None = None) -> D
     return tiles.mapInArrow(run, tiles.schema)
 
 
+def unpacked(tiles: DataFrame, codec: str = "gzip", largest: int = 1 << 30) -> DataFrame:
+    """The inverse of packed; a block that would inflate beyond `largest` is refused."""
+
+    def run(batches):
+        import zstandard
+
+        for b in batches:
+            out = []
+            for x in b.column("data").to_pylist():
+                if codec == "gzip":
+                    raw = zlib.decompressobj(31).decompress(x, largest + 1)
+                elif codec == "zstd":
+                    raw = zstandard.ZstdDecompressor().decompress(x, max_output_size=largest)
+                else:
+                    raw = pa.CompressedInputStream(pa.BufferReader(x), codec).read(largest + 1)
+                if len(raw) > largest:
+                    raise ValueError("a block is larger than allowed")
+                out.append(raw)
+            yield b.set_column(b.schema.get_field_index("data"), "data", pa.array(out, pa.binary()))
+
+    return tiles.mapInArrow(run, tiles.schema)
+
+
+def column_blocks(rows: DataFrame, first: list[str] = ()) -> DataFrame:
+    """(z, tx, ty, place, column, data): each column of a tile as a zstd block of its own, in reading order: shape,
+    then `first` (see first_paint), then the rest, so that a reader fetches only what it draws."""
+    names = [c for c in rows.columns if c not in TILE]
+    shape = [c for c in ("x", "y", "geometry", "part_offsets", "triangles") if c in names]
+    order = list(dict.fromkeys([*shape, *[c for c in first if c in names], *names]))
+
+    def one(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        key = [table.column(k)[0].as_py() for k in TILE]
+        blocks = [zstandard.ZstdCompressor(level=9).compress(tile_bytes(table.select([c]))) for c in order]
+        n = len(order)
+        return pa.table({"z": pa.array([key[0]] * n, pa.int32()), "tx": pa.array([key[1]] * n, pa.int64()), "ty": pa.array([key[2]] * n, pa.int64()), "place": pa.array(range(n), pa.int32()), "column": pa.array(order, pa.string()), "data": pa.array(blocks, pa.binary())})
+
+    return rows.groupBy(*TILE).applyInArrow(one, "z int, tx long, ty long, place int, column string, data binary")
+
+
 def slab_dictionary(tiles: DataFrame, blocks: int = 4000, largest: int = 32 << 10, size: int = 112 << 10) -> bytes | None:
     """A zstd dictionary from a bounded sample of small blocks, or none below 16 of them."""
     import zstandard

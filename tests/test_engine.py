@@ -71,6 +71,12 @@ def test_exports(spark, baked):
 
     z = {tuple(r[:3]): r.data for r in sinks.packed(out, "zstd").collect()}
     assert all(zstandard.decompress(bytes(z[tuple(r[:3])])) == bytes(r.data) for r in rows)
+    for codec in ("gzip", "zstd", "brotli"):
+        back = {tuple(r[:3]): bytes(r.data) for r in sinks.unpacked(sinks.packed(out, codec), codec).collect()}
+        assert back == {tuple(r[:3]): bytes(r.data) for r in rows}
+    blocks = sinks.column_blocks(tiles.select("z", "tx", "ty", "total", "top", "x", "y"), ["top"]).where("place < 3").orderBy("z", "tx", "ty", "place").collect()
+    assert [b.column for b in blocks[:3]] == ["x", "y", "top"]
+    assert pa.ipc.open_stream(zstandard.decompress(bytes(blocks[2].data))).read_all().num_rows > 0
     folded = bake.fold_view(spark, VIEW, store, ["0/0/0"], ["total"], {}).withColumn("mki", F.monotonically_increasing_id())
     s = pa.ipc.open_stream(sinks.folded_columns(folded.select("z", "tx", "ty", "mki", "total")))
     assert json.loads(s.schema.metadata[b"tiles"])[0][0] == "0/0/0"
