@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that nothing refers to any more.
+
+    Spark frees them when the driver happens to collect garbage; iterative jobs would fill the disks before that.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row; Catalyst would else copy it into lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _ends(parent: DataFrame) -> DataFrame:
@@ -34,4 +34,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hook = _ends(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")))
         labels = cut(labels.join(hook.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
         edges = links
+        del ends, hook
+        release(edges.sparkSession)
     raise RuntimeError("components did not settle")

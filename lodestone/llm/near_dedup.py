@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted
+from .common import cut, release, salted
 from .components import components
 
 MASK = (1 << 64) - 1
@@ -188,6 +188,7 @@ def nodes_of(docs: DataFrame, words: int, bands: int, rows: int, weighting: str)
     signed = cut(source.mapInArrow(_signed(bands, rows, words, weighting), "id long, t1 long, t2 long, bands array<long>"))
     # equal texts have equal bands; the least id is found by a pre-aggregated minimum, so copies cost a row per task
     nodes = cut(signed.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.min("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
     return source, signed.select("id", "t1", "t2"), nodes
 
 
@@ -207,6 +208,7 @@ def linked(docs_texts: DataFrame, nodes: DataFrame, words: int, least: float, we
     met = candidates(nodes)
     involved = met.select("node").distinct().join(nodes.select("node", "t1", "t2"), "node")
     texts = cut(docs_texts.join(involved, ["t1", "t2"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "text"))
+    release(nodes.sparkSession)
     pairs = _pairs(met.select(F.explode(F.array("p1", "p2")).alias("a"), F.col("node").alias("b")))
     links = tried = None
     for turn in range(healing + 1):
@@ -216,6 +218,7 @@ def linked(docs_texts: DataFrame, nodes: DataFrame, words: int, least: float, we
         found = cut(verified(pairs.select("p", "m"), texts, words, least, weighting))
         links = found if links is None else links.unionByName(found)
         tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
+        release(nodes.sparkSession)
         if turn == healing or turn and found.isEmpty():
             break
         # buckets that still hold several components: two delegates of each against two of the largest

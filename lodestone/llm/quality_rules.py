@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, let, salted
+from .common import WORD_GAP, cut, let, release, salted
 
 LINE_DOCS, KEEP_SHARE, VOTE_SHARE, SALTS = 20, 0.3, 0.5, 64
 SYMBOLS = "[#*$%&|<>]"
@@ -78,6 +78,7 @@ def judged(docs: DataFrame, line_docs: int = LINE_DOCS, keep_share: float = KEEP
     """Measures with base_failed, removed_chars, depleted and kept; and the removed (uid, h)."""
     rows = cut(measures(docs))
     removed = cut(line_shares(rows, line_docs))
+    release(docs.sparkSession)
     lost = removed.groupBy("uid").agg(F.sum("c").alias("removed_chars"), F.first("all_c").alias("line_chars"))
     out = rows.join(lost, "uid", "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
