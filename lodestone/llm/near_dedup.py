@@ -11,7 +11,9 @@ Candidates. Equal texts are first reduced to one. k coordinates form bands of `r
 a bucket. No bucket emits its pairs: each member is paired with two pivots, the member whose bands are the most
 crowded (the centre of a group of copies) and the one with the least hash. Pairs are verified on whole shingle sets;
 verified pairs are joined to components; buckets that still hold several components are given new pivots, one per
-component against the two largest, until nothing new is verified (at most `healing` rounds).
+component against the two largest, until nothing new is verified (at most `healing` rounds). That only makes the rest
+small: members whose buckets still hold several components are then joined exactly, by the prefix filter over whole
+shingle sets with length bounds, so no similar pair that shares a band is left out.
 
 Result: class of each row = smallest id of its component. At similarity 0.8 a pair shares a band with probability
 1 - (1 - 0.8^rows)^bands = 0.99995 for 25 bands of 5.
@@ -203,6 +205,53 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return cut(members.select("node", "band", "key").join(pivots, ["band", "key"]))
 
 
+def _elements(words: int, weighting: str):
+    """Each text as a set of elements; counted shingles become as many elements, so that Jaccard is that of sets."""
+
+    def flush(held):
+        n = np.array([len(e) for _, _, e in held])
+        column = lambda i, kind: pa.array(np.repeat(np.array([x[i] for x in held], kind), n))
+        return pa.RecordBatch.from_arrays([column(0, np.int64), column(1, np.int64), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate([e for _, _, e in held]).view(np.int64))], names=["node", "root", "size", "s"])
+
+    def apply(batches):
+        hashes, held, n = WordHashes(), [], 0
+        for b in batches:
+            for node, root, text in zip(b.column("node").to_pylist(), b.column("root").to_pylist(), b.column("text").to_pylist()):
+                e, c = np.unique(shingles(text or "", hashes, words), return_counts=True)
+                if weighting == "count" and len(e):
+                    e = np.concatenate([e] + [mix(e[c > w] + np.uint64(w * 0x9E3779B97F4A7C15 & MASK)) for w in range(1, int(c.max()))])
+                held.append((node, root, e))
+                n += len(e)
+                if n > 200_000:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    return apply
+
+
+def crossing(met: DataFrame, roots: DataFrame, texts: DataFrame, words: int, least: float, weighting: str, salts: int = 8) -> DataFrame:
+    """(x, y): a superset of the similar pairs of different components that no pivot of a shared bucket has settled.
+
+    Both pivots of a bucket met all its members, so only the other members can hold untried pairs. Of those, similar
+    texts share an element among the first size - ceil(least * size) + 1 in any one order of all elements. Elements
+    held inside a single component come first in that order and are never joined.
+    """
+    rest = met.where("node <> p1 AND node <> p2").join(roots.withColumnRenamed("id", "node"), "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rest.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    nodes = rest.join(mixed, ["band", "key"], "left_semi").select("node", "root").distinct()
+    elements = cut(nodes.join(texts.withColumnRenamed("id", "node"), "node").mapInArrow(_elements(words, weighting), "node long, root long, size int, s long"))
+    between = elements.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "n")
+    ranked = elements.join(between, "s").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("o"))
+    ranked = ranked.withColumn("first", (F.size("o") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")).where("first > 0")
+    prefix = cut(ranked.select("node", "root", "size", F.explode(F.slice("o", F.lit(1), F.col("first"))).alias("e")).select("node", "root", "size", F.col("e.s").alias("s")))
+    left = prefix.select("s", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("nx"), F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("_salt"))
+    right = prefix.select("s", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("ny"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    near = (F.least("nx", "ny") >= F.greatest("nx", "ny") * least - 1e-9) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry"))
+    return left.join(right, ["s", "_salt"]).where(near).select("x", "y").distinct()
+
+
 def linked(docs_texts: DataFrame, nodes: DataFrame, words: int, least: float, weighting: str, healing: int) -> DataFrame | None:
     """Verified edges (a, b) between nodes whose components are those of all similar pairs that share a band."""
     met = candidates(nodes)
@@ -221,7 +270,7 @@ def linked(docs_texts: DataFrame, nodes: DataFrame, words: int, least: float, we
         release(nodes.sparkSession)
         if turn == healing or turn and found.isEmpty():
             break
-        # buckets that still hold several components: two delegates of each against two of the largest
+        # cheap rounds first: two delegates of each component of a bucket against two of the largest
         roots = components(links)
         now = met.select("band", "key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         draw = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
@@ -229,6 +278,12 @@ def linked(docs_texts: DataFrame, nodes: DataFrame, words: int, least: float, we
         largest = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "root", "drawn")).alias("top")).where("k > 1")
         again = parts.join(largest, ["band", "key"]).where("root <> top.root").withColumn("a", F.explode("top.drawn")).withColumn("b", F.explode("drawn"))
         pairs = _pairs(again).join(tried, ["x", "y"], "left_anti")
+    if links is not None:
+        roots = components(links)
+        pairs = cut(crossing(met, roots, texts, words, least, weighting).join(tried, ["x", "y"], "left_anti"))
+        if not pairs.isEmpty():
+            links = links.unionByName(cut(verified(pairs.select(F.col("x").alias("p"), F.col("y").alias("m")), texts, words, least, weighting)))
+        release(nodes.sparkSession)
     return links
 
 

@@ -115,6 +115,23 @@ def test_near_dedup_edges(spark):
     assert near_dedup.deduplicate(frame(spark, ["x y z"] * 4, [None, None, 2, 2])).count() == 1
 
 
+@pytest.mark.parametrize("weighting", ["binary", "count"])
+def test_small_components_of_a_crowded_bucket_meet(spark, weighting):
+    r = random.Random(5)
+    say = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    core = say(100)
+    texts = [" ".join(core[:i] + ["changed"] + core[i + 1 :]) for i in range(0, 90, 3)]
+    for _ in range(12):  # pairs similar to each other only, in the bucket of the large group
+        a = say(100)
+        texts += [" ".join(a), " ".join(a[:-1] + ["other"])]
+    rows = [(i, i, i, i, [1]) for i in range(len(texts))]
+    nodes = spark.createDataFrame(rows, "node long, t1 long, t2 long, least long, bands array<long>")
+    source = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(texts)], "id long, text string, t1 long, t2 long")
+    links = near_dedup.linked(source, nodes, near_dedup.WORDS, near_dedup.SIMILARITY, weighting, near_dedup.HEALING)
+    roots = {x.id: x.root for x in components(links).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == brute_classes(texts, list(range(len(texts))))
+
+
 def test_darts_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     for ca, cb in ((np.ones(300), np.ones(300)), (r.integers(1, 6, 300), r.integers(1, 6, 300))):
