@@ -1,7 +1,8 @@
 """Personal data: base detection plus information-theoretic sanitisation of disclosing context terms.
 
-Protected entities are the distinct values found by the base rules. For every mention, the terms of a bounded
-context window are paired with the entity. Over the whole corpus, with N documents, n(e) documents of an entity,
+Protected entities are the distinct values found by the base rules and what they share with others: domain and local
+part of an e-mail, networks of an ip, issuer prefix of a card, prefixes of a phone. So a value seen in one text is
+estimated by its levels. For every mention, the terms of a bounded context window are paired with its entities. Over the whole corpus, with N documents, n(e) documents of an entity,
 n(t) of a term and n(e,t) of both near each other,
 
     IC(e) = log2(N / n(e))        PMI(e, t) = log2(n(e,t) * N / (n(e) * n(t)))
@@ -85,12 +86,27 @@ def _trimmed(word: str) -> tuple[str, int]:
     return left.rstrip(STRIP).decode(), len(raw) - len(left)
 
 
+def entities(kind: int, raw: str) -> list[int]:
+    """The value of a mention and its levels, as hashes."""
+    value = re.sub(r"[ ().-]", "", raw) if kind > 1 else raw.lower()
+    if kind == 0:
+        local, _, domain = value.rpartition("@")
+        levels = [f"local:{local}", f"domain:{domain}"]
+    elif kind == 1:
+        parts = [p.lstrip("0") or "0" for p in value.split(".")]
+        levels = [f"net:{'.'.join(parts[:n])}" for n in (2, 3)]
+    elif kind == 2:
+        levels = [f"issuer:{value[:6]}"]
+    else:
+        levels = [f"prefix:{value[:n]}" for n in (-7, -4) if len(value) + n > 1]
+    return [_signed(f"{kind}:{x}".encode()) for x in (value, *levels)]
+
+
 def context_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(entity, term, start, end): up to WINDOW_TERMS whole words on each side of every mention."""
     out = set()
     for s, kind, e in spans:
-        value = re.sub(r"[ ().-]", "", text[s:e]) if kind > 1 else text[s:e].lower()
-        entity = _signed(f"{kind}:{value}".encode())
+        known = entities(kind, text[s:e])
         lo, hi = max(0, s - WINDOW_CHARS), min(len(text), e + WINDOW_CHARS)
         before = [m for m in _WORD.finditer(text, lo, s) if (m.start() > lo or lo == 0 or text[lo - 1] in " \t\n\x0b\x0c\r") and m.end() < s]
         after = [m for m in _WORD.finditer(text, e, hi) if (m.end() < hi or hi == len(text) or text[hi] in " \t\n\x0b\x0c\r") and m.start() > e]
@@ -99,7 +115,7 @@ def context_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[in
             a = m.start() + left
             b = a + len(term)
             if len(term) > 1 and not any(x < b and a < y for x, _, y in spans):
-                out.add((entity, _signed(term.lower().encode()), a, b))
+                out.update((entity, _signed(term.lower().encode()), a, b) for entity in known)
     return sorted(out)
 
 

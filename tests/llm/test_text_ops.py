@@ -104,6 +104,16 @@ def test_disclosing_terms(spark):
     assert "joe@corp.com" not in "".join(t or "" for t in clean.values()) and "Zorblat" not in clean[60] and clean[62] is None and clean[0] == texts[0]
 
 
+def test_values_of_one_text_are_judged_by_their_levels(spark):
+    filler = [f"the quiet river runs past house number w{i} and the old mill" for i in range(60)]
+    values = [("joe@corp.com", "ann@corp.com"), ("10.20.30.1", "10.20.30.2"), ("4111 1111 1111 1111", "4111-1100-0000-0005"), ("+1 234 555 0199", "+1 234 555 0142")]
+    texts = filler + [f"{how} the Zorblat{i} at {v} by the river" for i, pair in enumerate(values) for how, v in zip(("see", "again"), pair)]
+    assert all(len(pii.base_spans(x)) == 1 for x in texts[60:])
+    rows = {r.doc_id: r for r in pii.find(frame(spark, texts)).collect()}
+    for i in range(60, len(texts)):
+        assert f"Zorblat{(i - 60) // 2}" in {texts[i][x["start"] : x["end"]] for x in rows[i].terms or []}
+
+
 def test_pii_report_edges(spark):
     docs = frame(spark, EDGE)
     rows = {r.doc_id: r for r in pii.report(docs).collect()}
