@@ -2,13 +2,13 @@
 
 Protected entities are the distinct values found by the base rules and what they share with others: domain and local
 part of an e-mail, networks of an ip, issuer prefix of a card, prefixes of a phone. So a value seen in one text is
-estimated by its levels. For every mention, the terms of a bounded context window are paired with its entities. Over the whole corpus, with N documents, n(e) documents of an entity,
-n(t) of a term and n(e,t) of both near each other,
+estimated by its levels. Every term of a document is paired with every entity of it. Over the whole corpus, with N
+documents, n(e) documents of an entity, n(t) of a term and n(e,t) of both,
 
     IC(e) = log2(N / n(e))        PMI(e, t) = log2(n(e,t) * N / (n(e) * n(t)))
 
-A term seen beside e in two or more different texts whose PMI reaches IC(e) / alpha tells at least 1/alpha of what
-the entity's name itself tells: such occurrences are generalised, and removed where PMI comes within one bit of
+A term that two or more different texts hold with e and whose PMI reaches IC(e) / alpha tells at least 1/alpha of what
+the entity's name itself tells: all its occurrences in documents of e are generalised, and removed where PMI comes within one bit of
 IC(e). Counts are Spark aggregations; a task holds one batch of texts and a bounded dictionary.
 
 Cases: null text counts as empty; null ids are kept; equal rows get equal results; empty tables give empty results.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW_TERMS, WINDOW_CHARS, ALPHA, FLUSH = 6, 160, 1.5, 400_000
+ALPHA, FLUSH = 1.5, 400_000
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _trimmed(word: str) -> tuple[str, int]:
-    """A window word as a term, lower case without edge punctuation, and how much was cut on the left."""
+    """A word as a term, lower case without edge punctuation, and how much was cut on the left."""
     raw = word.encode()
     left = raw.lstrip(STRIP)
     return left.rstrip(STRIP).decode(), len(raw) - len(left)
@@ -102,21 +102,28 @@ def entities(kind: int, raw: str) -> list[int]:
     return [_signed(f"{kind}:{x}".encode()) for x in (value, *levels)]
 
 
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    return sorted({x for s, kind, e in spans for x in entities(kind, text[s:e])})
+
+
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(term, start, end) of every word of the text outside the spans."""
+    out, at, upto = [], 0, 0
+    for m in _WORD.finditer(text):
+        term, left = _trimmed(m[0])
+        a = m.start() + left
+        b = a + len(term)
+        while at < len(spans) and spans[at][0] < b:
+            upto = max(upto, spans[at][2])
+            at += 1
+        if len(term) > 1 and a >= upto:
+            out.append((_signed(term.lower().encode()), a, b))
+    return out
+
+
 def context_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end): up to WINDOW_TERMS whole words on each side of every mention."""
-    out = set()
-    for s, kind, e in spans:
-        known = entities(kind, text[s:e])
-        lo, hi = max(0, s - WINDOW_CHARS), min(len(text), e + WINDOW_CHARS)
-        before = [m for m in _WORD.finditer(text, lo, s) if (m.start() > lo or lo == 0 or text[lo - 1] in " \t\n\x0b\x0c\r") and m.end() < s]
-        after = [m for m in _WORD.finditer(text, e, hi) if (m.end() < hi or hi == len(text) or text[hi] in " \t\n\x0b\x0c\r") and m.start() > e]
-        for m in before[-WINDOW_TERMS:] + after[:WINDOW_TERMS]:
-            term, left = _trimmed(m[0])
-            a = m.start() + left
-            b = a + len(term)
-            if len(term) > 1 and not any(x < b and a < y for x, _, y in spans):
-                out.update((entity, _signed(term.lower().encode()), a, b) for entity in known)
-    return sorted(out)
+    """(entity, term, start, end): every entity of the document with every term of it."""
+    return sorted({(e, *t) for e in entities_of(text, spans) for t in terms_of(text, spans)}) if spans else []
 
 
 def _signed(raw: bytes) -> int:
@@ -125,8 +132,8 @@ def _signed(raw: bytes) -> int:
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = "uid long, doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<e:long,t:long,start:int,end:int>>"
+_WORDS = pa.list_(pa.struct([("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = "uid long, doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, ents array<long>, words array<struct<t:long,start:int,end:int>>"
 
 
 def _joined(spans) -> str:
@@ -142,12 +149,12 @@ def _find(batches):
         for text in b.column("text").to_pylist():
             spans = base_spans(text or "")
             n = Counter(k for _, k, _ in spans)
-            rows.append((uid, n[0], n[1], n[2], n[3], hashlib.sha256(_joined(spans).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), x)) for x in spans], [dict(zip(("e", "t", "start", "end"), x)) for x in context_terms(text, spans)] if spans else []))
+            rows.append((uid, n[0], n[1], n[2], n[3], hashlib.sha256(_joined(spans).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), x)) for x in spans], entities_of(text, spans) if spans else [], [dict(zip(("t", "start", "end"), x)) for x in terms_of(text, spans)] if spans else []))
             uid += 1
-        cols = list(zip(*rows)) or [()] * 8
-        kinds = [pa.int64()] * 5 + [pa.string(), _SPAN, _NEAR]
+        cols = list(zip(*rows)) or [()] * 9
+        kinds = [pa.int64()] * 5 + [pa.string(), _SPAN, pa.list_(pa.int64()), _WORDS]
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-        yield pa.RecordBatch.from_arrays([arrays[0], b.column("doc_id"), b.column("th"), *arrays[1:]], names=["uid", "doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+        yield pa.RecordBatch.from_arrays([arrays[0], b.column("doc_id"), b.column("th"), *arrays[1:]], names=["uid", "doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "ents", "words"])
 
 
 def _term_counts(batches):
@@ -170,16 +177,26 @@ def _term_counts(batches):
     yield flush()
 
 
+def _held(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, th, e) and (uid, t) of the documents that have entities."""
+    return found.select("uid", "th", F.explode("ents").alias("e")), found.select("uid", F.explode(F.array_distinct(F.transform("words", lambda x: x["t"]))).alias("t"))
+
+
 def disclosures(found: DataFrame, docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(e, t, remove): terms that disclose an entity beyond the threshold."""
-    near = found.select("uid", "th", F.explode("near").alias("x")).select("uid", "th", "x.e", "x.t").distinct()
-    pairs = near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"), F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b")
-    entities = near.select("uid", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = docs.select("text").mapInArrow(_term_counts, "t long, n_t long").groupBy("t").agg(F.sum("n_t").alias("n_t"))
+    """(e, t, remove): terms that disclose an entity beyond the threshold.
+
+    Entities of one text, terms of one document and terms too frequent to reach the threshold with all their documents
+    (PMI is at most log2(N / n(t))) never disclose; they leave before they are paired.
+    """
+    ents, terms = _held(found)
     n = F.lit(float(found.count()))
     ic = F.log2(n / F.col("n_e"))
     pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
-    return pairs.join(entities, "e").join(terms, "t").where((ic > 0) & (pmi >= ic / alpha)).select("e", "t", (pmi >= ic - 1).alias("remove"))
+    known = ents.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"), F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").where(ic > 0).select("e", "n_e")
+    counts = docs.select("text").mapInArrow(_term_counts, "t long, n_t long").groupBy("t").agg(F.sum("n_t").alias("n_t")).where("n_t > 1")
+    both = ents.join(known, "e").join(terms.join(counts, "t"), "uid").where(F.log2(n / F.col("n_t")) >= ic / alpha - 1e-9)
+    pairs = both.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"), F.min("th").alias("a"), F.max("th").alias("b"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where("a <> b")
+    return pairs.where(pmi >= ic / alpha).select("e", "t", (pmi >= ic - 1).alias("remove"))
 
 
 def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -189,11 +206,14 @@ def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = cut(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_find, _FOUND))
-    near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.*")
-    hits = near.join(disclosures(found, docs, alpha), ["e", "t"])
-    spans = hits.groupBy("uid", "start", "end").agg(F.max("remove").alias("remove"))
-    spans = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove"))).alias("terms"))
-    return found.drop("near").join(spans, "uid", "left").drop("uid")
+    ents, terms = _held(found)
+    told = cut(disclosures(found, docs, alpha))
+    terms = terms.join(told.select("t").distinct(), "t", "left_semi")
+    ents = ents.join(told.select("e").distinct(), "e", "left_semi")
+    hits = ents.join(terms, "uid").join(told, ["e", "t"]).groupBy("uid", "t").agg(F.max("remove").alias("remove"))
+    words = found.select("uid", F.explode("words").alias("x")).select("uid", "x.*")
+    spans = words.join(hits, ["uid", "t"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove"))).alias("terms"))
+    return found.drop("ents", "words").join(spans, "uid", "left").drop("uid")
 
 
 def report(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:

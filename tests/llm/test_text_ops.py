@@ -114,6 +114,15 @@ def test_values_of_one_text_are_judged_by_their_levels(spark):
         assert f"Zorblat{(i - 60) // 2}" in {texts[i][x["start"] : x["end"]] for x in rows[i].terms or []}
 
 
+def test_terms_far_from_a_mention_disclose(spark):
+    filler = [f"the quiet river runs past house number w{i} and the old mill" for i in range(60)]
+    gap = " ".join(f"the river mill {i % 7}" for i in range(100))
+    texts = filler + [f"Zorblat {gap} joe@corp.com {gap} Zorblat", f"joe@corp.com {gap} again Zorblat"]
+    rows = {r.doc_id: r for r in pii.find(frame(spark, texts)).collect()}
+    assert [sum(texts[i][x["start"] : x["end"]] == "Zorblat" for x in rows[i].terms or []) for i in (60, 61)] == [2, 1]
+    assert all(not rows[i].terms for i in range(60))
+
+
 def test_pii_report_edges(spark):
     docs = frame(spark, EDGE)
     rows = {r.doc_id: r for r in pii.report(docs).collect()}
