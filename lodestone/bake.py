@@ -58,7 +58,7 @@ def bake(spark: SparkSession, view: View, store: sinks.BakeStore, budget: int =
         reals = spark.read.parquet(at("fold.parquet"))
         sinks.write_tiles(pyramid.numbered(pyramid.cube(reals, plan.root, grain, marks.cube_partials(view))), at("cube.parquet"))
         route = asdict(planner.route(spark.read.parquet(at("cube.parquet")), view))
-    manifest = {"view": view.id, "version": version, "plan": {**asdict(plan)}, "rows": probe.count, "distinct": probe.distinct, "perFact": per_fact, "grain": grain, "domains": domains.scan(facts, view), "route": route, "firstPaint": sinks.first_paint(view, per_fact, plan.reduction)}
+    manifest = {"view": view.id, "version": version, "plan": {**asdict(plan)}, "rows": probe.count, "distinct": probe.distinct, "sketches": {"distinctRsd": planner.DISTINCT_RSD, "quantileRankError": 1 / domains.ACCURACY}, "perFact": per_fact, "grain": grain, "domains": domains.scan(facts, view), "route": route, "firstPaint": sinks.first_paint(view, per_fact, plan.reduction)}
     store.publish(view.id, version, manifest)
     return manifest
 

@@ -12,6 +12,8 @@ from ..functions.measures import partials
 from ..functions.tiling import MAX_ZOOM, Bbox
 
 RAW_ROWS, POINT_BUDGET, FACTS_PER_PLACE, FOLD_BUDGET, VIEWPORT_TILES = 250_000, 250_000, 4, 32_000_000, 12
+#: Relative standard deviation of the sketched count of places.
+DISTINCT_RSD = 0.05
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,7 @@ class Plan:
 
 def probe_frame(facts: DataFrame, exact: bool = True) -> DataFrame:
     """One row: bounds, rows and distinct places. exact=False sketches the last, which is enough for planning."""
-    place = F.count_distinct(F.struct("x", "y")) if exact else F.approx_count_distinct(F.struct("x", "y"))
+    place = F.count_distinct(F.struct("x", "y")) if exact else F.approx_count_distinct(F.struct("x", "y"), DISTINCT_RSD)
     return facts.agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.count(F.lit(1)).alias("n"), place.alias("n_distinct"))
 
 

@@ -181,3 +181,7 @@ def test_scan_prunes_and_pushes_down(spark, sf_dir):
     plan = out._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.split("\n") if "FileScan" in line)
     assert "PushedFilters: [IsNotNull(x)" in scan and "price" not in scan.split("ReadSchema")[1]
+
+
+def test_manifest_names_its_sketches(baked):
+    assert baked[1]["sketches"] == {"distinctRsd": 0.05, "quantileRankError": 0.0001}
