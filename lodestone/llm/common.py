@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,50 @@ WORD_GAP = "[ \\t-\\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; a local one only where the session names none (tests)."""
+    """The checkpoint folder all executors share. A local one serves only a local master (tests); a cluster must name its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+class Stash:
+    """Written tables in the shared folder: lineage is cut, sizes are known to the planner, and files go when dropped.
+
+    As a context it removes all that is left at its end, so results that outlive it must be `cut` first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.names = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", itertools.count()
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{next(self.names)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._stashed = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, t._stashed)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        remove(self.spark, self.at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage; survives lost executors."""
     shared_dir(df.sparkSession)
@@ -54,6 +93,35 @@ def salted(hot: DataFrame, small: DataFrame, keys: list[str], salts: int, by: Co
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+#: A key is hot if it holds at least a thousandth of the rows, so there are at most a thousand hot keys at any size.
+HOT_KEYS, HOT_LEAST, HOT_SALTS = 1000, 200, 64
+
+
+def spread(hot: DataFrame, small: DataFrame, keys: list[str], total: int, by: Column, how: str = "inner") -> DataFrame:
+    """Join of `hot` with `small`, whose keys are unique and whose column n says how many of `total` rows of hot each key has.
+
+    Rows of hot keys go to HOT_SALTS tasks, and only these keys of small are repeated. The list of hot keys is broadcast:
+    it has HOT_KEYS rows at most.
+    """
+    salt, mark = spare(hot, "salt", "is_hot")
+    large = F.col("n") >= max(HOT_LEAST, total / HOT_KEYS)
+    known = F.broadcast(small.where(large).select(*keys, F.lit(True).alias(mark)))
+    dealt = hot.join(known, keys, "left").withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(by), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))).drop(mark)
+    copies = small.withColumn(salt, F.explode(F.when(large, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df does not have, however its own are cased."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def plus(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of df with one more field; StructType.add would change the one that df caches."""
     return StructType([*df.schema.fields, StructField(name, _parse_datatype_string(kind))])

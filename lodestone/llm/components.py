@@ -1,39 +1,79 @@
-"""Connected components of an edge table by hooking roots and full pointer jumping. Only emptiness tests reach the driver."""
+"""Connected components of an edge table by rounds of local union-find. Only row counts reach the driver.
+
+A round deals its edges to tasks of about `per_task`, whichever end is hot; each task joins its own edges by union-find
+and says for every node it saw the smallest node of the node's local tree. Over all tasks a node keeps the smallest of
+these roots (a pre-aggregated minimum); where tasks differ, its other roots are joined to that one by edges of the next
+round. The nodes of a round are the roots of the one before, so tables shrink, and the round whose edges fit a single
+task is the last. Labels are then passed back from the last round to the first.
+"""
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import Stash, spread
 
+PER_TASK = 200_000
+
+
+def joined(pairs) -> dict[int, int]:
+    """Every node of the pairs with the smallest node that they connect it to."""
+    up: dict[int, int] = {}
+    for a, b in pairs:
+        for x in (a, b):
+            up.setdefault(x, x)
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a < b:
+            up[b] = a
+        else:
+            up[a] = b
+    for x in sorted(up):  # parents are smaller, so theirs are settled
+        up[x] = up[up[x]]
+    return up
 
-def _ends(parent: DataFrame) -> DataFrame:
-    """(id, root) with every root followed to the end of its chain; the steps double, so long chains take few."""
-    while True:
-        up = parent.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        jumped = cut(parent.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved")))
-        parent = jumped.select("id", "root")
-        if jumped.where("moved").isEmpty():
-            return parent
 
+def _local(batches):
+    up = joined(p for b in batches for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    at, ids, roots = 0, list(up), list(up.values())
+    while at < len(ids):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 50_000], pa.int64()), pa.array(roots[at : at + 50_000], pa.int64())], names=["id", "root"])
+        at += 50_000
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root) for every end of edges (a, b): root is the smallest id reachable.
 
-    Each round, every root hooks to the smallest root that an edge joins it to, and chains of hooks are followed to
-    their end. Minima are pre-aggregated, so a node with many edges costs one row per task; edges inside a component
-    leave the table.
+def renamed(labels: DataFrame, upper: DataFrame) -> DataFrame:
+    """labels (id, root) whose roots take their own root in upper, where they have one."""
+    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    to = upper.select(F.col("id").alias("root"), F.col("root").alias("to")).join(sizes, "root")
+    return spread(labels, to, ["root"], labels.count(), F.col("id"), "left").select("id", F.coalesce("to", "root").alias("root"))
+
+
+def components(stash: Stash, edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+    """(id, root) for every end of edges (a, b): root is the smallest id reachable. A table of the stash.
+
+    An edge from a node to itself makes it a component; no edges give no rows; repeated edges count once.
     """
-    labels = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("root")))
-    edges = edges.select("a", "b")
-    for _ in range(rounds):
-        ends = edges.join(labels.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(labels.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-        links = cut(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        if links.isEmpty():
-            return labels
-        hook = _ends(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")))
-        labels = cut(labels.join(hook.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-        edges = links
-        del ends, hook
-        release(edges.sparkSession)
-    raise RuntimeError("components did not settle")
+    edges, levels = stash.put(edges.select("a", "b")), []
+    while True:
+        tasks = math.ceil(edges.count() / per_task)
+        dealt = edges.repartition(tasks) if tasks > 1 else edges.coalesce(1)
+        local = stash.put(dealt.mapInArrow(_local, "id long, root long"))
+        stash.drop(edges)
+        if tasks <= 1:
+            break
+        least = stash.put(local.groupBy("id").agg(F.min("root").alias("root")))
+        levels.append(least)
+        told = local.join(least.withColumnRenamed("root", "least"), "id").where("root <> least")
+        edges = stash.put(told.select(F.col("least").alias("a"), F.col("root").alias("b")).distinct())
+        stash.drop(local)
+    while levels:
+        below = levels.pop()
+        labels = stash.put(renamed(below, local))
+        stash.drop(below, local)
+        local = labels
+    return local

@@ -4,16 +4,15 @@ Signature. Every shingle is a region of the plane with its weight as width. Dart
 hashes of the shingle: dart after dart has a rank (height) and a coordinate in 0..k-1; only ranks below a threshold of
 about (k ln k + 2k) / total weight are thrown, so a text costs about that many darts however long it is. The lowest
 rank per coordinate is kept; coordinates that stayed empty are thrown again at twice the height. Two texts agree in a
-coordinate with probability equal to their weighted Jaccard similarity. Weights are 1 per distinct shingle
-("binary", plain Jaccard) or counts ("count").
+coordinate with probability equal to their weighted Jaccard similarity. Weights are
+how often a text holds a shingle ("count", Jaccard of multisets) or 1 ("binary", plain Jaccard).
 
 Candidates. Equal texts are first reduced to one. k coordinates form bands of `rows`; texts that share a band meet in
 a bucket. No bucket emits its pairs: each member is paired with two pivots, the member whose bands are the most
-crowded (the centre of a group of copies) and the one with the least hash. Pairs are verified on whole shingle sets;
-verified pairs are joined to components; buckets that still hold several components are given new pivots, one per
-component against the two largest, until nothing new is verified (at most `healing` rounds). That only makes the rest
-small: members whose buckets still hold several components are then joined exactly, by the prefix filter over whole
-shingle sets with length bounds, so no similar pair that shares a band is left out.
+crowded (the centre of a group of copies) and one drawn by hash. Pairs are verified on whole shingle sets and verified
+pairs joined to components. Members of buckets that still hold several components are then compared exactly, block
+against block inside tasks (a pair in the first band it shares, and only across components), so no similar pair that
+shares a band is left out.
 
 Result: class of each row = smallest id of its component. At similarity 0.8 a pair shares a band with probability
 1 - (1 - 0.8^rows)^bands = 0.99995 for 25 bands of 5.
@@ -30,13 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, salted
-from .components import components
+from .common import Stash, cut, spare, spread
+from .components import components, renamed
 
-MASK = (1 << 64) - 1
 #: Odd factors of the words of a shingle.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
-WORDS, SIMILARITY, BANDS, ROWS, HEALING = 5, 0.8, 25, 5, 3
+WORDS, SIMILARITY, BANDS, ROWS, GROUP, BLOCK = 5, 0.8, 25, 5, 256, 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,11 +76,21 @@ def shingles(text: str, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
     return mix(out)
 
 
+def units(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Regions cut into strips of unit width: strip w of an element is there if its weight exceeds w; strip 0 is the element."""
+    weights = weights.astype(np.int64)
+    if not len(elements) or weights.max() == 1:
+        return elements
+    nth = np.arange(weights.sum()) - np.repeat(weights.cumsum() - weights, weights)
+    out = np.repeat(elements, weights)
+    more = nth > 0
+    out[more] = mix(out[more] + nth[more].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
 def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """The earliest dart (as a hash) of each of k coordinates."""
-    # unit-width strips of a region: strip w of an element belongs to it if its weight exceeds w
-    strips = [elements] + [mix(elements[weights > w] + np.uint64(w * 0x9E3779B97F4A7C15 & MASK)) for w in range(1, int(weights.max()))]
-    strips = np.concatenate(strips) if len(strips) > 1 else elements
+    strips = units(elements, weights)
     height = (k * np.log(k) + 2 * k) / len(strips)
     while True:
         ranks, darts = [], []
@@ -157,7 +165,7 @@ def _verify(words: int, least: float, weighting: str):
                 s = np.unique(s, return_counts=True) if weighting == "count" else (np.unique(s), None)
                 if member == -1:
                     held, pivot = s, p
-                elif pivot == p and similarity(held, s, weighting) >= least:
+                elif pivot == p and similarity(held, s, weighting) >= least - 1e-12:
                     keep.append(i)
             got = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column("p"), got.column("id_m")], names=["a", "b"])
@@ -165,140 +173,187 @@ def _verify(words: int, least: float, weighting: str):
     return apply
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighting: str, salts: int = 16) -> DataFrame:
-    """The pairs (p, m) whose whole texts are similar enough. A pivot's members spread over `salts` groups."""
-    members = pairs.withColumn("s", F.pmod(F.xxhash64("m"), F.lit(salts)).cast("int"))
-    pivots = members.select("p", "s").distinct()
-    left = pivots.join(texts.withColumnRenamed("id", "p"), "p").select("p", "s", F.lit(-1).cast("long").alias("m"), F.lit(None).cast("long").alias("id_m"), "text")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighting: str) -> DataFrame:
+    """(a, b): the pairs (p, m) whose whole texts are similar enough. A pivot's members go to groups of about GROUP."""
+    sized = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    members = pairs.join(sized, "p").withColumn("s", F.pmod(F.xxhash64("m"), "parts").cast("int"))
+    pivots = sized.join(texts.withColumnRenamed("id", "p"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), "text")
+    left = pivots.select("p", "s", F.lit(-1).cast("long").alias("m"), F.lit(None).cast("long").alias("id_m"), "text")
     right = members.join(texts.withColumnRenamed("id", "m"), "m").select("p", "s", F.lit(0).cast("long").alias("m"), F.col("m").alias("id_m"), "text")
-    both = left.unionByName(right)
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(n, "p", "s").sortWithinPartitions("p", "s", "m").mapInArrow(_verify(words, least, weighting), "a long, b long")
+    return left.unionByName(right).repartition(n, "p", "s").sortWithinPartitions("p", "s", "m").mapInArrow(_verify(words, least, weighting), "a long, b long")
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """(p, m) once per unordered pair, from (a: pivot, b: member)."""
-    each = df.where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("a") < F.col("b")).alias("first"))
-    each = each.groupBy("x", "y").agg(F.max("first").alias("first"))
-    return each.select(F.when(F.col("first"), F.col("x")).otherwise(F.col("y")).alias("p"), F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("m"), "x", "y")
+def signed_rows(docs: DataFrame, words: int, bands: int, rows: int, weighting: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text, t1, t2) of every row, and (id, t1, t2, bands): two hashes name a text."""
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
+    return source, source.mapInArrow(_signed(bands, rows, words, weighting), "id long, t1 long, t2 long, bands array<long>")
 
 
-def nodes_of(docs: DataFrame, words: int, bands: int, rows: int, weighting: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Texts with hashes; rows (id, t1, t2); one node per distinct text with its least id and its bands."""
-    text = F.coalesce("text", F.lit(""))
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
-    signed = cut(source.mapInArrow(_signed(bands, rows, words, weighting), "id long, t1 long, t2 long, bands array<long>"))
-    # equal texts have equal bands; the least id is found by a pre-aggregated minimum, so copies cost a row per task
-    nodes = cut(signed.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.min("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    release(docs.sparkSession)
-    return source, signed.select("id", "t1", "t2"), nodes
+def distinct_texts(signed: DataFrame) -> DataFrame:
+    """(node, t1, t2, least, bands): one node per distinct text with its least id. Copies cost a row per task."""
+    return signed.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id())
+
 
+def candidates(stash: Stash, nodes: DataFrame) -> DataFrame:
+    """(key, node, p1, p2): members of buckets of two texts or more, with both pivots of the bucket.
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, band, key, p1, p2): members of buckets of two texts or more, with both pivots of the bucket."""
-    one = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    crowded = one.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = one.join(crowded, ["band", "key"])
-    members = members.join(members.groupBy("node").agg(F.sum(F.log2("n")).alias("mass")), "node")
-    central = F.struct(-F.col("mass"), F.col("node"))
-    pivots = members.groupBy("band", "key").agg(F.min_by("node", central).alias("p1"), F.min_by("node", F.struct(F.xxhash64("node", "band"), F.col("node"))).alias("p2"))
-    return cut(members.select("node", "band", "key").join(pivots, ["band", "key"]))
+    A band's key holds the number of the band, so keys of different bands never meet.
+    """
+    one = nodes.select("node", F.explode("bands").alias("key"))
+    crowded = one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stash.put(one.join(crowded, "key"))
+    mass = members.groupBy("node").agg(F.sum(F.log2("n")).alias("mass"))
+    central, drawn = F.struct(-F.col("mass"), F.col("node")), F.struct(F.xxhash64("node"), F.col("node"))
+    pivots = members.join(mass, "node").groupBy("key").agg(F.min_by("node", central).alias("p1"), F.min_by("node", drawn).alias("p2"), F.first("n").alias("n"))
+    met = stash.put(spread(members.select("key", "node"), pivots, ["key"], members.count(), F.col("node")))
+    stash.drop(members)
+    return met
+
+
+def pivot_pairs(met: DataFrame) -> DataFrame:
+    """(p, m) once per unordered pair of a pivot p and a member m."""
+    each = met.select(F.explode(F.array("p1", "p2")).alias("p"), F.col("node").alias("m")).where("p <> m")
+    first = each.groupBy(F.least("p", "m").alias("x"), F.greatest("p", "m").alias("y")).agg(F.max(F.col("p") < F.col("m")).alias("first"))
+    return first.select(F.when(F.col("first"), F.col("x")).otherwise(F.col("y")).alias("p"), F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("m"))
+
+
+def unsettled(met: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """(key, node, root, g, slot, slots): members of buckets that hold several components beyond the pivots' own pairs.
+
+    Both pivots of a bucket met all its members, so only the other members can hold untried pairs. A component with
+    `block` members in the bucket or more forms a group g of its own, the smaller ones share group -1; groups fall into
+    slots of about `block` members.
+    """
+    rest = met.where("node <> p1 AND node <> p2").join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    small = F.col("c") < block
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(small, F.col("c")).otherwise(0)).alias("few")).where("k > 1")
+    parts = parts.join(mixed, "key").select("key", "root", F.when(small, -1).otherwise(F.col("root")).alias("g"), F.ceil(F.when(small, F.col("few")).otherwise(F.col("c")) / block).cast("int").alias("slots"))
+    return rest.join(parts, ["key", "root"]).withColumn("slot", F.pmod(F.xxhash64("node"), "slots").cast("int"))
 
 
-def _elements(words: int, weighting: str):
-    """Each text as a set of elements; counted shingles become as many elements, so that Jaccard is that of sets."""
+def _settle(words: int, least: float, weighting: str):
+    """Rows come sorted by pair of blocks: the members of one are held as an inverted index, those of the other stream by.
 
-    def flush(held):
-        n = np.array([len(e) for _, _, e in held])
-        column = lambda i, kind: pa.array(np.repeat(np.array([x[i] for x in held], kind), n))
-        return pa.RecordBatch.from_arrays([column(0, np.int64), column(1, np.int64), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate([e for _, _, e in held]).view(np.int64))], names=["node", "root", "size", "s"])
+    Emits edges between roots of different components, and of those only the ones that join something new.
+    """
 
     def apply(batches):
-        hashes, held, n = WordHashes(), [], 0
+        hashes, group, held, up = WordHashes(), None, [], {}
+        index = None
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        def compare(node, root, bands, e, key, alone):
+            """Links of one text to the held ones; alone: the block meets itself, so only earlier members count."""
+            post, at, start, sizes, all_bands = index
+            same = all_bands == bands
+            first = same.argmax(1)
+            # a pair is compared in the first band that it shares
+            ok = same.any(1) & (bands[first] == key) & (np.minimum(sizes, len(e)) >= least * np.maximum(sizes, len(e)) - 1e-9)
+            if alone:
+                ok &= np.array([h[0] < node for h in held])
+            mine = top(root)
+            ok &= np.array([top(h[1]) != mine for h in held])
+            if not ok.any():
+                return
+            lo = np.searchsorted(post, e)
+            hit = lo[(lo < len(post)) & (post[np.minimum(lo, len(post) - 1)] == e)] if len(post) else lo[:0]
+            n = start[hit + 1] - start[hit]
+            where = np.repeat(start[hit] - n.cumsum() + n, n) + np.arange(n.sum())
+            both = np.bincount(at[where], minlength=len(held))
+            for i in np.flatnonzero(ok & (both > 0) & (both >= least * (sizes + len(e) - both) - 1e-9)):
+                r = top(held[i][1])
+                if r != top(root):
+                    links.append((held[i][1], root))
+                    up[max(r, top(root))] = min(r, top(root))
+
+        def indexed():
+            e = np.concatenate([h[3] for h in held])
+            d = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+            order = np.argsort(e, kind="stable")
+            post, start = np.unique(e[order], return_index=True)
+            return post, d[order], np.append(start, len(e)), np.array([len(h[3]) for h in held]), np.stack([h[2] for h in held])
+
         for b in batches:
-            for node, root, text in zip(b.column("node").to_pylist(), b.column("root").to_pylist(), b.column("text").to_pylist()):
+            links = []
+            columns = [b.column(c).to_pylist() for c in ("key", "ga", "i", "gb", "j", "side", "node", "root", "bands", "text")]
+            for key, ga, i, gb, j, side, node, root, bands, text in zip(*columns):
+                if group != (key, ga, i, gb, j):
+                    if index is None and held:
+                        index = indexed()
+                        for h in held:
+                            compare(*h, group[0], True)
+                    group, held, index, up = (key, ga, i, gb, j), [], None, {}
                 e, c = np.unique(shingles(text or "", hashes, words), return_counts=True)
-                if weighting == "count" and len(e):
-                    e = np.concatenate([e] + [mix(e[c > w] + np.uint64(w * 0x9E3779B97F4A7C15 & MASK)) for w in range(1, int(c.max()))])
-                held.append((node, root, e))
-                n += len(e)
-                if n > 200_000:
-                    yield flush(held)
-                    held, n = [], 0
-        if held:
-            yield flush(held)
+                e, bands = units(e, c) if weighting == "count" else e, np.array(bands, np.int64)
+                if side == 0:
+                    held.append((node, root, bands, e))
+                elif held:
+                    index = index or indexed()
+                    compare(node, root, bands, e, key, False)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        links = []
+        if index is None and held:
+            index = indexed()
+            for h in held:
+                compare(*h, group[0], True)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return apply
 
 
-def crossing(met: DataFrame, roots: DataFrame, texts: DataFrame, words: int, least: float, weighting: str, salts: int = 8) -> DataFrame:
-    """(x, y): a superset of the similar pairs of different components that no pivot of a shared bucket has settled.
+def crossing(members: DataFrame, texts: DataFrame, words: int, least: float, weighting: str) -> DataFrame:
+    """(a, b): edges between the components of similar members of a bucket that no pivot has settled. Exact.
 
-    Both pivots of a bucket met all its members, so only the other members can hold untried pairs. Of those, similar
-    texts share an element among the first size - ceil(least * size) + 1 in any one order of all elements. Elements
-    held inside a single component come first in that order and are never joined.
+    Blocks of members are compared pairwise inside tasks; blocks of one and the same component are not. Only links
+    leave a task, never pairs.
     """
-    rest = met.where("node <> p1 AND node <> p2").join(roots.withColumnRenamed("id", "node"), "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rest.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    nodes = rest.join(mixed, ["band", "key"], "left_semi").select("node", "root").distinct()
-    elements = cut(nodes.join(texts.withColumnRenamed("id", "node"), "node").mapInArrow(_elements(words, weighting), "node long, root long, size int, s long"))
-    between = elements.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "n")
-    ranked = elements.join(between, "s").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("o"))
-    ranked = ranked.withColumn("first", (F.size("o") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")).where("first > 0")
-    prefix = cut(ranked.select("node", "root", "size", F.explode(F.slice("o", F.lit(1), F.col("first"))).alias("e")).select("node", "root", "size", F.col("e.s").alias("s")))
-    left = prefix.select("s", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("nx"), F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("_salt"))
-    right = prefix.select("s", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("size").alias("ny"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    near = (F.least("nx", "ny") >= F.greatest("nx", "ny") * least - 1e-9) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry"))
-    return left.join(right, ["s", "_salt"]).where(near).select("x", "y").distinct()
-
-
-def linked(docs_texts: DataFrame, nodes: DataFrame, words: int, least: float, weighting: str, healing: int) -> DataFrame | None:
-    """Verified edges (a, b) between nodes whose components are those of all similar pairs that share a band."""
-    met = candidates(nodes)
-    involved = met.select("node").distinct().join(nodes.select("node", "t1", "t2"), "node")
-    texts = cut(docs_texts.join(involved, ["t1", "t2"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "text"))
-    release(nodes.sparkSession)
-    pairs = _pairs(met.select(F.explode(F.array("p1", "p2")).alias("a"), F.col("node").alias("b")))
-    links = tried = None
-    for turn in range(healing + 1):
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
-        found = cut(verified(pairs.select("p", "m"), texts, words, least, weighting))
-        links = found if links is None else links.unionByName(found)
-        tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
-        release(nodes.sparkSession)
-        if turn == healing or turn and found.isEmpty():
-            break
-        # cheap rounds first: two delegates of each component of a bucket against two of the largest
-        roots = components(links)
-        now = met.select("band", "key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        draw = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
-        parts = now.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(F.min_by("node", draw), F.max_by("node", draw))).alias("drawn"))
-        largest = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "root", "drawn")).alias("top")).where("k > 1")
-        again = parts.join(largest, ["band", "key"]).where("root <> top.root").withColumn("a", F.explode("top.drawn")).withColumn("b", F.explode("drawn"))
-        pairs = _pairs(again).join(tried, ["x", "y"], "left_anti")
-    if links is not None:
-        roots = components(links)
-        pairs = cut(crossing(met, roots, texts, words, least, weighting).join(tried, ["x", "y"], "left_anti"))
-        if not pairs.isEmpty():
-            links = links.unionByName(cut(verified(pairs.select(F.col("x").alias("p"), F.col("y").alias("m")), texts, words, least, weighting)))
-        release(nodes.sparkSession)
-    return links
-
-
-def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "binary", healing: int = HEALING) -> DataFrame:
-    """doc_id, class_id for every row of docs."""
-    source, ids, nodes = nodes_of(docs, words, bands, rows, weighting)
-    links = linked(source, nodes, words, least, weighting, healing)
-    if links is not None:
-        roots = components(links).withColumnRenamed("id", "node")
-        named = nodes.select("node", "t1", "t2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        class_of = named.groupBy("root").agg(F.min("least").alias("class_id"))
-        named = named.join(class_of, "root").select("t1", "t2", "class_id")
-    else:
-        named = nodes.select("t1", "t2", F.col("least").alias("class_id"))
-    return salted(ids, named, ["t1", "t2"], 32, F.col("id")).select(F.col("id").alias("doc_id"), "class_id", "t1", "t2")
+    groups = members.select("key", "g", "slots").distinct()
+    other = groups.select("key", F.col("g").alias("gb"), F.col("slots").alias("sb"))
+    blocks = groups.withColumnsRenamed({"g": "ga", "slots": "sa"}).join(other, "key").where("ga < gb OR ga = -1 AND gb = -1")
+    blocks = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sa") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sb") - 1))).where("ga <> gb OR i <= j").select("key", "ga", "i", "gb", "j")
+    one, two = F.struct("ga", "i", F.lit(0).alias("side")), F.struct(F.col("gb").alias("ga"), F.col("j").alias("i"), F.lit(1).alias("side"))
+    sides = F.when((F.col("ga") == F.col("gb")) & (F.col("i") == F.col("j")), F.array(one)).otherwise(F.array(one, two))
+    ends = blocks.withColumn("end", F.explode(sides)).select("key", "ga", "i", "gb", "j", F.col("end.ga").alias("g"), F.col("end.i").alias("slot"), F.col("end.side").alias("side"))
+    rows = members.select("key", "node", "root", "g", "slot").join(ends, ["key", "g", "slot"]).join(texts.select(F.col("id").alias("node"), "bands", "text"), "node")
+    order = ["key", "ga", "i", "gb", "j"]
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *order).sortWithinPartitions(*order, "side", "node").select(*order, "side", "node", "root", "bands", "text").mapInArrow(_settle(words, least, weighting), "a long, b long")
+
+
+def linked(stash: Stash, source: DataFrame, nodes: DataFrame, words: int, least: float, weighting: str, block: int = BLOCK) -> DataFrame:
+    """(id, root) of nodes that are similar to another one: components of all similar pairs that share a band."""
+    met = candidates(stash, nodes)
+    involved = met.select("node").distinct().join(nodes.select("node", "t1", "t2", "bands"), "node")
+    texts = stash.put(source.join(involved, ["t1", "t2"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "bands", "text"))
+    pairs = stash.put(pivot_pairs(met))
+    roots = components(stash, verified(pairs, texts.select("id", "text"), words, least, weighting))
+    members = stash.put(unsettled(met, roots, block))
+    stash.drop(met, pairs)
+    upper = components(stash, crossing(members, texts, words, least, weighting))
+    # nodes without a link so far enter as their own root
+    alone = upper.join(roots, "id", "left_anti").select("id", F.col("id").alias("root"))
+    return renamed(stash.put(roots.unionByName(alone)), upper)
+
+
+def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "count") -> DataFrame:
+    """doc_id, class_id for every row of docs, with the hashes t1, t2 of its text."""
+    with Stash(docs.sparkSession) as stash:
+        source, signed = signed_rows(docs, words, bands, rows, weighting)
+        signed = stash.put(signed)
+        nodes = stash.put(distinct_texts(signed))
+        roots = linked(stash, source, nodes, words, least, weighting).withColumnRenamed("id", "node")
+        named = stash.put(nodes.select("node", "t1", "t2", "least", F.col("n").alias("copies")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        class_of = named.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n"))
+        named = spread(named, class_of, ["root"], named.count(), F.col("node")).select("t1", "t2", "class_id", F.col("copies").alias("n"))
+        rows = signed.select("id", "t1", "t2")
+        return cut(spread(rows, named, ["t1", "t2"], rows.count(), F.col("id")).select(F.col("id").alias("doc_id"), "class_id", "t1", "t2"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -308,11 +363,12 @@ def report(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class: that of the class id; of rows equal in id and class one, settled by their text's hash.
 
-    Rows without an id stay only where their whole class has none.
+    Rows without an id stay only where their whole class has none. Columns of docs may have any names.
     """
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id")).agg(F.min(F.struct("t1", "t2")).alias("t"))
-    kept = kept.select(F.col("class_id").alias("_id"), F.col("t.t1").alias("_t1"), F.col("t.t2").alias("_t2"))
+    h1, h2, key, k1, k2 = spare(docs, "h1", "h2", "key", "k1", "k2")
+    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min(F.struct("t1", "t2")).alias("t"))
+    kept = kept.select(F.col("class_id").alias(key), F.col("t.t1").alias(k1), F.col("t.t2").alias(k2))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)})
-    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_h1", "_h2"]).select(*docs.columns)
+    keyed = docs.withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(7), text)})
+    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2)), "left_semi")
+    return out.dropDuplicates(["doc_id", h1, h2]).select(*docs.columns)

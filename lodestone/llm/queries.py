@@ -62,9 +62,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), rep AS (SELECT t, min(doc_id) AS r FROM d GROUP BY t),
 w AS (SELECT r, regexp_extract_all(t, '[^ \\t-\\r]+') AS ws FROM rep),
-s AS (SELECT DISTINCT r, array_to_string(ws[i:i + {near_dedup.WORDS - 1}], ' ') AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - {near_dedup.WORDS - 2}, 2))) AS i FROM w WHERE len(ws) > 0)),
-n AS (SELECT r, count(*) AS k FROM s GROUP BY r),
-p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+s AS (SELECT r, g, count(*) AS c FROM (SELECT r, array_to_string(ws[i:i + {near_dedup.WORDS - 1}], ' ') AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - {near_dedup.WORDS - 2}, 2))) AS i FROM w WHERE len(ws) > 0)) GROUP BY r, g),
+n AS (SELECT r, sum(c) AS k FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, sum(least(a.c, b.c)) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
 e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE c >= {near_dedup.SIMILARITY} * (x.k + y.k - c)),
 sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT r, r FROM rep UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),

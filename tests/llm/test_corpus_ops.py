@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import chat, near_dedup, queries, search, sharding
+from lodestone.llm.common import Stash, spread
 from lodestone.llm.components import components
 
 from .test_text_ops import EDGE, frame, sample
@@ -57,11 +58,12 @@ def test_search_edges(spark):
 # --- near-duplicates -------------------------------------------------------------------------------------------------
 
 
-def brute_classes(texts, ids, least=0.8):
+def brute_classes(texts, ids, least=0.8, weighting="count"):
     sh = []
     for t in texts:
         w = (t or "").encode().split()
-        sh.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter({tuple(w): 1} if w else {})
+        sh.append(set(grams) if weighting == "binary" else {(g, i) for g, n in grams.items() for i in range(n)})
     root = list(range(len(texts)))
 
     def find(i):
@@ -115,8 +117,19 @@ def test_near_dedup_edges(spark):
     assert near_dedup.deduplicate(frame(spark, ["x y z"] * 4, [None, None, 2, 2])).count() == 1
 
 
+def linked_classes(spark, texts, weighting="count", block=near_dedup.BLOCK):
+    """Classes of texts that all share one bucket."""
+    rows = [(i, i, i, i, [1]) for i in range(len(texts))]
+    nodes = spark.createDataFrame(rows, "node long, t1 long, t2 long, least long, bands array<long>")
+    source = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(texts)], "id long, text string, t1 long, t2 long")
+    with Stash(spark) as stash:
+        roots = {x.id: x.root for x in near_dedup.linked(stash, source, nodes, near_dedup.WORDS, near_dedup.SIMILARITY, weighting, block).collect()}
+    return [roots.get(i, i) for i in range(len(texts))]
+
+
 @pytest.mark.parametrize("weighting", ["binary", "count"])
-def test_small_components_of_a_crowded_bucket_meet(spark, weighting):
+@pytest.mark.parametrize("block", [8, near_dedup.BLOCK])
+def test_small_components_of_a_crowded_bucket_meet(spark, weighting, block):
     r = random.Random(5)
     say = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
     core = say(100)
@@ -124,12 +137,30 @@ def test_small_components_of_a_crowded_bucket_meet(spark, weighting):
     for _ in range(12):  # pairs similar to each other only, in the bucket of the large group
         a = say(100)
         texts += [" ".join(a), " ".join(a[:-1] + ["other"])]
-    rows = [(i, i, i, i, [1]) for i in range(len(texts))]
-    nodes = spark.createDataFrame(rows, "node long, t1 long, t2 long, least long, bands array<long>")
-    source = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(texts)], "id long, text string, t1 long, t2 long")
-    links = near_dedup.linked(source, nodes, near_dedup.WORDS, near_dedup.SIMILARITY, weighting, near_dedup.HEALING)
-    roots = {x.id: x.root for x in components(links).collect()}
-    assert [roots.get(i, i) for i in range(len(texts))] == brute_classes(texts, list(range(len(texts))))
+    assert linked_classes(spark, texts, weighting, block) == brute_classes(texts, list(range(len(texts))), weighting=weighting)
+
+
+def test_chains_in_a_crowded_bucket(spark):
+    """Neighbours of a chain are similar, its ends are not, and no member is a centre."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(6):
+        ws = [f"w{r.randint(0, 10**9)}" for _ in range(120)]
+        for step in range(15):
+            ws[step * 8] = "x" + ws[step * 8]
+            texts.append(" ".join(ws))
+    r.shuffle(texts)
+    want = brute_classes(texts, list(range(len(texts))))
+    assert len(set(want)) == 6 and linked_classes(spark, texts, block=16) == want
+
+
+def test_a_large_group_of_near_copies(spark):
+    r = random.Random(8)
+    core = [f"w{i}" for i in range(60)]
+    texts = [" ".join(core)] + [" ".join(f"e{r.randint(0, 9**9)}" if r.random() < 0.02 else w for w in core) for _ in range(1999)]
+    got = {x.doc_id: x.class_id for x in near_dedup.report(frame(spark, texts)).collect()}
+    want = brute_classes(texts, list(range(len(texts))))
+    assert sum(got[i] == w for i, w in enumerate(want)) >= 0.999 * len(want) and len(got) == len(texts)
 
 
 def test_darts_estimate_weighted_similarity():
@@ -143,10 +174,20 @@ def test_darts_estimate_weighted_similarity():
         assert np.mean(hits) == pytest.approx(common / (ca.sum() + cb.sum() - common), abs=0.03)
 
 
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 150), (150, 300)]
-    got = {r.id: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 150: 150, 200: 150, 300: 150}
+@pytest.mark.parametrize("per_task", [7, 10**6])
+def test_components(spark, per_task):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 150), (150, 300), (7, 7), (400, 400), (100, 101)]
+    with Stash(spark) as stash:
+        got = {r.id: r.root for r in components(stash, spark.createDataFrame(chain, "a long, b long"), per_task).collect()}
+        assert components(stash, spark.createDataFrame([], "a long, b long")).count() == 0
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 150: 150, 200: 150, 300: 150, 400: 400}
+
+
+def test_hot_keys_are_spread(spark):
+    hot = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("salt"), F.lit("x").alias("is_hot")).union(spark.range(50).select(F.col("id") + 10, F.col("id"), F.lit("y")))
+    small = hot.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("salt").alias("top"))
+    got = spread(hot, small, ["k"], 3050, F.col("salt"))
+    assert got.columns == ["k", "salt", "is_hot", "top"] and got.count() == 3050 and got.where("salt > top").count() == 0
 
 
 # --- chat --------------------------------------------------------------------------------------------------------------
