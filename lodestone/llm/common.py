@@ -12,6 +12,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: ASCII white space of the contracts: space and \x09-\x0D, the set that bytes.split() uses.
 WORD_GAP = "[ \\t-\\r]+"
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold BATCH_BYTES at most, unless the session says otherwise: rows alone bound no memory."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Stash:
     """Written tables in the shared folder: lineage is cut, sizes are known to the planner, and files go when dropped.
 
@@ -39,6 +46,7 @@ class Stash:
     """
 
     def __init__(self, spark: SparkSession):
+        limit_batches(spark)
         self.spark, self.at, self.names = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", itertools.count()
 
     def put(self, df: DataFrame) -> DataFrame:

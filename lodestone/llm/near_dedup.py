@@ -175,8 +175,8 @@ def _verify(words: int, least: float, weighting: str):
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighting: str) -> DataFrame:
     """(a, b): the pairs (p, m) whose whole texts are similar enough. A pivot's members go to groups of about GROUP."""
-    sized = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    members = pairs.join(sized, "p").withColumn("s", F.pmod(F.xxhash64("m"), "parts").cast("int"))
+    sized = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
+    members = spread(pairs, sized, ["p"], pairs.count(), F.col("m")).withColumn("s", F.pmod(F.xxhash64("m"), "parts").cast("int"))
     pivots = sized.join(texts.withColumnRenamed("id", "p"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), "text")
     left = pivots.select("p", "s", F.lit(-1).cast("long").alias("m"), F.lit(None).cast("long").alias("id_m"), "text")
     right = members.join(texts.withColumnRenamed("id", "m"), "m").select("p", "s", F.lit(0).cast("long").alias("m"), F.col("m").alias("id_m"), "text")
