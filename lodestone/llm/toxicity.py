@@ -1,59 +1,84 @@
 """Toxicity scores: gradient-boosted trees over dense text features with isotonic calibration.
 
-Features of a whole text: densities of three lexicon tiers (plain hits, distinct hits, hits after undoing
-obfuscation), hits near a second person, capitals, punctuation and obfuscation rates, lengths and repetition.
-Trees (logistic loss, Newton leaves, quantile bins) and the isotonic map are fitted in numpy on at most
-`max_labels` labelled documents, chosen by hash of the id, so the bound holds at any corpus size; the map is fitted
-on a third of them that the trees have not seen. Scoring covers every row and depends on the text alone.
+Lexicon. The words that mark toxic texts are learnt, not listed. From the training rows, words (lower case, obfuscation
+undone) and their first 4, 5 and 6 letters are counted by class, one per document; a term enters the lexicon if it is at
+least LIFT times as frequent in toxic texts and a likelihood-ratio test says so by SIGMA standard deviations. At most
+TERMS terms are kept, the most certain ones. Its weight is its smoothed log-odds.
+
+Features of a whole text: densities of lexicon hits (plain, distinct, strong ones, hits that only undoing obfuscation
+shows), hits near a second person, capitals, punctuation and obfuscation rates, lengths and repetition. Training rows are
+measured with the lexicon of the other half of them, so a text never meets words learnt from itself; new texts are
+measured with the lexicon of all. Trees (logistic loss, Newton leaves, quantile bins) and the isotonic map are fitted in
+numpy on at most `max_labels` labelled documents, chosen by hash of the id, so the bound holds at any corpus size; the
+map is fitted on a third of them that the trees have not seen. Scoring covers every row and depends on the text alone.
 
 Cases: null text counts as empty; rows without an id are scored, never learnt from; a document labelled twice counts
-once as its larger label; without labels of both kinds the score is the base rate (0.5 with none at all).
+once as its larger label; of several rows of a labelled id the least text counts; without labels of both kinds the score
+is the base rate (0.5 with none at all).
 """
 from __future__ import annotations
 
 import re
+from collections import Counter
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus
+from .common import Stash, plus, spare
 
 MAX_LABELS, THRESHOLD = 20_000, 0.3
-# Insults, abusive descriptions and threats, lower case.
-INSULTS = "idiot idiots moron morons stupid dumb loser losers clown clowns scum trash garbage imbecile fool fools jerk bastard bitch cretin dimwit pig rat vermin coward freak creep dummkopf arschloch idioten imbécil estúpido estúpida idiota tonto connard crétin abruti imbécile salaud".split()
-ABUSE = "worthless pathetic disgusting useless hate despise loathe ugly filthy nasty repulsive vile wretched hideous contemptible shut sucks crap damn hell shit fuck fucking asskisser scheiße mierda merde basura asqueroso wertlos".split()
-THREATS = "kill die hurt burn destroy beat shoot hang choke punch rape stab".split()
-SECOND = "you your yours yourself u ur du dich dir dein deine ihr euch tu te ti tú usted ustedes toi ton ta vous votre vos".split()
+TERMS, SIGMA, LIFT, FLUSH = 2_000, 5.0, 4.0, 300_000
+#: Pronouns of the second person; they are grammar and say nothing by themselves.
+SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te ti tú usted ustedes toi ton ta vous votre vos".split())
 LEET = str.maketrans("013457@$!|", "oieastasii")
 
-NAMES = ["hit_share", "hit_log", "distinct_hits", "abuse_share", "threat_share", "second_share", "near_second", "obfuscated_share", "obfuscated_hits", "capital_rate", "capital_words", "punct_rate", "exclaim_rate", "question_rate", "digit_rate", "symbol_rate", "length_log", "word_length", "distinct_share"]
-_EDGE = ".,;:!?\"'()[]{}<>|*#&=+-_/\\~`"
-_OBF = re.compile(r"(?<![^\W_])(?:[^\W\d_]+[@$!|*013457][^\W\d_]+|[^\W\d_](?:[.\-_*][^\W\d_]){2,})(?![^\W_])")
+NAMES = ["hit_share", "hit_log", "distinct_hits", "strong_share", "most", "weight_log", "near_second", "disguised_hits"]
+SHAPES = ["second_share", "obfuscated_share", "capital_rate", "capital_words", "punct_rate", "exclaim_rate", "question_rate", "digit_rate", "symbol_rate", "length_log", "word_length", "distinct_share"]
+_EDGE = ".,;:!?\"'()[]{}<>|*#&=+-_/\\~`%$@^"
+_INNER = re.compile(r"[.\-_*]")
+_OBF = re.compile(r"(?<![^\W_])(?:[^\W\d_]+[@$!|*013457]+[^\W\d_]+|[^\W\d_](?:[.\-_*][^\W\d_]){2,})(?![^\W_])")
 
 
-def lexicon() -> dict[str, int]:
-    return {**dict.fromkeys(THREATS, 2), **dict.fromkeys(ABUSE, 1), **dict.fromkeys(INSULTS, 0)}
+def plain(word: str) -> str:
+    return word.lower().strip(_EDGE)
 
 
-def features(text: str, lex: dict[str, int], second: frozenset) -> list[float]:
-    raw = text.split()
+def undone(word: str) -> str:
+    """The word without obfuscation: look-alikes read as letters, separators inside dropped."""
+    return _INNER.sub("", plain(word).translate(LEET))
+
+
+def terms(word: str) -> list[str]:
+    """The word itself and, marked by a hat, its stems."""
+    return [word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)]
+
+
+class Lexicon(dict):
+    """Raw token -> (weight, whether only undoing obfuscation shows it); tokens are remembered up to a bound."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def weight(self, word: str) -> float:
+        return max([self.weights.get(t, 0.0) for t in terms(word)]) if word else 0.0
+
+    def __missing__(self, token: str) -> tuple[float, bool]:
+        if len(self) > 300_000:
+            self.clear()
+        seen = self.weight(plain(token))
+        below = self.weight(undone(token))
+        self[token] = out = (max(seen, below), below > seen)
+        return out
+
+
+def shape(text: str, raw: list[str]) -> list[float]:
+    """What does not depend on any lexicon."""
     n = max(1, len(raw))
-    low = [w.strip(_EDGE) for w in text.lower().split()]
-    hits = [i for i, w in enumerate(low) if w in lex]
-    tiers = [0, 0, 0]
-    for i in hits:
-        tiers[lex[low[i]]] += 1
-    vocabulary = set(low)
-    you = [i for i, w in enumerate(low) if w in second] if not second.isdisjoint(vocabulary) else []
-    near = 0
-    if hits and you:
-        at, where = np.asarray(you), np.searchsorted(you, hits)
-        for i, j in zip(hits, where):
-            near += min(abs(i - at[k]) for k in (max(0, j - 1), min(len(at) - 1, j))) <= 5
-    odd = _OBF.findall(text)
-    undone = sum(re.sub(r"[.\-_*]", "", w.lower().translate(LEET)) in lex or w.lower().translate(LEET) in lex for w in odd)
+    low = list(map(plain, raw))
     b = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     chars = max(1, len(text))
     capitals = b[65:91].sum()
@@ -61,14 +86,78 @@ def features(text: str, lex: dict[str, int], second: frozenset) -> list[float]:
     punct = b[33:48].sum() + b[58:65].sum() + b[91:97].sum() + b[123:127].sum()
     shouted = sum(map(str.isupper, raw)) if capitals > n / 20 else 0
     return [
-        len(hits) / n, np.log1p(len(hits)), len({low[i] for i in hits}), tiers[1] / n, tiers[2] / n, len(you) / n, near / n, len(odd) / n, float(undone),
-        capitals / letters, shouted / n, punct / chars, b[33] / chars, b[63] / chars, b[48:58].sum() / chars, b[[35, 36, 37, 38, 42, 60, 62, 64, 94, 124]].sum() / chars, np.log1p(n), chars / n, len(vocabulary) / n,
+        sum(map(SECOND.__contains__, low)) / n, len(_OBF.findall(text)) / n, capitals / letters, shouted / n, punct / chars, b[33] / chars, b[63] / chars, b[48:58].sum() / chars,
+        b[[35, 36, 37, 38, 42, 60, 62, 64, 94, 124]].sum() / chars, np.log1p(len(raw)), chars / n, len(set(low)) / n,
     ]
 
 
-def matrix(texts: list) -> np.ndarray:
-    lex, second = lexicon(), frozenset(SECOND)
-    return np.array([features(t or "", lex, second) for t in texts], np.float64).reshape(len(texts), len(NAMES))
+def features(text: str, lexicon: Lexicon) -> list[float]:
+    raw = text.split()
+    n = max(1, len(raw))
+    found = [(i, *lexicon[w]) for i, w in enumerate(raw)]
+    hits = [(i, w, hidden) for i, w, hidden in found if w > 0]
+    near = 0
+    if hits:
+        you = np.array([i for i, w in enumerate(raw) if plain(w) in SECOND])
+        at = np.array([i for i, _, _ in hits])
+        if len(you):
+            j = np.searchsorted(you, at)
+            near = int((np.minimum(abs(at - you[np.maximum(j - 1, 0)]), abs(at - you[np.minimum(j, len(you) - 1)])) <= 5).sum())
+    weights = [w for _, w, _ in hits]
+    return [
+        len(hits) / n, log1p(len(hits)), float(len({undone(raw[i]) for i, _, _ in hits})), sum(w > 4 for w in weights) / n, max(weights, default=0.0), log1p(sum(weights)), near / n, float(sum(h for _, _, h in hits)),
+        *shape(text, raw),
+    ]
+
+
+def matrix(texts: list, lexicon: Lexicon) -> np.ndarray:
+    return np.array([features(t or "", lexicon) for t in texts], np.float64).reshape(len(texts), len(NAMES) + len(SHAPES))
+
+
+def _counted(batches):
+    """(t, fold, toxic, n): documents per term, flushed at a bounded size; term '' counts the documents themselves."""
+    counts: Counter = Counter()
+
+    def flush():
+        keys = list(counts)
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["t", "fold", "toxic", "n"])
+        counts.clear()
+        return out
+
+    for b in batches:
+        for text, fold, y in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), b.column("toxic").to_pylist()):
+            words = set(map(undone, set((text or "").split()))) - {""}
+            counts.update((t, fold, y) for t in {t for w in words for t in terms(w)} | {""})
+            if len(counts) > FLUSH:
+                yield flush()
+    yield flush()
+
+
+def evidence(a, b, n_a, n_b):
+    """Likelihood ratio (twice its log) of a term in a of n_a toxic and b of n_b other texts, against one common rate. Columns."""
+    part = lambda k, n, rate: F.when(k > 0, k * F.log(k / (n * rate))).otherwise(0.0)
+    p = (a + b) / (n_a + n_b)
+    return 2 * (part(a, n_a, p) + part(b, n_b, p) + part(n_a - a, n_a, 1 - p) + part(n_b - b, n_b, 1 - p))
+
+
+def lexicons(rows: DataFrame, stash: Stash) -> dict[int, Lexicon]:
+    """From rows (text, toxic, fold): the lexicon of fold 0, of fold 1 and, at -1, of both. Each has TERMS terms at most."""
+    counts = rows.mapInArrow(_counted, "t string, fold int, toxic int, n long").groupBy("t").pivot("fold", [0, 1])
+    sums = counts.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("b")).na.fill(0)
+    sums = stash.put(sums.withColumns({"-1_a": F.col("0_a") + F.col("1_a"), "-1_b": F.col("0_b") + F.col("1_b")}))
+    whole = sums.where("t = ''").first()
+    out = {}
+    for k in (0, 1, -1):
+        n_a, n_b = (float(whole[f"{k}_{c}"]) if whole else 0.0 for c in "ab")
+        if not n_a or not n_b:
+            out[k] = Lexicon({})
+            continue
+        a, b = F.col(f"{k}_a").cast("double"), F.col(f"{k}_b").cast("double")
+        odds = F.log(((a + 0.5) / (n_a + 1)) / ((b + 0.5) / (n_b + 1)))
+        sure = evidence(a, b, n_a, n_b)
+        best = sums.where("t <> ''").where((a * n_b > LIFT * b * n_a) & (sure >= SIGMA**2)).select("t", odds.alias("w"), sure.alias("g")).orderBy(F.desc("g"), "t").limit(TERMS)
+        out[k] = Lexicon({r.t: r.w for r in best.collect()})
+    return out
 
 
 class Boosted:
@@ -140,7 +229,10 @@ def isotonic(x, y) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, x, y, third):
+    """Lexicon, trees and calibration; `third` marks the rows that calibrate."""
+
+    def __init__(self, x, y, third, lexicon: Lexicon | None = None):
+        self.lexicon = Lexicon({}) if lexicon is None else lexicon
         fit, rest = (~third, third) if len(set(y[third])) == 2 and len(set(y[~third])) == 2 else (np.ones(len(y), bool),) * 2
         self.trees = Boosted().fit(x[fit], y[fit])
         self.constant = None if len(set(y)) == 2 else float(y.mean()) if len(y) else 0.5
@@ -158,32 +250,44 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
-    """Fit on at most max_labels rows outside the held-out quarter; only their features reach the driver."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
+def labelled(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
+    """doc_id, text, toxic, fold of at most max_labels documents outside the held-out quarter."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic")).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
 
-    def measured(batches):
-        for b in batches:
-            x = matrix(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    got = rows.mapInArrow(measured, "doc_id long, toxic int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "toxic")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
-    x = np.array([r.x for r in got], np.float64).reshape(len(got), len(NAMES))
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
+    """Fit on at most max_labels rows outside the held-out quarter; only their features and the lexicon reach the driver."""
+    with Stash(docs.sparkSession) as stash:
+        rows = stash.put(labelled(docs, labels, max_labels))
+        learnt = lexicons(rows, stash)
+        other = {0: learnt[1].weights, 1: learnt[0].weights}
+
+        def measured(batches):
+            lex = {k: Lexicon(w) for k, w in other.items()}
+            for b in batches:
+                x = [features(t or "", lex[f]) for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+
+        got = rows.mapInArrow(measured, "doc_id long, toxic int, x array<double>").collect()
+    got = sorted(got, key=lambda r: r.doc_id)
+    x = np.array([r.x for r in got], np.float64).reshape(len(got), len(NAMES) + len(SHAPES))
     ids = np.array([r.doc_id for r in got], np.int64)
-    return Model(x, np.array([r.toxic for r in got], np.float64), (ids * 2654435761 >> 8) % 3 == 0)
+    return Model(x, np.array([r.toxic for r in got], np.float64), (ids * 2654435761 >> 8) % 3 == 0, learnt[-1])
 
 
-def scored(docs: DataFrame, model: Model):
-    """docs with score; every column and row stays."""
+def scored(docs: DataFrame, model: Model, name: str = "score"):
+    """docs with its score in a further column; every column and row stays."""
     names = docs.columns
-    schema = plus(docs, "score", "double")
+    schema = plus(docs, name, "double")
 
     def apply(batches):
+        lexicon = Lexicon(model.lexicon.weights)
         for b in batches:
-            s = model.score(matrix(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s, pa.float64())], names=[*names, "score"])
+            s = model.score(matrix(b.column("text").to_pylist(), lexicon))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s, pa.float64())], names=[*names, name])
 
     return docs.mapInArrow(apply, schema)
 
@@ -194,7 +298,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs whose predicted label is 0, with their own columns."""
-    own = docs.withColumnsRenamed({"score": "_score"}) if "score" in docs.columns else docs
-    kept = scored(own, train(docs, labels)).where(F.col("score") < THRESHOLD).drop("score")
-    return kept.withColumnsRenamed({"_score": "score"}).select(*docs.columns)
+    """docs whose predicted label is 0, with their own columns, whatever their names."""
+    (name,) = spare(docs, "score")
+    return scored(docs, train(docs, labels), name).where(F.col(name) < THRESHOLD).select(*docs.columns)
