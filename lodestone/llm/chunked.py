@@ -12,7 +12,8 @@ import sys
 import types
 
 _BEFORE, _AFTER = re.compile(r" (?=\s)"), re.compile(r" (?<=\s )")
-CACHE, GROUP_CHARS, LONGEST = 250_000, 1_000_000, 64
+_LONE = re.compile(r"[A-Za-z] (?=[A-Za-z])")
+CACHE, GROUP_CHARS, LONGEST, SLICE = 250_000, 1_000_000, 64, 200_000
 
 
 def per_process(key, build):
@@ -33,6 +34,18 @@ def chunks(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def slices(text: str, size: int = SLICE) -> list[str]:
+    """The text in parts of about `size`, cut before lone spaces between letters; longer where there is none."""
+    out, at = [], 0
+    while len(text) - at > size:
+        m = _LONE.search(text, at + size)
+        if m is None:
+            break
+        out.append(text[at : m.start() + 1])
+        at = m.start() + 1
+    return [*out, text[at:]]
+
+
 class Chunked:
     """resolve(list of pieces) gives a value for each; two generations of at most CACHE values are kept."""
 
