@@ -1,15 +1,24 @@
-"""Personal data: base detection plus information-theoretic sanitisation of disclosing context terms.
+"""Personal data: base detection plus information-theoretic sanitisation of secrets and of disclosing context terms.
 
 Protected entities are the distinct values found by the base rules and what they share with others: domain and local
 part of an e-mail, networks of an ip, issuer prefix of a card, prefixes of a phone. So a value seen in one text is
-estimated by its levels. Every term of a document is paired with every entity of it. Over the whole corpus, with N
-documents, n(e) documents of an entity, n(t) of a term and n(e,t) of both,
+estimated by its levels. A run of SECRET_CHARS letters and digits or more, both among them, whose own information (its
+length times the entropy of its characters) reaches SECRET_BITS names somebody or something whatever it is: it is a
+secret, a protected entity of its own, and always a span.
+
+Every term of a document is paired with every entity of it. Over the whole corpus, with N documents, n(e) documents of
+an entity, n(t) of a term and n(e,t) of both,
 
     IC(e) = log2(N / n(e))        PMI(e, t) = log2(n(e,t) * N / (n(e) * n(t)))
 
 A term that two or more different texts hold with e and whose PMI reaches IC(e) / alpha tells at least 1/alpha of what
-the entity's name itself tells: all its occurrences in documents of e are generalised, and removed where PMI comes within one bit of
-IC(e). Counts are Spark aggregations; a task holds one batch of texts and a bounded dictionary.
+the entity's name itself tells: all its occurrences in documents of e are generalised, and removed where PMI comes within
+one bit of IC(e). PMI is at most log2(N / n(t)), so a term with n(t) > N (n(e) / N)^(1/alpha) cannot disclose e; pairs
+whose term is known to be that frequent are never made. The terms told to the tasks for this are the most frequent ones:
+those in at least 1 / FREQUENT of all (document, term) incidences, so there are at most FREQUENT of them at any size.
+
+Counts are Spark aggregations; a task holds one batch of texts and a bounded dictionary. Texts without an entity shared
+by two different texts leave before terms are paired.
 
 Cases: null text counts as empty; null ids are kept; equal rows get equal results; empty tables give empty results.
 Copies count as documents but not as further evidence (two *different* texts are needed). Spans are code points.
@@ -19,16 +28,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from math import log2
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Stash, cut, limit_batches, spare, spread
 
-KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA, FLUSH = 1.5, 400_000
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+ALPHA, FLUSH, FREQUENT, SECRET_CHARS, SECRET_BITS = 1.5, 400_000, 100_000, 16, 45.0
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -39,6 +50,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^ \t-\r]+")
 _DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(rf"[A-Za-z0-9]{{{SECRET_CHARS},}}")
 
 
 def luhn(digits: str) -> bool:
@@ -79,6 +91,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def information(value: str) -> float:
+    """Bits of a string under the frequencies of its own characters."""
+    return sum(n * log2(len(value) / n) for n in Counter(value).values())
+
+
+def secrets(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of runs that carry enough information by themselves and lie outside the given spans."""
+    out, at, upto = [], 0, 0
+    for m in _RUN.finditer(text):
+        run = m[0]
+        while at < len(spans) and spans[at][0] < m.end():
+            upto = max(upto, spans[at][2])
+            at += 1
+        if m.start() >= upto and not run.isdigit() and not run.isalpha() and information(run) >= SECRET_BITS:
+            out.append((m.start(), 5, m.end()))
+    return out
+
+
+def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and base spans with secrets, ordered."""
+    base = base_spans(text)
+    return base, sorted(base + secrets(text, base))
+
+
 def _trimmed(word: str) -> tuple[str, int]:
     """A word as a term, lower case without edge punctuation, and how much was cut on the left."""
     raw = word.encode()
@@ -88,8 +124,10 @@ def _trimmed(word: str) -> tuple[str, int]:
 
 def entities(kind: int, raw: str) -> list[int]:
     """The value of a mention and its levels, as hashes."""
-    value = re.sub(r"[ ().-]", "", raw) if kind > 1 else raw.lower()
-    if kind == 0:
+    value = re.sub(r"[ ().-]", "", raw) if 1 < kind < 4 else raw.lower()
+    if kind == 5:
+        levels = []
+    elif kind == 0:
         local, _, domain = value.rpartition("@")
         levels = [f"local:{local}", f"domain:{domain}"]
     elif kind == 1:
@@ -132,8 +170,9 @@ def _signed(raw: bytes) -> int:
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_WORDS = pa.list_(pa.struct([("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = "uid long, doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, ents array<long>, words array<struct<t:long,start:int,end:int>>"
+_TERM = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())]))
+_FOUND = "uid long, doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<start:int,kind:int,end:int>>, ents array<long>, text string"
+TERMS = "array<struct<start:int,kind:int,end:int,remove:boolean>>"
 
 
 def _joined(spans) -> str:
@@ -141,20 +180,22 @@ def _joined(spans) -> str:
 
 
 def _find(batches):
+    """Spans and entities of each text; the text itself goes on only where it holds an entity."""
     from pyspark import TaskContext
 
     uid = TaskContext.get().partitionId() << 33
     for b in batches:
         rows = []
         for text in b.column("text").to_pylist():
-            spans = base_spans(text or "")
-            n = Counter(k for _, k, _ in spans)
-            rows.append((uid, n[0], n[1], n[2], n[3], hashlib.sha256(_joined(spans).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), x)) for x in spans], entities_of(text, spans) if spans else [], [dict(zip(("t", "start", "end"), x)) for x in terms_of(text, spans)] if spans else []))
+            base, spans = all_spans(text)
+            n = Counter(k for _, k, _ in base)
+            ents = entities_of(text, spans) if spans else []
+            rows.append((uid, n[0], n[1], n[2], n[3], hashlib.sha256(_joined(base).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), x)) for x in spans], ents, text if ents else None))
             uid += 1
         cols = list(zip(*rows)) or [()] * 9
-        kinds = [pa.int64()] * 5 + [pa.string(), _SPAN, pa.list_(pa.int64()), _WORDS]
+        kinds = [pa.int64()] * 5 + [pa.string(), _SPAN, pa.list_(pa.int64()), pa.string()]
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-        yield pa.RecordBatch.from_arrays([arrays[0], b.column("doc_id"), b.column("th"), *arrays[1:]], names=["uid", "doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "ents", "words"])
+        yield pa.RecordBatch.from_arrays([arrays[0], b.column("doc_id"), b.column("th"), *arrays[1:]], names=["uid", "doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "ents", "text"])
 
 
 def _term_counts(batches):
@@ -177,56 +218,87 @@ def _term_counts(batches):
     yield flush()
 
 
-def _held(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uid, th, e) and (uid, t) of the documents that have entities."""
-    return found.select("uid", "th", F.explode("ents").alias("e")), found.select("uid", F.explode(F.array_distinct(F.transform("words", lambda x: x["t"]))).alias("t"))
+def _spans_of(row) -> list[tuple[int, int, int]]:
+    return [(x["start"], x["kind"], x["end"]) for x in row]
 
 
-def disclosures(found: DataFrame, docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(e, t, remove): terms that disclose an entity beyond the threshold.
+def _paired(frequent: dict[int, int], n: float, alpha: float):
+    """(uid, th, e, n_e, t): entities of a text with its terms, but for terms too frequent to disclose the entity."""
 
-    Entities of one text, terms of one document and terms too frequent to reach the threshold with all their documents
-    (PMI is at most log2(N / n(t))) never disclose; they leave before they are paired.
-    """
-    ents, terms = _held(found)
-    n = F.lit(float(found.count()))
-    ic = F.log2(n / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
-    known = ents.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"), F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").where(ic > 0).select("e", "n_e")
-    counts = docs.select("text").mapInArrow(_term_counts, "t long, n_t long").groupBy("t").agg(F.sum("n_t").alias("n_t")).where("n_t > 1")
-    both = ents.join(known, "e").join(terms.join(counts, "t"), "uid").where(F.log2(n / F.col("n_t")) >= ic / alpha - 1e-9)
-    pairs = both.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"), F.min("th").alias("a"), F.max("th").alias("b"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where("a <> b")
-    return pairs.where(pmi >= ic / alpha).select("e", "t", (pmi >= ic - 1).alias("remove"))
+    def apply(batches):
+        keys = np.array(sorted(frequent), np.int64)
+        known = np.array([frequent[k] for k in keys.tolist()], np.float64)
+        for b in batches:
+            for uid, th, text, spans, ents in zip(*(b.column(c).to_pylist() for c in ("uid", "th", "text", "spans", "known"))):
+                t = np.unique(np.array([x[0] for x in terms_of(text, _spans_of(spans))], np.int64))
+                at = np.minimum(np.searchsorted(keys, t), max(0, len(keys) - 1))
+                n_t = np.where(keys[at] == t, known[at], 0.0) if len(keys) else np.zeros(len(t))
+                out = []
+                for x in ents:
+                    limit = n * (x["n_e"] / n) ** (1 / alpha) * (1 + 1e-9)
+                    out.append((x["e"], x["n_e"], t[n_t <= limit]))
+                sizes = [len(o[2]) for o in out]
+                m = sum(sizes)
+                if m:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, uid)), pa.array(np.full(m, th)), pa.array(np.repeat([o[0] for o in out], sizes)), pa.array(np.repeat([o[1] for o in out], sizes)), pa.array(np.concatenate([o[2] for o in out]))], names=["uid", "th", "e", "n_e", "t"])
+
+    return apply
+
+
+def _placed(batches):
+    """(uid, terms): where a text holds its disclosing terms."""
+    for b in batches:
+        out = []
+        for text, spans, told in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "told"))):
+            remove = {x["t"]: x["remove"] for x in told}
+            out.append([{"start": s, "kind": 4, "end": e, "remove": remove[t]} for t, s, e in terms_of(text, _spans_of(spans)) if t in remove])
+        yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(out, _TERM)], names=["uid", "terms"])
+
+
+def disclosing(found: DataFrame, docs: DataFrame, stash: Stash, alpha: float) -> DataFrame:
+    """(uid, terms): spans of the terms that disclose an entity of their document beyond the threshold."""
+    n = float(found.count())
+    held = found.where("text IS NOT NULL")
+    ents = held.select("uid", "th", F.explode("ents").alias("e"))
+    known = ents.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").where(F.col("n") < n).select("e", "n", F.col("n").alias("n_e"))
+    carried = spread(ents.select("uid", "e"), known, ["e"], ents.count(), F.col("uid")).groupBy("uid").agg(F.collect_list(F.struct("e", "n_e")).alias("known"))
+    counts = stash.put(docs.select("text").mapInArrow(_term_counts, "t long, n_t long").groupBy("t").agg(F.sum("n_t").alias("n_t")).where("n_t > 1"))
+    incidences = counts.agg(F.sum("n_t")).first()[0] or 0
+    frequent = {r.t: r.n_t for r in counts.where(F.col("n_t") >= max(2, incidences / FREQUENT)).collect()}
+    pairs = stash.put(held.join(carried, "uid").select("uid", "th", "text", "spans", "known").mapInArrow(_paired(frequent, n, alpha), "uid long, th long, e long, n_e long, t long"))
+    both = pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("a"), F.max("th").alias("b"), F.first("n_e").alias("n_e")).where("a <> b")
+    ic, pmi = F.log2(n / F.col("n_e")), F.log2(F.col("n") * n / (F.col("n_e") * F.col("n_t")))
+    told = both.join(counts, "t").where(pmi >= ic / alpha - 1e-12).select("e", "t", "n", (pmi >= ic - 1).alias("remove"))
+    hits = spread(pairs.select("uid", "e", "t"), stash.put(told), ["e", "t"], pairs.count(), F.col("uid"))
+    hits = hits.groupBy("uid", "t").agg(F.max("remove").alias("remove")).groupBy("uid").agg(F.collect_list(F.struct("t", "remove")).alias("told"))
+    return held.join(hits, "uid").select("uid", "text", "spans", "told").mapInArrow(_placed, f"uid long, terms {TERMS}")
 
 
 def find(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, th (hash of the text), base counts and spans, and the method's term spans, one row per input row.
+    """doc_id, th (hash of the text), base counts and digest, spans (base and secrets) and the term spans, a row per row.
 
     docs: doc_id, text. Extra columns are ignored.
     """
+    limit_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = cut(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_find, _FOUND))
-    ents, terms = _held(found)
-    told = cut(disclosures(found, docs, alpha))
-    terms = terms.join(told.select("t").distinct(), "t", "left_semi")
-    ents = ents.join(told.select("e").distinct(), "e", "left_semi")
-    hits = ents.join(terms, "uid").join(told, ["e", "t"]).groupBy("uid", "t").agg(F.max("remove").alias("remove"))
-    words = found.select("uid", F.explode("words").alias("x")).select("uid", "x.*")
-    spans = words.join(hits, ["uid", "t"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove"))).alias("terms"))
-    return found.drop("ents", "words").join(spans, "uid", "left").drop("uid")
+    with Stash(docs.sparkSession) as stash:
+        found = stash.put(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_find, _FOUND))
+        terms = disclosing(found, docs, stash, alpha)
+        return cut(found.drop("ents", "text").join(terms, "uid", "left").drop("uid"))
 
 
 def report(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """The contract's row for each document, with the number of disclosing terms."""
-    term = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,remove:boolean>>")), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    """The contract's row for each document, with the number of secrets and disclosing terms."""
+    term = F.transform(F.coalesce("terms", F.array().cast(TERMS)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     kind = F.array(*map(F.lit, KINDS))
-    spans = F.array_join(F.transform(F.sort_array(F.concat("base", term)), lambda x: F.concat_ws(":", F.get(kind, x["kind"]), x["start"], x["end"])), ",")
-    return find(docs, alpha).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"))
+    spans = F.array_join(F.transform(F.array_sort(F.concat("spans", term)), lambda x: F.concat_ws(":", F.get(kind, x["kind"]), x["start"], x["end"])), ",")
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return find(docs, alpha).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), n(F.filter("spans", lambda x: x["kind"] == 5)).alias("n_secrets"), n("terms").alias("n_terms"))
 
 
 def redact(text: str, terms) -> str:
-    """Base spans become their kind; terms a coarse class, or nothing where removed. Overlaps merge to one mark."""
-    spans = [(s, f"[{KINDS[k].upper()}]", e) for s, k, e in base_spans(text)]
+    """Base spans and secrets become their kind; terms a coarse class, or nothing where removed. Overlaps merge to one mark."""
+    spans = [(s, f"[{KINDS[k].upper()}]", e) for s, k, e in all_spans(text)[1]]
     for x in terms or ():
         word = text[x["start"] : x["end"]]
         spans.append((x["start"], "" if x["remove"] else "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[TERM]", x["end"]))
@@ -239,18 +311,18 @@ def redact(text: str, terms) -> str:
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """docs with their text sanitised; all columns and rows stay. Null texts stay null.
+    """docs with their text sanitised; all columns and rows stay, whatever their names. Null texts stay null.
 
     Rows are matched to their terms by (doc_id, hash of the text); equal rows share them.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    terms = find(docs, alpha).where("terms is not null").groupBy("doc_id", "th").agg(F.first("terms").alias("_terms")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    joined = docs.withColumn("_key", key).join(terms, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
+    key, found, ids, hashed = spare(docs, "key", "terms", "id", "th")
+    terms = find(docs, alpha).where("terms is not null").groupBy("doc_id", "th").agg(F.first("terms").alias(found)).withColumnsRenamed({"doc_id": ids, "th": hashed})
+    joined = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(terms, F.col("doc_id").cast("long").eqNullSafe(F.col(ids)) & (F.col(key) == F.col(hashed)), "left")
     schema = docs.schema
 
     def apply(batches):
         for b in batches:
-            new = [None if t is None else redact(t, x) for t, x in zip(b.column("text").to_pylist(), b.column("_terms").to_pylist())]
+            new = [None if t is None else redact(t, x) for t, x in zip(b.column("text").to_pylist(), b.column(found).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if f == "text" else b.column(f) for f in schema.names], names=schema.names)
 
-    return joined.select(*schema.names, "_terms").mapInArrow(apply, schema)
+    return joined.select(*schema.names, found).mapInArrow(apply, schema)
