@@ -1,39 +1,38 @@
-"""Exact top-k BM25 search: inverted indexes per shard, block-max WAND inside, an exact merge outside.
+"""Exact top-k BM25 search: an inverted index per shard, block-max WAND inside, an exact merge outside.
 
 Statistics (documents, mean length, document frequency) are global, so scores do not depend on the shards. A shard
-holds a bounded number of bytes; its index keeps, per term, postings in document order with their BM25 weight and the
-largest weight of each block of documents. A query walks a shard in four steps:
+holds a bounded number of bytes and is indexed once: the index is a table with a row per shard. Documents of a shard are
+ordered by which of its most frequent terms they hold, so neighbours are alike (one language, one template), and cut into
+aligned blocks; every term keeps the blocks that hold it with its largest BM25 weight in each.
 
-1. the postings of its strongest terms give seeds, whose full scores set the threshold;
-2. WAND: terms whose upper bounds together stay below the threshold cannot alone make a result, so only documents of
-   the other lists are pivots, and only those whose known part plus all remaining bounds reaches the threshold;
-3. block-max: remaining bounds are replaced by those of the pivot's block, and pivots below the threshold are skipped;
-4. the rest are scored in full: highest bounds first until the next bound falls below the rising threshold, or, where
-   the lists not yet read are shorter than the pivots' own terms, from those lists.
+A query adds up the block maxima of its terms. The pivot is the next block, in order of that bound, that reaches the
+threshold (the k-th best score so far); its documents are scored in full. Once the next bound falls below the threshold
+all other blocks are skipped with all their postings: no document in them can enter. So each shard's k best are exact
+(with all ties), and shards are merged by rank.
 
-Every step drops only documents that cannot enter, so each shard's k best are exact; they are merged by rank.
+Queries are taken in blocks of about QUERY_BYTES; a block is broadcast and every shard's index read once for it, so
+neither documents nor indexes are shuffled again, and a task's work does not grow with the number of queries.
 
 BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 = 1.2, b = 0.75; a query term counts as often as it occurs.
 Terms are lower-cased words between ASCII white space without edge punctuation.
 
 Cases: null text has no terms; a query or document without known terms has no results; ties go to the smaller id,
-null ids last; equal rows are separate results; fewer than k matching rows give fewer results.
+null ids last; equal rows are separate results; fewer than k matching rows give fewer results; ids keep all 64 bits.
 """
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .near_dedup import WordHashes
+from .common import Stash, cut
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BLOCK, BLOCK, FLUSH = 32_000_000, 20_000, 64, 400_000
+SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH = 16_000_000, 4_000_000, 32, 24, 400_000
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 
@@ -41,186 +40,213 @@ def terms(text: str) -> list[bytes]:
     return [t for w in text.lower().encode().split() if (t := w.strip(STRIP))]
 
 
+class TermHashes(dict):
+    """Lower-cased raw word -> hash of its term, 0 for none; remembered up to a bound. The hash 0 itself becomes 1."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        term = word.strip(STRIP)
+        self[word] = h = max(1, xxhash.xxh3_64_intdigest(term)) if term else 0
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        """Hashes of a text's terms, in order."""
+        words = text.lower().encode().split()
+        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return h[h != 0].view(np.int64)
+
+
 def _counted(batches):
     """Document frequency of terms and, as term 0, documents and their length; flushed at a bounded size."""
-    hashes, df, n, total = WordHashes(), Counter(), 0, 0
+    hashes, held, size, n, total = TermHashes(), [], 0, 0, 0
 
     def flush():
-        got: Counter = Counter()
-        for t, c in df.items():
-            got[hashes[t]] += c
-        df.clear()
-        keys = np.array(list(got), np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(got.values()), pa.int64()), pa.array([0] * len(got), pa.int64())], names=["t", "n", "len"])
+        t, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(t), np.int64))], names=["t", "n", "len"])
 
     for b in batches:
         for text in b.column("text").to_pylist():
-            found = terms(text or "")
+            found = hashes.of(text or "")
             n, total = n + 1, total + len(found)
-            df.update(set(found))
-            if len(df) > FLUSH:
+            held.append(np.unique(found))
+            size += len(held[-1])
+            if size > 10 * FLUSH:
                 yield flush()
-    yield flush()
+                held, size = [], 0
+    if size:
+        yield flush()
     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["t", "n", "len"])
 
 
 def _query_terms(batches):
-    hashes = WordHashes()
+    hashes = TermHashes()
     for b in batches:
-        out = []
         for q, text in zip(b.column("query_id").to_pylist(), b.column("text").to_pylist()):
-            out += [(q, hashes[t], n) for t, n in Counter(terms(text or "")).items()]
-        q, t, n = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.array(t, np.uint64).view(np.int64)), pa.array(n, pa.int64())], names=["query_id", "t", "qtf"])
+            t, n = np.unique(hashes.of(text or ""), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(t), pa.int64()), pa.array(t), pa.array(n.astype(np.int64))], names=["query_id", "t", "qtf"])
 
 
-class Index:
-    """Inverted index of one shard over the terms that some query asks for."""
-
-    def __init__(self, texts: list, wanted: np.ndarray, mean_length: float):
-        hashes, parts, counts, lengths = WordHashes(), [], [], np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            found = terms(text or "")
-            lengths[i] = len(found)
-            t, c = np.unique(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)), return_counts=True)
-            parts.append(t.view(np.int64))
+def _indexed(mean_length: float, block: int):
+    """A row for each shard: its index as arrays of bytes."""
+
+    def apply(key, shard):
+        hashes, parts, counts = TermHashes(), [], []
+        for text in shard.column("text"):
+            t, c = np.unique(hashes.of(text.as_py() or ""), return_counts=True)
+            parts.append(t)
             counts.append(c)
-        sizes = [len(p) for p in parts]
-        t = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        d = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-        tf = np.concatenate(counts).astype(np.float64) if parts else np.zeros(0)
-        at = np.searchsorted(wanted, t)
-        mine = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == t) if len(wanted) else np.zeros(len(t), bool)
-        t, d, tf = at[mine], d[mine], tf[mine]
-        norm = K1 * (1 - B + B * lengths / mean_length)
-        weight = tf * (K1 + 1) / (tf + norm[d])
-        self.own_term, self.own_weight, self.own_start = t.astype(np.int32), weight, np.searchsorted(d, np.arange(len(texts) + 1))
-        self.asked = np.zeros(len(wanted))
-        order = np.argsort(t, kind="stable")
-        t, self.docs, self.weight = t[order], d[order], weight[order]
-        self.wanted, self.n_docs, self.start = wanted, len(texts), np.searchsorted(t, np.arange(len(wanted) + 1))
-        key = t * (len(texts) // BLOCK + 1) + self.docs // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1)) if len(key) else np.zeros(0, np.int64)
-        self.block_of, self.block_max = self.docs[first] // BLOCK, np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.block_start = np.searchsorted(first, self.start)
-        self.top = np.array([self.block_max[a:b].max() if b > a else 0.0 for a, b in zip(self.block_start, self.block_start[1:])])
-
-    def _gather(self, ids, w, start, where, value, size):
-        """Sum of w * value over the slices of some terms, by position."""
+        sizes = np.array([len(p) for p in parts], np.int64)
+        names, term = np.unique(np.concatenate(parts), return_inverse=True)
+        # alike documents become neighbours: order by the most frequent terms that they hold
+        top = np.argsort(-np.bincount(term, minlength=len(names)), kind="stable")[:LIKE]
+        bit = np.zeros(len(names), np.int64)
+        bit[top] = 1 << np.arange(len(top))[::-1]
+        start = np.concatenate([[0], sizes.cumsum()])
+        like = np.array([bit[term[a:b]].sum() for a, b in zip(start, start[1:])], np.int64)
+        order = np.argsort(like, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        doc, tf, lengths = np.repeat(place, sizes), np.concatenate(counts), np.array([counts[i].sum() for i in order], np.int32)
+        # postings by term, then by block: an entry is the run of postings of one term in one block
+        blocks = len(order) // block + 1
+        cell = term.astype(np.int64) * blocks + doc // block
+        by = np.argsort(cell, kind="stable")
+        doc, tf, cell = doc[by].astype(np.int32), tf[by].astype(np.int32), cell[by]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        most = np.maximum.reduceat(weights(tf, lengths[doc], mean_length), first) if len(first) else np.zeros(0)
+        # rounded up, so that a bound stays one
+        most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
+        held = cell[first]
+        ids = shard.column("doc_id").combine_chunks().take(pa.array(order))
+        arrays = [names, np.searchsorted(held // blocks, np.arange(len(names) + 1)), held % blocks, most, np.append(first, len(doc)), doc, tf, lengths, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_valid())]
+        arrays = [x.astype(k) for x, k in zip(arrays, KINDS)]
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "parts": pa.array([[x.tobytes() for x in arrays]], pa.list_(pa.binary()))})
+
+    return apply
+
+
+KINDS = (np.int64, np.int64, np.int32, np.float32, np.int64, np.int32, np.int32, np.int32, np.int64, np.bool_)
+
+
+def weights(tf, lengths, mean_length: float) -> np.ndarray:
+    """BM25 weight of postings."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / mean_length))
+
+
+class Index:
+    """Index of one shard: per term its entries (block, largest weight), per entry its postings (document, weight)."""
+
+    def __init__(self, parts: list[bytes], mean_length: float, block: int = BLOCK):
+        self.names, self.term_start, self.block_of, self.block_max, self.entry_start, self.docs, tf, lengths, self.ids, self.known = (np.frombuffer(p, k) for p, k in zip(parts, KINDS))
+        self.block, self.n_docs = block, len(lengths)
+        self.n_blocks = self.n_docs // block + 1
+        self.weight = weights(tf, lengths[self.docs], mean_length)
+        #: Postings of queries' terms that were scored, and that lay in skipped blocks.
+        self.read = self.skipped = 0
+
+    @staticmethod
+    def _positions(start, ids):
+        """All positions from start[i] to start[i + 1] for some i, and how many there are for each."""
         n = start[ids + 1] - start[ids]
-        at = np.repeat(start[ids] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(where[at], value[at] * np.repeat(w, n), size), where[at]
-
-    def _full(self, docs):
-        """Scores of some documents by their own terms; self.asked holds the query's weights."""
-        n = self.own_start[docs + 1] - self.own_start[docs]
-        end = n.cumsum()
-        at = np.repeat(self.own_start[docs] - end + n, n) + np.arange(end[-1] if len(end) else 0)
-        return np.add.reduceat(self.own_weight[at] * self.asked[self.own_term[at]], end - n) if len(docs) else np.zeros(0)
-
-    def search(self, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores, at least the k best with all ties of the k-th."""
-        bound = w * self.top[ids]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, w, bound = ids[order], w[order], bound[order]
+        return np.repeat(start[ids] - n.cumsum() + n, n) + np.arange(n.sum()), n
+
+    def search(self, names: np.ndarray, w: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores, at least those of the k best that reach `least`, with all ties. names: hashes of terms."""
+        found = np.zeros(0, np.int64), np.zeros(0)
+        ids = np.searchsorted(self.names, names)
+        mine = (ids < len(self.names)) & (self.names[np.minimum(ids, max(0, len(self.names) - 1))] == names) if len(self.names) else np.zeros(len(names), bool)
+        ids, w = ids[mine], w[mine]
         if not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        n = self.start[ids + 1] - self.start[ids]
-        rest = np.concatenate([bound[::-1].cumsum()[::-1], [0.0]])  # rest[i]: bounds of terms i and later
-        slack = 1e-9 * rest[0]
-        self.asked[ids] = w
-        # 1. seeds
-        m = min(len(ids), int(np.searchsorted(n.cumsum(), 20 * k)) + 1)
-        part, touched = self._gather(ids[:m], w[:m], self.start, self.docs, self.weight, self.n_docs)
-        seen = np.zeros(self.n_docs, bool)
-        seen[touched] = True
-        seeds = np.flatnonzero(seen)
-        full = self._full(seeds[np.argsort(-part[seeds], kind="stable")[: 6 * k]])
-        least = np.partition(full, -k)[-k] if len(full) >= k else 0.0
-        # 2. pivots
-        e = int(np.searchsorted(-rest, -(least - slack), side="right")) if least > 0 else len(ids)
-        e = max(m, min(e, len(ids)))
-        part, touched = self._gather(ids[:e], w[:e], self.start, self.docs, self.weight, self.n_docs)
-        seen[touched] = True
-        docs = np.flatnonzero(seen & (part + rest[e] >= least - slack))
-        # 3. block bounds
-        most = part[docs]
-        if e < len(ids) and len(docs):
-            blocks, _ = self._gather(ids[e:], w[e:], self.block_start, self.block_of, self.block_max, self.n_docs // BLOCK + 1)
-            most = most + blocks[docs // BLOCK]
-        # 4. full scores: of the pivots' own terms, or by the remaining lists where those are shorter
-        open_ = int((most >= least - slack).sum())
-        if open_ * len(self.own_term) > n[e:].sum() * max(1, self.n_docs):
-            if e < len(ids):
-                part = part + self._gather(ids[e:], w[e:], self.start, self.docs, self.weight, self.n_docs)[0]
-            self.asked[ids] = 0
-            docs = docs[most >= least - slack]
-            score = part[docs]
-            if len(score) > k:
-                keep = score >= np.partition(score, -k)[-k] - slack
-                docs, score = docs[keep], score[keep]
-            return docs, score
-        order = np.argsort(-most, kind="stable")
-        docs, most = docs[order], most[order]
-        got, scores, at, step = [docs[:0]], [most[:0]], 0, 4 * k
-        while at < len(docs) and most[at] >= least - slack:
-            now = docs[at : at + step][most[at : at + step] >= least - slack]
-            got.append(now)
-            scores.append(self._full(now))
-            kept = np.concatenate(scores)
-            least = max(least, np.partition(kept, -k)[-k]) if len(kept) >= k else least
-            at, step = at + step, 2 * step
-        self.asked[ids] = 0
-        docs, score = np.concatenate(got), np.concatenate(scores)
-        keep = score >= least - slack
-        return docs[keep], score[keep]
-
-
-def _run(k: int):
-    def apply(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        ids = left.column("doc_id").to_numpy(zero_copy_only=False)
-        known = ~np.asarray(left.column("doc_id").is_null())
-        flat = right.column("ts").combine_chunks()
-        wanted = np.unique(flat.flatten().to_numpy())
-        index = Index(left.column("text").to_pylist(), wanted, right.column("mean").to_pylist()[0])
-        out = []
-        for q, ts, ws in zip(right.column("query_id").to_pylist(), right.column("ts").to_pylist(), right.column("ws").to_pylist()):
-            docs, score = index.search(np.searchsorted(wanted, np.array(ts, np.int64)), np.array(ws), k)
-            score = np.round(score, 9)
-            at = np.lexsort((np.where(known[docs], ids[docs], np.inf), -score))[:k]
-            out += [(q, int(ids[d]) if known[d] else None, float(s)) for d, s in zip(docs[at], score[at])]
-        q, d, s = zip(*out) if out else ((), (), ())
-        return pa.table([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], schema=schema)
+            return found
+        entries, n = self._positions(self.term_start, ids)
+        block, w = self.block_of[entries], np.repeat(w, n)
+        bound = np.bincount(block, self.block_max[entries] * w, self.n_blocks)
+        slack = 1e-9 * bound.max()
+        order = np.argsort(-bound, kind="stable")
+        at, step, seen = 0, max(1, 4 * k // self.block), 0
+        chosen = np.zeros(self.n_blocks, bool)
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - slack:
+            pivots = order[at : at + step]
+            at, step = at + len(pivots), 8 * step
+            chosen[:] = False
+            chosen[pivots[(bound[pivots] > 0) & (bound[pivots] >= least - slack)]] = True
+            open_ = np.flatnonzero(chosen[block])
+            where, n = self._positions(self.entry_start, entries[open_])
+            seen += len(where)
+            score = np.bincount(self.docs[where], self.weight[where] * np.repeat(w[open_], n), self.n_docs)
+            docs = np.flatnonzero(score > max(0.0, least - slack))
+            found = np.concatenate([found[0], docs]), np.concatenate([found[1], score[docs]])
+            if len(found[1]) >= k:
+                least = max(least, np.partition(found[1], -k)[-k])
+        self.read += seen
+        self.skipped += int((self.entry_start[entries + 1] - self.entry_start[entries]).sum()) - seen
+        keep = found[1] >= least - slack
+        return found[0][keep], found[1][keep]
+
+    def best(self, names, w, k: int, least: float = 0.0) -> list[tuple[int | None, float]]:
+        """The k best (id, score), ties by id, null ids last; those that cannot reach `least` may be left out."""
+        docs, score = self.search(names, w, k, least)
+        score = np.round(score, 9)
+        at = np.lexsort((self.ids[docs], ~self.known[docs], -score))[:k]
+        return [(int(self.ids[d]) if self.known[d] else None, float(s)) for d, s in zip(docs[at], score[at])]
+
+
+def _answered(block, mean_length: float, k: int):
+    """Rows of the index table: each shard's answers to a broadcast block of queries."""
+
+    def apply(batches):
+        ids, start, names, w = block.value
+        reached: list[list[float]] = [[] for _ in ids]  # the k best scores of each query in the shards seen so far
+        for b in batches:
+            for parts in b.column("parts"):
+                index, out = Index([p.as_buffer() for p in parts], mean_length), []
+                for i, (q, lo, hi) in enumerate(zip(ids.tolist(), start[:-1], start[1:])):
+                    # scores are rounded to 9 digits, so a bound from another shard gets that much room
+                    got = index.best(names[lo:hi], w[lo:hi], k, reached[i][k - 1] - 1e-8 if len(reached[i]) >= k else 0.0)
+                    reached[i] = sorted(reached[i] + [s for _, s in got], reverse=True)[:k]
+                    out += [(q, d, s) for d, s in got]
+                q, d, s = zip(*out) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["query", "doc_id", "score"])
 
     return apply
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = SHARD_BYTES, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, doc_id, score: the k best rows of docs (doc_id, text) for each row of queries (query_id, text).
 
-    Queries meet every shard in blocks of about `query_block`; each block sees the shard's documents once.
+    Rows of queries with one id are one query, of all their texts; null is an id like others.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    stats = cut(docs.select("text").mapInArrow(_counted, "t long, n long, len long").groupBy("t").agg(F.sum("n").alias("df"), F.sum("len").alias("len")))
-    whole = stats.where("t = 0").first()
-    n, length = (whole.df, whole.len) if whole else (0, 0)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(size / shard_bytes))
-    asked = cut(queries.select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(_query_terms, "query_id long, t long, qtf long"))
-    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(stats.where("t <> 0").select("t", "df"), "t").select("query_id", "t", (F.col("qtf") * idf).alias("w"))
-    rows = cut(weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("x")))
-    blocks = max(1, math.ceil(rows.count() / query_block))
-    rows = rows.select("query_id", F.col("x.t").alias("ts"), F.col("x.w").alias("ws"), F.lit(max(1e-9, length / max(n, 1))).alias("mean"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    right = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    left = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_run(k), "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    with Stash(spark) as stash:
+        stats = stash.put(docs.select("text").mapInArrow(_counted, "t long, n long, len long").groupBy("t").agg(F.sum("n").alias("df"), F.sum("len").alias("len")))
+        whole = stats.where("t = 0").first()
+        n, length = (whole.df, whole.len) if whole else (0, 0)
+        mean = max(1e-9, length / max(n, 1))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, math.ceil(size / shard_bytes))
+        placed = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+        index = stash.put(placed.groupBy("shard").applyInArrow(_indexed(mean, BLOCK), "shard int, parts array<binary>"))
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(_query_terms, "query_id long, t long, qtf long")
+        idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        terms_ = asked.join(stats.where("t <> 0").select("t", "df"), "t").groupBy("query_id", "t").agg((F.sum("qtf") * F.first(idf)).alias("w"))
+        rows = stash.put(terms_.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("x")).withColumn("query", F.monotonically_increasing_id()))
+        total = rows.agg(F.sum(16 * F.size("x"))).first()[0] or 0
+        blocks, parts = max(1, math.ceil(total / query_bytes)), []
+        for i in range(blocks):
+            got = rows.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).select("query", F.col("x.t").alias("t"), F.col("x.w").alias("w")).toArrow()
+            flat = lambda c, kind: np.asarray(got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), kind) if got.num_rows else np.zeros(0, kind)  # noqa: E731, B023
+            lengths = np.array([len(x) for x in got.column("t")], np.int64)
+            block = spark.sparkContext.broadcast((got.column("query").to_numpy(), np.concatenate([[0], lengths.cumsum()]), flat("t", np.int64), flat("w", np.float64)))
+            parts.append(stash.put(index.select("parts").mapInArrow(_answered(block, mean, k), "query long, doc_id long, score double")))
+            block.destroy()
+        best = parts[0]
+        for p in parts[1:]:
+            best = best.unionByName(p)
+        order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return cut(best.join(rows.select("query", "query_id"), "query").select("query_id", "rank", "doc_id", "score"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -32,14 +32,14 @@ def brute_search(texts, query, k):
     return sorted(out)[:k]
 
 
-@pytest.mark.parametrize("shard_bytes", [10**9, 40_000])
-def test_search_is_exact(spark, sf_dir, shard_bytes):
+@pytest.mark.parametrize("shard_bytes,query_bytes", [(10**9, 10**9), (40_000, 9_000)])
+def test_search_is_exact(spark, sf_dir, shard_bytes, query_bytes):
     texts = sample(sf_dir, 150) + EDGE
     docs = frame(spark, texts)
     asked = {i: texts[i] for i in (0, 7, 30, 99, 150, 151, len(texts) - 1)}
     q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
     got = {}
-    for r in search.search(docs, q, k=7, shard_bytes=shard_bytes, query_block=3).orderBy("query_id", "rank").collect():
+    for r in search.search(docs, q, k=7, shard_bytes=shard_bytes, query_bytes=query_bytes).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((-round(r.score, 6), r.doc_id))
     for i, t in asked.items():
         want = brute_search(texts, t, 7)
@@ -47,6 +47,44 @@ def test_search_is_exact(spark, sf_dir, shard_bytes):
         assert sorted(d for _, d in got.get(i, [])) == sorted(d for _, d in want)
 
 
+def test_search_keeps_wide_ids(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    docs = frame(spark, ["alpha beta gamma"] * 4, ids)
+    q = spark.createDataFrame([(2**61 + 1, "beta")], "query_id long, text string")
+    got = search.search(docs, q, k=3).orderBy("rank").collect()
+    assert [(r.query_id, r.doc_id) for r in got] == [(2**61 + 1, i) for i in (ids[3], ids[0], ids[1])]
+    assert [r.doc_id for r in search.search(docs, q, k=9).orderBy("rank").collect()] == [ids[3], ids[0], ids[1], None]
+
+
+def test_blocks_are_skipped_and_results_stay():
+    """Postings of a query's terms are scored or lie in skipped blocks, and the best are those of plain scoring."""
+    r = random.Random(1)
+    texts = [" ".join(f"{side}{int(r.paretovariate(0.6)) % 400}" for _ in range(30)) for side in "ab" for _ in range(400)]
+    r.shuffle(texts)
+    import pyarrow as pa
+
+    table = search._indexed(30.0, 4)((pa.scalar(0),), pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}))
+    index, skipped = search.Index(table.column("parts")[0].as_py(), 30.0, 4), 0
+    hashes = search.TermHashes()
+    for q in texts[:20]:
+        bag = Counter(search.terms(q))
+        names, w = np.array([hashes[t] for t in bag], np.uint64).view(np.int64), np.array([float(len(t) + n) for t, n in bag.items()])
+        index.read = index.skipped = 0
+        got = index.best(names, w, 10)
+        want = []
+        for i, t in enumerate(texts):
+            b = Counter(search.terms(t))
+            s = sum(x * b[k] * 2.2 / (b[k] + 1.2 * (0.25 + 0.75 * sum(b.values()) / 30.0)) for x, k in zip(w, bag) if k in b)
+            if s > 0:
+                want.append((-round(s, 9), i))
+        assert [(-s, d) for d, s in got] == sorted(want)[:10]
+        held = sum(k in Counter(search.terms(t)) for t in texts for k in bag)
+        assert index.read + index.skipped == held
+        skipped += index.skipped
+        assert index.best(names, w, 10, got[4][1])[:5] == got[:5]
+    assert skipped > 1000
+
+
 def test_search_edges(spark):
     docs = frame(spark, EDGE)
     q = spark.createDataFrame([(1, None), (2, "zzz unknown"), (3, "same text")], "query_id long, text string")
@@ -221,6 +259,23 @@ def test_chat_mask_points_at_the_texts(spark):
             assert spark.range(1).select(chat.unescaped(F.lit(raw)).alias("t")).first().t == turn.text if len(r.turns) < 3 else True
 
 
+def test_loss_text_follows_the_mask(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    out = chat.format_records(chat.conversations(df))
+    moved = F.transform("mask", lambda m: m.withField("start", m["start"] + 1))
+    got = out.select("turns", chat.loss_text(F.col("formatted"), F.col("mask")).alias("right"), chat.loss_text(F.col("formatted"), moved).alias("wrong")).collect()
+    for r in got:
+        assert r.right == "".join(t.text for t in r.turns if t.role == "assistant")
+    assert any(r.wrong != r.right for r in got)
+    assert chat.report(df.limit(0)).count() == 1
+
+
+def test_chat_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([('{"prompt":"q","completion":"a"}', "own", 1)], "record string, turns string, mask int")
+    r = chat.format_records(df).first()
+    assert (r.turns, r["mask"], r.mapping) == ("own", 1, "prompt-completion") and [t.text for t in r.turns_] == ["q", "a"] and len(r.mask_) == 2
+
+
 def test_layouts_by_fingerprint(spark):
     records = [
         ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 7}, "messages"), ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "conversations"),
@@ -255,6 +310,12 @@ def test_shards(spark, sf_dir):
         assert sorted(r.slot for r in s) == list(range(len(s)))
     total, largest = sum(r.size for r in rows), max(r.size for r in rows)
     sizes = [sum(r.size for r in by.get(i, [])) for i in range(16)]
+    # the shards are runs of one order, cut where the running sum passes a multiple of a sixteenth (within a copy group's snap)
+    at, upto = 0, []
+    for i in range(16):
+        at += sizes[i]
+        upto.append(at)
+    assert all(abs(upto[i] - total * (i + 1) / 16) <= largest + sharding.SNAP * total / 16 for i in range(16))
     assert max(sizes) - min(sizes) <= largest + 0.05 * total / 16 + 1
 
 
