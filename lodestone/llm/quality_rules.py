@@ -2,10 +2,11 @@
 
 Base measures come from whole texts. The method is cross-document line frequency: normalised lines are hashed and
 the distinct documents of a host that hold each are counted. A line of more than `line_docs` documents is common.
-Texts that are mostly common lines are copies of one another rather than pages with boilerplate, so they have no vote:
-a common line is removed where more than `line_docs` documents *with at least half of their characters elsewhere*
-hold it. A document that keeps less than `keep_share` of its characters is depleted and rejected. (A group of copies
-thus never votes itself out; near-duplicate detection deals with it.)
+Texts that are almost only common lines are copies of one another rather than pages with boilerplate, so they have no
+vote: a common line is removed where more than `line_docs` documents that would outlive its removal hold it, that is,
+with `keep_share` of their characters or more elsewhere. A document that keeps less than `keep_share` of its characters
+is depleted and rejected. (A group of copies thus never votes itself out; near-duplicate detection deals with it. A host
+whose pages are 70 % template and 30 % own text is cleaned.)
 
 Cases: null text has no words and fails the base rule; null hosts form one host; every row is a document, but equal
 texts of a host count once; lines without a word are never counted or removed; empty tables give empty results.
@@ -15,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, let, release, salted
+from .common import WORD_GAP, cut, let, release, salted, spare
 
-LINE_DOCS, KEEP_SHARE, VOTE_SHARE, SALTS = 20, 0.3, 0.5, 64
+LINE_DOCS, KEEP_SHARE, SALTS = 20, 0.3, 64
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -63,21 +64,21 @@ def measures(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", "host", "th", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.lines").withColumn("uid", F.monotonically_increasing_id())
 
 
-def line_shares(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+def line_shares(rows: DataFrame, line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """(uid, hit): characters of removed lines, for rows that have any. rows: uid, host, th, lines; materialised."""
     each = rows.select("uid", "host", "th", F.aggregate("lines", F.lit(0), lambda a, x: a + x["c"]).alias("all_c"), F.explode("lines").alias("x")).select("uid", "host", "th", "all_c", F.col("x.h").alias("h"), F.col("x.c").alias("c"))
     each = each.withColumn("host", F.coalesce("host", F.lit("\u0000"))).groupBy("uid", "host", "th", "h").agg(F.sum("c").alias("c"), F.first("all_c").alias("all_c"))
     counted = lambda df: df.groupBy("host", "h", "th").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("one").alias("n_docs")).where(F.col("n_docs") > line_docs).select("host", "h")
     common = cut(salted(each, counted(each), ["host", "h"], SALTS, F.col("uid")))
     rest = common.groupBy("uid").agg((1 - F.sum("c") / F.first("all_c")).alias("rest"))
-    voters = common.join(rest.where(F.col("rest") >= VOTE_SHARE), "uid", "left_semi")
+    voters = common.join(rest.where(F.col("rest") >= keep_share), "uid", "left_semi")
     return salted(common, counted(voters), ["host", "h"], SALTS, F.col("uid"))
 
 
 def judged(docs: DataFrame, line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> tuple[DataFrame, DataFrame]:
     """Measures with base_failed, removed_chars, depleted and kept; and the removed (uid, h)."""
     rows = cut(measures(docs))
-    removed = cut(line_shares(rows, line_docs))
+    removed = cut(line_shares(rows, line_docs, keep_share))
     release(docs.sparkSession)
     lost = removed.groupBy("uid").agg(F.sum("c").alias("removed_chars"), F.first("all_c").alias("line_chars"))
     out = rows.join(lost, "uid", "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)))
@@ -91,18 +92,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs without rejected rows and without removed lines; n_chars follows the text. Other columns stay.
+    """docs without rejected rows and without removed lines; n_chars follows the text. Other columns stay, whatever their names.
 
     Rows meet their verdicts by (doc_id, hash of the text, host), so equal rows share one.
     """
+    key, ids, hosts, hashed, gone = spare(docs, "key", "id", "host", "th", "gone")
     verdicts, removed = judged(docs)
-    lines = removed.groupBy("uid").agg(F.collect_set("h").alias("gone"))
-    verdicts = verdicts.where("kept").join(lines, "uid", "left").groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("th").alias("_th")).agg(F.first("gone").alias("_gone"))
+    lines = removed.groupBy("uid").agg(F.collect_set("h").alias(gone))
+    verdicts = verdicts.where("kept").join(lines, "uid", "left").groupBy(F.col("doc_id").alias(ids), F.col("host").alias(hosts), F.col("th").alias(hashed)).agg(F.first(gone).alias(gone))
     names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_host")), "inner")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = keyed.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col(ids)) & (F.col(key) == F.col(hashed)) & F.col("source").eqNullSafe(F.col(hosts)), "inner")
     norm = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, WORD_GAP, " "))))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_gone", norm(x))), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    out = both.withColumn("text", text)
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(gone, norm(x))), "\n")
+    out = both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
     return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out).select(*names)

@@ -48,7 +48,7 @@ each AS (SELECT uid, host, th, norm, sum(length(line)) AS c FROM r GROUP BY ALL)
 allc AS (SELECT uid, sum(c) AS all_c FROM each GROUP BY uid),
 c1 AS (SELECT host, norm FROM each GROUP BY ALL HAVING count(DISTINCT th) > {quality_rules.LINE_DOCS}),
 common AS (SELECT e.* FROM each e JOIN c1 USING (host, norm)),
-voters AS (SELECT c.uid FROM common c JOIN allc USING (uid) GROUP BY c.uid, all_c HAVING 1 - sum(c) / all_c >= {quality_rules.VOTE_SHARE}),
+voters AS (SELECT c.uid FROM common c JOIN allc USING (uid) GROUP BY c.uid, all_c HAVING 1 - sum(c) / all_c >= {quality_rules.KEEP_SHARE}),
 c2 AS (SELECT host, norm FROM common WHERE uid IN (SELECT uid FROM voters) GROUP BY ALL HAVING count(DISTINCT th) > {quality_rules.LINE_DOCS}),
 lost AS (SELECT c.uid, sum(c) AS removed FROM common c JOIN c2 USING (host, norm) GROUP BY c.uid),
 m AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
@@ -72,16 +72,15 @@ c AS (SELECT a AS r, min(b) AS class_id FROM reach GROUP BY a)
 SELECT doc_id, class_id FROM d JOIN rep USING (t) JOIN c USING (r)
 """
 
-#: The fingerprint is the hash of the path text 'turns[],turns[].role,turns[].text', a constant of the layout.
 OP8 = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 f AS (SELECT *, replace(text, chr(92), chr(92) || chr(92)) AS t2 FROM c),
 e AS (SELECT *, length(t2) + len(regexp_extract_all(t2, '[<\\[](\\||/?s>|/?INST\\]|</?SYS>>)')) AS body FROM f)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<|im_start|>') + length(role) + 1 + body + length('<|im_end|>') + 1)::BIGINT AS formatted_chars, 'turns' AS mapping, FINGERPRINT::BIGINT AS fingerprint
+  sum(length('<|im_start|>') + length(role) + 1 + body + length('<|im_end|>') + 1)::BIGINT AS formatted_chars, 'turns' AS mapping
 FROM e GROUP BY conv_id
-""".replace("FINGERPRINT", "7301158194952370592")
+"""
 
 
 def oracle_sql():
