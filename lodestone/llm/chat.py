@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, spare
 
 TURN, TURNS = "struct<role:string,text:string>", "array<struct<role:string,text:string>>"
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -88,15 +88,26 @@ def _turns(m: Mapping, record: Column) -> Column:
     return F.filter(each, lambda t: t.isNotNull())
 
 
-def canonical(records: DataFrame, record: str = "record", mappings=MAPPINGS) -> DataFrame:
-    """records with fingerprint, mapping (null: unknown) and turns. The mapping list is fixed and small."""
-    known = records.sparkSession.createDataFrame([(s, m.name) for m in mappings for s in m.shapes()], "shape string, mapping string")
-    known = known.select(F.xxhash64("shape").alias("fingerprint"), "mapping")
-    out = records.withColumn("fingerprint", fingerprint(F.col(record))).join(F.broadcast(known), "fingerprint", "left")
+def mapping_of(shape: Column, mappings=MAPPINGS) -> Column:
+    """Name of the mapping whose layouts have this fingerprint; null where none has. The list is fixed and small."""
+    known = F.create_map(*[x for m in mappings for s in m.shapes() for x in (F.xxhash64(F.lit(s)), F.lit(m.name))])
+    return F.try_element_at(known, shape)
+
+
+def turns_of(record: Column, mapping: Column, mappings=MAPPINGS) -> Column:
     turns = F.lit(None).cast(TURNS)
     for m in mappings:
-        turns = F.when(F.col("mapping") == m.name, _turns(m, F.col(record)).cast(TURNS)).otherwise(turns)
-    return out.withColumn("turns", turns)
+        turns = F.when(mapping == m.name, _turns(m, record).cast(TURNS)).otherwise(turns)
+    return turns
+
+
+def canonical(records: DataFrame, record: str = "record", mappings=MAPPINGS) -> DataFrame:
+    """records with fingerprint, mapping (null: unknown) and turns; columns of records with such names stay, and the new
+    ones then end in an underscore."""
+    shape, name, turns = spare(records, "fingerprint", "mapping", "turns")
+    out = records.withColumn(shape, fingerprint(F.col(record)))
+    out = out.withColumn(name, mapping_of(F.col(shape), mappings))
+    return out.withColumn(turns, turns_of(F.col(record), F.col(name), mappings))
 
 
 def escaped(text: Column) -> Column:
@@ -138,7 +149,7 @@ def read_back(text: Column) -> Column:
     parts = F.filter(F.split(text, r"<\|im_end\|>\n", -1), lambda p: p != "")
     body = lambda p: F.substr(p, F.locate("\n", p) + 1)
     role = lambda p: F.substr(p, F.lit(len(START) + 1), F.locate("\n", p) - len(START) - 1)
-    return F.transform(parts, lambda p: F.struct(_unrole(role(p)).alias("role"), unescaped(body(p)).alias("text"), F.length(body(p)).alias("chars"), F.length(p).alias("all_chars")))
+    return F.transform(parts, lambda p: F.struct(_unrole(role(p)).alias("role"), unescaped(body(p)).alias("text")))
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -149,20 +160,28 @@ def conversations(rows: DataFrame) -> DataFrame:
 
 
 def format_records(records: DataFrame, record: str = "record", mappings=MAPPINGS) -> DataFrame:
-    """records with fingerprint, mapping, turns, formatted and mask."""
-    return canonical(records, record, mappings).withColumn("_f", formatted(F.col("turns"))).select("*", F.col("_f.text").alias("formatted"), F.col("_f.mask").alias("mask")).drop("_f")
+    """records with fingerprint, mapping, turns, formatted and mask, named as `canonical` says."""
+    turns, both, text, mask = spare(records, "turns", "both", "formatted", "mask")
+    out = canonical(records, record, mappings).withColumn(both, formatted(F.col(turns)))
+    return out.select("*", F.col(both)["text"].alias(text), F.col(both)["mask"].alias(mask)).drop(both)
+
+
+def loss_text(formatted_: Column, mask: Column) -> Column:
+    """What lies under the loss mask of a formatted string, unescaped, joined."""
+    cut_ = lambda m: unescaped(F.substr(formatted_, (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))
+    return F.array_join(F.transform(F.filter(mask, lambda m: m["loss"]), cut_), "")
 
 
 def report(rows: DataFrame) -> DataFrame:
     """The contract's digests, all taken from the formatted strings and their masks."""
-    check = "</s>[INST] ok [/INST]"
+    check = F.lit("</s>[INST] ok [/INST]")
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = rows.unionByName(rows.sparkSession.createDataFrame([(-1, 0, "user", check), (-1, 1, "assistant", check)], rows.schema))
-    out = format_records(conversations(rows)).select("conv_id", "fingerprint", "mapping", "formatted", "mask")
+    own = rows.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), check.alias("text"))
+    out = format_records(conversations(rows.unionByName(own))).select("conv_id", "mapping", "formatted", "mask")
     out = out.withColumn("t", read_back(F.col("formatted")))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter(F.zip_with("t", "mask", lambda x, m: F.struct(x["text"].alias("text"), (m["loss"] & (m["end"] - m["start"] == x["chars"])).alias("loss"))), lambda x: x["loss"]), lambda x: x["text"]), "")
+    loss = loss_text(F.col("formatted"), F.col("mask"))
     return out.select(
         "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "mapping", "fingerprint",
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "mapping",
     )
