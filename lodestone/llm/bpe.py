@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import Chunked, per_process
-from .common import plus
+from .common import limit_batches, plus, spare
 
 def byte_chars() -> list[str]:
     """One printable character per byte: itself where printable Latin-1, else the next free one above U+00FF."""
@@ -65,7 +65,7 @@ class Codec:
         import sentencepiece
 
         ranks = read_ranks(ranks_path)
-        self.whole, self.find = ranks, regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
         self.table = {b: c for b, c in enumerate(byte_chars())}
         inverse = {c: b for b, c in self.table.items()}
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
@@ -78,15 +78,8 @@ class Codec:
         return [chunk] if chunk[:1] == " " and chunk[1:].isalpha() and chunk.isascii() else self.find(chunk)
 
     def encode_many(self, pretokens: list[str]) -> list[list[int]]:
-        """Ids of each pre-token; whole tokens need no merges."""
-        raw = [p.encode() for p in pretokens]
-        ids = [self.whole.get(r) for r in raw]
-        open_ = [i for i, x in enumerate(ids) if x is None]
-        merged = self.sp.encode([raw[i].decode("latin-1").translate(self.table) for i in open_], num_threads=1) if open_ else []
-        out = [[x] for x in ids]
-        for i, x in zip(open_, merged):
-            out[i] = x
-        return out
+        """Ids of each pre-token."""
+        return self.sp.encode([p.encode().decode("latin-1").translate(self.table) for p in pretokens], num_threads=1) if pretokens else []
 
     def encode(self, text: str) -> list[int]:
         return [i for x in self.encode_many(self.find(text)) for i in x]
@@ -112,32 +105,36 @@ class Codec:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs plus ids array<int>; all columns and rows stay. Decode with `decode`."""
-    names = docs.columns
+    """docs plus ids array<int> (ids_ where docs has such a column); all columns and rows stay. Decode with `decode`."""
+    limit_batches(docs.sparkSession)
+    names, (out,) = docs.columns, spare(docs, "ids")
 
     def apply(batches):
         codec = per_process(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
         for b in batches:
             ids = [codec.encode(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, out])
 
-    return docs.mapInArrow(apply, plus(docs, "ids", "array<int>"))
+    return docs.mapInArrow(apply, plus(docs, out, "array<int>"))
 
 
-def decode(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """rows with ids plus decoded binary."""
-    names = rows.columns
+def decode(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
+    """rows with a column of ids plus decoded binary (decoded_ where rows has such a column)."""
+    limit_batches(rows.sparkSession)
+    names, (name,) = rows.columns, spare(rows, "decoded")
 
     def apply(batches):
         codec = per_process(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
         for b in batches:
-            out = [codec.decode(x or []) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "decoded"])
+            out = [codec.decode(x or []) for x in b.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, name])
 
-    return rows.mapInArrow(apply, plus(rows, "decoded", "binary"))
+    return rows.mapInArrow(apply, plus(rows, name, "binary"))
 
 
 def report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    limit_batches(docs.sparkSession)
+
     def apply(batches):
         codec = per_process(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
         for b in batches:
