@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 import json
-import os
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import Any
 
-from .functions.measures import Agg, ArgExtreme, Expr, MeasureError, Share, inner_of, parse
+from .functions.measures import Expr, MeasureError, dimensions, inner_of, parse
+from .sources import files
 
 VIEWPORTS = ("geo", "orthographic")
 MARKS = ("point", "line", "arc", "rect", "polygon", "heat", "text")
@@ -84,62 +85,51 @@ class View:
     def color(self) -> str | None:
         return (self.encoding.get("color") or {}).get("channel")
 
-    def validate(self) -> View:
-        def need(ok, message: str) -> None:
-            if not ok:
-                raise ViewError(f"view '{self.id}': {message}")
-
-        need(_ID.match(self.id or ""), "the id must be non-empty kebab-case ([a-z0-9-])")
-        need((self.query or "").strip(), "'source.query' is required")
-        need(self.geometry.kind in GEOMETRIES, f"unknown geometry kind '{self.geometry.kind}'")
-        need(bool(self.geometry.x and self.geometry.y) if self.geometry.kind in ("xy", "lonLat") else bool(self.geometry.column), f"geometry '{self.geometry.kind}' lacks its columns")
-        for what, value, known in (("viewport", self.viewport, VIEWPORTS), ("mark", self.mark, MARKS)):
-            need(value in known, f"unknown {what} '{value}'")
-        for c in self.channels:
-            need(c.role in ROLES and c.type in TYPES, f"channel '{c.name}' has an unknown role or type")
-        names = {c.name for c in self.channels}
-        need(len(names) == len(self.channels), "a channel is declared more than once")
-        self._validate_measures(need)
-        usable = names | {m.name for m in self.measures}
-        color = self.encoding.get("color") or {}
-        need(not color.get("channel") or color["channel"] in usable, f"encoding.color.channel '{color.get('channel')}' is not a declared channel or measure")
-        need(color.get("bins") is None or color["bins"] > 0, "encoding.color.bins must be > 0")
-        size = (self.encoding.get("size") or {}).get("channel")
-        need(not size or size in names, f"encoding.size.channel '{size}' is not a declared channel")
-        if self.inspect is not None:
-            listed = self.inspect.get("channels") or []
-            need(listed, "inspect.channels must list at least one channel")
-            for name in [*listed, *filter(None, [self.inspect.get("title")])]:
-                need(name in usable, f"inspect channel '{name}' is not a declared channel or measure")
-        return self
-
-    def _validate_measures(self, need) -> None:
-        need(not self.measures or self.geometry.kind == "quadkey", f"measures require keyed geometry ('quadkey'), not '{self.geometry.kind}'")
-        numeric = {c.name for c in self.channels if c.type in NUMERIC}
-        dictionary = {c.name for c in self.channels if c.type == "dict"}
-        taken = {c.name for c in self.channels}
-        seen: set[str] = set()
+    def faults(self):
+        """Every rule the view breaks, in words."""
+        g, declared = self.geometry, Counter(c.name for c in self.channels)
+        by_type = lambda *types: {c.name for c in self.channels if c.type in types}
+        trees, unreadable = {}, []
         for m in self.measures:
-            need((m.name or "").strip(), "a measure is missing 'name'")
-            need(m.name not in taken, f"measure '{m.name}' collides with a channel of the same name")
-            need(m.name not in seen, f"measure '{m.name}' is declared more than once")
-            seen.add(m.name)
             try:
-                tree = m.tree
+                trees[m.name] = m.tree
             except MeasureError as e:
-                raise ViewError(f"view '{self.id}': measure '{m.name}': {e}") from e
-            inner = inner_of(tree)
-            dims = [w.channel for w in (inner.where, getattr(tree, "where", None)) if w] + ([tree.dimension] if isinstance(tree, ArgExtreme) else [])
-            for c in filter(None, (inner.channel, inner.weight)):
-                need(c in numeric, f"measure '{m.name}': '{c}' must be a numeric channel")
-            for c in dims:
-                need(c in dictionary, f"measure '{m.name}': '{c}' must be a dict (dimension) channel")
+                unreadable.append(f"measure '{m.name}' cannot be read: {e}")
+        showable = {*declared, *(m.name for m in self.measures)}
+        color, size = self.encoding.get("color") or {}, self.encoding.get("size") or {}
+        shown = [] if self.inspect is None else [*(self.inspect.get("channels") or []), *filter(None, [self.inspect.get("title")])]
+        places = (g.x, g.y) if g.kind in ("xy", "lonLat") else (g.column,)
+        rules = {
+            "ids are kebab-case: letters a-z, digits and hyphens": [] if _ID.match(self.id or "") else [self.id],
+            "a source needs a query": [] if (self.query or "").strip() else ["source"],
+            "no such kind of geometry, viewport or mark": [x for x, known in ((g.kind, GEOMETRIES), (self.viewport, VIEWPORTS), (self.mark, MARKS)) if x not in known],
+            "the geometry does not say its columns": [] if all(places) else [g.kind],
+            "role or type is unknown": [c.name for c in self.channels if c.role not in ROLES or c.type not in TYPES],
+            "two channels or measures share a name": [n for n, k in (declared + Counter(m.name for m in self.measures)).items() if k > 1],
+            "measures need a name": ["measures"] if any(not (m.name or "").strip() for m in self.measures) else [],
+            "only keyed places (quadkey) can be measured": [g.kind] if self.measures and g.kind != "quadkey" else [],
+            "sums and averages need a number": [c for t in trees.values() for c in (inner_of(t).channel, inner_of(t).weight) if c and c not in by_type(*NUMERIC)],
+            "restrictions and arg measures need a dict": [c for t in trees.values() for c in dimensions(t) if c not in by_type("dict")],
+            "color shows no channel or measure of the view": [c for c in [color.get("channel")] if c and c not in showable],
+            "color needs one bin at least": [] if color.get("bins") is None or color["bins"] > 0 else [color["bins"]],
+            "size shows no channel of the view": [c for c in [size.get("channel")] if c and c not in declared],
+            "inspect shows nothing": ["inspect"] if self.inspect is not None and not self.inspect.get("channels") else [],
+            "inspect shows no channel or measure of the view": [c for c in shown if c not in showable],
+            "filters need a channel of the view and a known control": [f.get("channel") for f in self.filters if isinstance(f, dict) and (f.get("channel") not in declared or f.get("control", "select") not in CONTROLS)],
+            "aggregate groups by channels of the view": [c for c in (self.aggregate or {}).get("by", []) if c not in declared],
+        }
+        return unreadable + [f"{rule}: {', '.join(map(repr, broken))}" for rule, broken in rules.items() if broken]
+
+    def validate(self) -> View:
+        if found := self.faults():
+            raise ViewError(f"view '{self.id}': {'; '.join(found)}")
+        return self
 
     def validate_classified(self, per_fact: set[str]) -> None:
         """Rules that need the data: dimensions of arg and where vary within marks; raw per-fact channels can't be inspected."""
         for m in self.measures:
             tree = m.tree
-            dims = {tree.dimension} if isinstance(tree, ArgExtreme) else {tree.where.channel} if isinstance(tree, (Share, Agg)) and tree.where else set()
+            dims = set(dimensions(tree))
             if flat := dims - per_fact:
                 raise ViewError(f"view '{self.id}': measure '{m.name}': '{flat.pop()}' is constant within every mark")
         for name in (self.inspect or {}).get("channels", []) if self.grouped else []:
@@ -180,24 +170,19 @@ def dump_view(v: View) -> str:
 
 
 class ViewRegistry:
-    """Views as JSON files of a folder: list, get, save."""
+    """Views as JSON files of a folder, in any file system that Spark reads: list, get, save."""
 
     def __init__(self, folder: str):
         self.folder = folder
 
     def list(self) -> list[str]:
-        return sorted(f[:-5] for f in os.listdir(self.folder) if f.endswith(".json"))
+        return [f[:-5] for f in files.names(self.folder) if f.endswith(".json")]
 
     def get(self, view_id: str) -> View | None:
-        path = os.path.join(self.folder, f"{view_id}.json")
-        if not _ID.match(view_id) or not os.path.exists(path):
-            return None
-        with open(path) as f:
-            return load_view(f.read())
+        text = files.read(f"{self.folder}/{view_id}.json") if _ID.match(view_id) else None
+        return None if text is None else load_view(text)
 
     def save(self, view: View) -> None:
         view.validate()
-        path = os.path.join(self.folder, f"{view.id}.json")
-        with open(path + ".new", "w") as f:
-            f.write(dump_view(view))
-        os.replace(path + ".new", path)
+        files.make(self.folder)
+        files.write(f"{self.folder}/{view.id}.json", dump_view(view))

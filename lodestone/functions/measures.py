@@ -51,91 +51,60 @@ class ArgExtreme:
 
 Expr = Agg | Share | ArgExtreme
 
-_TOKEN = re.compile(r"\s*(?:(?P<name>[A-Za-z_][A-Za-z0-9_]*)|'(?P<text>[^']*)'|(?P<mark>[(),=])|(?P<bad>\S))")
-
-
-class _Reader:
-    def __init__(self, text: str):
-        self.tokens = [(m.lastgroup, m[m.lastgroup]) for m in _TOKEN.finditer(text)]
-        self.at = 0
-
-    def peek(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "end of expression")
-
-    def fail(self, expected: str):
-        raise MeasureError(f"expected {expected}, found '{self.peek()[1]}'")
-
-    def take(self, kind: str, expected: str, value: str | None = None) -> str:
-        k, v = self.peek()
-        if k != kind or value is not None and v != value:
-            self.fail(expected)
-        self.at += 1
-        return v
-
-    def mark(self, c: str) -> None:
-        self.take("mark", f"'{c}'", c)
-
-    def skips(self, kind: str, value: str) -> bool:
-        found = self.peek() == (kind, value)
-        self.at += found
-        return found
-
-
-def _where(r: _Reader) -> Where | None:
-    if not r.skips("name", "where"):
-        return None
-    channel = r.take("name", "a dimension channel")
-    r.mark("=")
-    return Where(channel, r.take("text", "a quoted literal"))
-
-
-def _agg(r: _Reader, verb: str) -> Agg:
-    if verb not in VERBS:
+#: What stands between the brackets of a verb, and what the call becomes. `where` may follow (None), must, or must not.
+GRAMMAR = {
+    **{verb: (("number",) * {"count": 0, "wavg": 2}.get(verb, 1), None, lambda args, where, verb=verb: Agg(verb, *args, *(None,) * (2 - len(args)), where)) for verb in VERBS},
+    "share": (("aggregate",), True, lambda args, where: Share(*args, where)),
+    "argmax": (("dimension", "aggregate"), False, lambda args, where: ArgExtreme(*args, True)),
+    "argmin": (("dimension", "aggregate"), False, lambda args, where: ArgExtreme(*args, False)),
+}
+#: What messages call the parts of a measure.
+SAYS = {"number": "a numeric channel", "dimension": "a dimension channel", "aggregate": "an aggregate verb", "literal": "a quoted literal"}
+_LEXEME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|'[^']*'|\S")
+_KINDS = {"number": str.isidentifier, "dimension": str.isidentifier, "aggregate": str.isidentifier, "literal": lambda x: len(x) > 1 and x[0] == x[-1] == "'"}
+
+
+def _expect(tokens: list[str], kind: str) -> str:
+    """The next token, which must be of a kind of SAYS or else the very mark."""
+    found = tokens[0] if tokens else ""
+    if not (_KINDS[kind](found) if kind in SAYS else found == kind):
+        wanted = SAYS.get(kind, f"'{kind}'")
+        raise MeasureError(f"expected {wanted}, found '{found or 'end of expression'}'")
+    return tokens.pop(0)
+
+
+def _call(tokens: list[str], inside: bool = False) -> Expr:
+    """One verb with its arguments and restriction, as its line of the grammar says. tokens: what is left; gets shorter."""
+    if inside and tokens and tokens[0] in GRAMMAR.keys() - set(VERBS):
+        raise MeasureError(f"expected {SAYS['aggregate']}, found '{tokens[0]}'")
+    verb = _expect(tokens, "aggregate")
+    if verb not in GRAMMAR:
         raise MeasureError(f"unknown aggregate verb '{verb}'")
-    r.mark("(")
-    channel = weight = None
-    if verb != "count":
-        channel = r.take("name", "a numeric channel")
-    if verb == "wavg":
-        r.mark(",")
-        weight = r.take("name", "a numeric channel")
-    r.mark(")")
-    return Agg(verb, channel, weight)
-
-
-def _inner(r: _Reader) -> Agg:
-    k, v = r.peek()
-    if k != "name" or v in ("share", "argmax", "argmin"):
-        r.fail("an aggregate verb")
-    r.at += 1
-    agg = _agg(r, v)
-    if r.peek() == ("name", "where"):
+    kinds, restricted, build = GRAMMAR[verb]
+    args: list = []
+    for mark, kind in zip("(" + "," * (len(kinds) - 1), kinds or [None]):
+        _expect(tokens, mark)
+        if kind:
+            args.append(_call(tokens, True) if kind == "aggregate" else _expect(tokens, kind))
+    _expect(tokens, ")")
+    given = tokens[:1] == ["where"]
+    if inside and given:
         raise MeasureError("an inner aggregate may not carry a 'where'")
-    return agg
+    if restricted and not given:
+        raise MeasureError(f"{verb}(...) requires a 'where' restriction")
+    where = None
+    if given and restricted is not False:
+        tokens.pop(0)
+        channel, _, literal = (_expect(tokens, k) for k in ("dimension", "=", "literal"))
+        where = Where(channel, literal[1:-1])
+    return build(args, where)
 
 
 def parse(text: str) -> Expr:
-    r = _Reader(text or "")
-    verb = r.take("name", "an aggregate verb")
-    if verb == "share":
-        r.mark("(")
-        inner = _inner(r)
-        r.mark(")")
-        where = _where(r)
-        if where is None:
-            raise MeasureError("share(...) requires a 'where' restriction")
-        out: Expr = Share(inner, where)
-    elif verb in ("argmax", "argmin"):
-        r.mark("(")
-        dimension = r.take("name", "a dimension channel")
-        r.mark(",")
-        out = ArgExtreme(dimension, _inner(r), verb == "argmax")
-        r.mark(")")
-    else:
-        agg = _agg(r, verb)
-        out = Agg(agg.verb, agg.channel, agg.weight, _where(r))
-    if r.peek()[0] != "end":
-        raise MeasureError(f"unexpected trailing token '{r.peek()[1]}'")
+    tokens = _LEXEME.findall(text or "")
+    out = _call(tokens)
+    if tokens:
+        raise MeasureError(f"unexpected trailing token '{tokens[0]}'")
     return out
 
 
@@ -143,6 +112,12 @@ def inner_of(e: Expr) -> Agg:
     return e if isinstance(e, Agg) else e.inner
 
 
+def dimensions(e: Expr) -> list[str]:
+    """The dict channels an expression reads."""
+    own = [e.dimension] if isinstance(e, ArgExtreme) else []
+    return own + [w.channel for w in (getattr(e, "where", None), inner_of(e).where if e is not inner_of(e) else None) if w]
+
+
 # --- partials ---------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 # Named colour ramps and palettes.
 SEQUENTIAL = {
     "viridis": ["#440154", "#3b528b", "#21918c", "#5ec962", "#fde725"],
@@ -66,9 +68,8 @@ def diverging(v: Column, lo: float, mid: float, hi: float) -> Column:
 def robust_bounds(df: DataFrame, column: str) -> DataFrame:
     """2nd and 98th percentile of finite values, linear between ranks; least and largest below 8 of them."""
     v = F.when(~F.isnan(column), F.col(column).cast("double"))
-    p = F.percentile(v, [0.02, 0.98])
-    got = df.agg(F.count(v).alias("n"), F.min(v).alias("a"), F.max(v).alias("b"), p.alias("p"))
-    return got.select(F.when(F.col("n") >= 8, F.col("p")[0]).otherwise(F.col("a")).alias("lo"), F.when(F.col("n") >= 8, F.col("p")[1]).otherwise(F.col("b")).alias("hi"))
+    got = quantiles(df, v, [0.02, 0.98])
+    return got.select(F.when(F.col("n") >= 8, F.col("q")[0]).otherwise(F.col("min")).alias("lo"), F.when(F.col("n") >= 8, F.col("q")[1]).otherwise(F.col("max")).alias("hi"))
 
 
 def quantized(v: Column, lo: float, hi: float, bins: int) -> Column:
@@ -83,7 +84,7 @@ def thresholded(v: Column, breaks: list[float]) -> Column:
 
 def quantile_breaks(df: DataFrame, column: str, bins: int) -> DataFrame:
     """bins - 1 inner breaks, one row."""
-    return df.agg(F.percentile(F.col(column).cast("double"), [i / bins for i in range(1, bins)]).alias("breaks"))
+    return quantiles(df, F.col(column), [i / bins for i in range(1, bins)]).select(F.col("q").alias("breaks"))
 
 
 def quantile_bin(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -92,6 +93,12 @@ def quantile_bin(df: DataFrame, column: str, bins: int) -> DataFrame:
     return df.join(F.broadcast(quantile_breaks(df, column, bins))).withColumn("bin", at).drop("breaks")
 
 
+def sized(v: Column, lo: float, hi: float, least: float = 2.0, most: float = 24.0) -> Column:
+    """Size of a mark between two radii, its area in step with the value; the least for what has none."""
+    some = v.isNotNull() & ~F.isnan(v.cast("double"))
+    return F.when(some, F.lit(least) + (most - least) * F.sqrt(normalized(v, lo, hi))).otherwise(F.lit(least))
+
+
 def category_code(v: Column, domain: list[str]) -> Column:
     """Position in the domain; its size for anything unknown."""
     return F.coalesce(F.nullif(F.array_position(F.lit(domain).cast("array<string>"), v), F.lit(0)) - 1, F.lit(len(domain))).cast("int")

@@ -99,3 +99,21 @@ def morton(ix: Column, iy: Column) -> Column:
         return v
 
     return spread(ix).bitwiseOR(F.shiftleft(spread(iy), 1))
+
+
+HILBERT_BITS = 16
+
+
+def hilbert(ix: Column, iy: Column, bits: int = HILBERT_BITS) -> Column:
+    """Place on the Hilbert curve of the `bits` upper bits of both 25-bit indexes: neighbours on it are neighbours on the map."""
+    n = 1 << bits
+    start = F.struct(*[F.shiftright(i.cast("long"), BITS - bits).alias(c) for i, c in ((ix, "x"), (iy, "y"))], F.lit(0).cast("long").alias("d"))
+
+    def step(a: Column, s: Column) -> Column:
+        rx, ry = (a[c].bitwiseAND(s) > 0 for c in "xy")
+        quadrant = F.when(rx, F.when(ry, 2).otherwise(3)).otherwise(F.when(ry, 1).otherwise(0))
+        turned = rx & ~ry  # the curve runs backwards here
+        x, y = (F.when(turned, F.lit(n - 1) - a[c]).otherwise(a[c]) for c in "xy")
+        return F.struct(F.when(ry, x).otherwise(y).alias("x"), F.when(ry, y).otherwise(x).alias("y"), (a["d"] + s * s * quadrant).alias("d"))
+
+    return F.aggregate(F.lit([1 << i for i in range(bits - 1, -1, -1)]).cast("array<bigint>"), start, step)["d"]

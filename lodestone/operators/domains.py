@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import NUMERIC, View
 from ..functions.dates import iso_day
+from ..functions.quantiles import quantiles
 
 QUANTILES, CAP = 129, 4096
 #: Sketched quantiles are off by at most 1 / ACCURACY of the rows in rank.
@@ -16,8 +17,9 @@ def numeric(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """min, max and a grid of 129 quantiles, linear between ranks (or sketched)."""
     at = [i / (QUANTILES - 1) for i in range(QUANTILES)]
     v = F.col(column).cast("double")
-    grid = F.percentile(v, at) if exact else F.percentile_approx(v, at, ACCURACY)
-    return df.agg(F.min(v).alias("min"), F.max(v).alias("max"), grid.alias("quantiles")).where("min is not null")
+    if exact:
+        return quantiles(df, v, at).where("n > 0").select("min", "max", F.col("q").alias("quantiles"))
+    return df.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.percentile_approx(v, at, ACCURACY).alias("quantiles")).where("min is not null")
 
 
 def distinct(df: DataFrame, column: str) -> DataFrame:

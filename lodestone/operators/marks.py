@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Channel, View
-from ..functions.measures import ArgExtreme, extreme, flat, over_facts, partials
+from ..functions.measures import ArgExtreme, extreme, flat, over_facts, parse, partials
 
 SHAPE = ("geometry", "part_offsets")
 
@@ -43,6 +43,35 @@ def group(facts: DataFrame, view: View, per_mark: list[str]) -> DataFrame:
     return out
 
 
+def aggregate_block(facts: DataFrame, spec: dict) -> DataFrame:
+    """A view's aggregate block: one row per combination of `by`, with each of `measures` (name: expression)."""
+    by, trees = list(spec["by"]), {n: parse(e) for n, e in (spec.get("measures") or {}).items()}
+    plain = [flat(t, over_facts).alias(n) for n, t in trees.items() if not isinstance(t, ArgExtreme)]
+    out = facts.groupBy(*by).agg(*plain) if plain else facts.select(*by).distinct()
+    for name, t in trees.items():
+        if isinstance(t, ArgExtreme):
+            best = arg_measure(facts, by, name, t)
+            same = [out[c].eqNullSafe(best[c]) for c in by]
+            out = out.join(best, same, "left").select(*[out[c] for c in out.columns], best[name])
+    return out.select(*by, *trees)
+
+
+def artifacts(facts: DataFrame, view: View, per_mark: list[str]) -> DataFrame:
+    """(channel, position, value): canonical orders of what a grouped view shows as a dictionary, at most 4096 values each.
+
+    Per-mark dictionaries are ordered by their own values, an arg measure by all values of its dimension over the facts,
+    not just those that win somewhere.
+    """
+    from .domains import coded
+
+    source = {c.name: c.name for c in view.channels if c.type == "dict" and c.name in per_mark} | {m.name: m.tree.dimension for m in view.measures if isinstance(m.tree, ArgExtreme)}
+    orders = [coded(facts, column).select(F.lit(shown).alias("channel"), F.col("code").alias("position"), "value") for shown, column in source.items()]
+    out = orders[0] if orders else facts.sparkSession.createDataFrame([], "channel string, position int, value string")
+    for o in orders[1:]:
+        out = out.unionByName(o)
+    return out
+
+
 def arg_measure(facts: DataFrame, keys: list[str], name: str, t: ArgExtreme) -> DataFrame:
     """(keys, name): the dimension value with the extremal inner aggregate, the first in order on ties."""
     inner = facts.groupBy(*keys, t.dimension).agg(flat(t.inner, over_facts).alias("iv")).where(F.col("iv").isNotNull() & ~F.isnan("iv"))

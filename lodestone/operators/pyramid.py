@@ -35,32 +35,55 @@ def raw(df: DataFrame, root: Bbox) -> DataFrame:
 def quadtree_tiles(points: DataFrame, max_zoom: int, budget: int) -> DataFrame:
     """(z, tx, ty, n, is_leaf) for all tiles down to the leaves, and none below. points: ix, iy.
 
-    Counts of the deepest occupied cells are shifted up: one row per cell and zoom, pre-aggregated.
+    Counts of the deepest occupied cells are shifted up: one row per cell and zoom, pre-aggregated. A cell of the parent's
+    grid lies in one child, so children also carry what the parent is judged by.
     """
     cells = points.groupBy(shift(F.col("ix"), max_zoom, GRID_BITS).alias("gx"), shift(F.col("iy"), max_zoom, GRID_BITS).alias("gy")).agg(F.count(F.lit(1)).alias("n"))
     up = lambda c: F.call_function("shiftright", F.col(c), (F.lit(max_zoom) - F.col("z")).cast("int"))
     each = cells.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(max_zoom)))).groupBy("z", up("gx").alias("gx"), up("gy").alias("gy")).agg(F.sum("n").alias("n"))
-    tile = lambda c: F.shiftright(c, GRID_BITS)
-    tiles = each.groupBy("z", tile("gx").alias("tx"), tile("gy").alias("ty")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"))
-    tiles = tiles.withColumn("is_leaf", (F.col("n") <= budget) | (F.col("z") >= max_zoom) | (F.col("cells") == F.col("n")))
-    return below_leaves(tiles).select(*TILE, "n", "is_leaf")
+    wide = each.groupBy("z", F.shiftright("gx", 1).alias("gx"), F.shiftright("gy", 1).alias("gy")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    tile = lambda c: F.shiftright(c, GRID_BITS - 1)
+    tiles = wide.groupBy("z", tile("gx").alias("tx"), tile("gy").alias("ty")).agg(F.sum("n").alias("n"), F.sum("k").alias("cells"), F.count(F.lit(1)).alias("wide"))
+    leaf = lambda n, cells, z: (n <= budget) | (z >= max_zoom) | (cells == n)
+    return below_leaves(
+        tiles, {"n": F.col("n"), "is_leaf": leaf(F.col("n"), F.col("cells"), F.col("z"))}, [F.sum("n").alias("pn"), F.sum("wide").alias("pw")], leaf(F.col("pn"), F.col("pw"), F.col("z") - 1)
+    )
 
 
-def below_leaves(tiles: DataFrame) -> DataFrame:
-    """Without tiles whose parent is a leaf; leaf-ness only grows downwards, so the parent decides."""
-    parents = tiles.where(~F.col("is_leaf")).select((F.col("z") + 1).alias("z"), F.col("tx").alias("px"), F.col("ty").alias("py"))
-    keyed = tiles.withColumns({"px": F.shiftright("tx", 1), "py": F.shiftright("ty", 1)})
-    return keyed.join(parents, ["z", "px", "py"], "left_semi").unionByName(keyed.where("z = 0")).drop("px", "py")
+def below_leaves(tiles: DataFrame, keep: dict[str, Column], totals: list[Column], parent_is_leaf: Column) -> DataFrame:
+    """Tiles without those whose parent is a leaf; leaf-ness only grows downwards, so the parent decides.
+
+    The four children of a tile are gathered once; `totals` over them say what the parent is.
+    """
+    child_ = F.struct("tx", "ty", *[c.alias(n) for n, c in keep.items()])
+    families = tiles.groupBy("z", F.shiftright("tx", 1).alias("px"), F.shiftright("ty", 1).alias("py")).agg(F.collect_list(child_).alias("children"), *totals)
+    return families.where((F.col("z") == 0) | ~parent_is_leaf).select("z", F.inline("children"))
+
+
+def leaf_zooms(tiles: DataFrame, deepest: DataFrame, max_zoom: int) -> DataFrame:
+    """(bx, by, leaf_z): the zoom of the leaf over each deepest tile (bx, by)."""
+    up = lambda c: F.call_function("shiftright", F.col(c), (F.lit(max_zoom) - F.col("z")).cast("int"))
+    over = deepest.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(max_zoom)))).withColumns({"tx": up("bx"), "ty": up("by")})
+    return over.join(tiles.where("is_leaf").select(*TILE), list(TILE)).select("bx", "by", F.col("z").alias("leaf_z"))
+
+
+def in_tiles(rows: DataFrame, tiles: DataFrame, max_zoom: int) -> DataFrame:
+    """rows (with ix, iy) once per zoom from 0 to that of their leaf, with z, tx, ty, is_leaf.
+
+    The leaf is found by one join on the deepest tile, before rows are copied to zooms.
+    """
+    keyed = rows.withColumns({"bx": shift(F.col("ix"), max_zoom), "by": shift(F.col("iy"), max_zoom)})
+    leaves = leaf_zooms(tiles, keyed.select("bx", "by").distinct(), max_zoom)
+    return at_zooms(keyed.join(leaves, ["bx", "by"]), F.sequence(F.lit(0), F.col("leaf_z"))).withColumn("is_leaf", F.col("z") == F.col("leaf_z")).drop("bx", "by", "leaf_z")
 
 
-def quadtree(points: DataFrame, root: Bbox, max_zoom: int, budget: int, order: list[str]) -> DataFrame:
+def quadtree(points: DataFrame, root: Bbox, max_zoom: int, budget: int, order: list[str], tiles: DataFrame | None = None) -> DataFrame:
     """All tile rows: leaves hold every row, inner tiles the first row of each grid cell with merged_count.
 
-    order: columns that decide which row stands for a cell.
+    order: columns that decide which row stands for a cell. tiles: quadtree_tiles, if it is written already.
     """
     points = indexed(points, root)
-    tiles = quadtree_tiles(points.select("ix", "iy"), max_zoom, budget)
-    rows = at_zooms(points, F.sequence(F.lit(0), F.lit(max_zoom))).join(tiles.select(*TILE, "is_leaf"), list(TILE))
+    rows = in_tiles(points, quadtree_tiles(points.select("ix", "iy"), max_zoom, budget) if tiles is None else tiles, max_zoom)
     names = [c for c in rows.columns if c not in (*TILE, "ix", "iy", "is_leaf")]
     cell = [shift(F.col("ix"), F.col("z"), GRID_BITS).alias("gx"), shift(F.col("iy"), F.col("z"), GRID_BITS).alias("gy")]
     inner = rows.where(~F.col("is_leaf")).groupBy(*TILE, *cell).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("r"), F.count(F.lit(1)).cast("int").alias("merged_count"))
@@ -76,7 +99,7 @@ def aggregate_tiles(marks: DataFrame) -> DataFrame:
     deepest = marks.groupBy(shift(F.col("ix"), MAX_ZOOM).alias("tx"), shift(F.col("iy"), MAX_ZOOM).alias("ty")).agg(F.max("zreal").alias("zreal"))
     up = lambda c: F.call_function("shiftright", F.col(c), (F.lit(MAX_ZOOM) - F.col("z")).cast("int"))
     each = deepest.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(MAX_ZOOM)))).groupBy("z", up("tx").alias("tx"), up("ty").alias("ty")).agg(F.max("zreal").alias("zreal"))
-    return below_leaves(each.withColumn("is_leaf", F.col("zreal") <= F.col("z"))).select(*TILE, "is_leaf")
+    return below_leaves(each, {"is_leaf": F.col("zreal") <= F.col("z")}, [F.max("zreal").alias("pz")], F.col("pz") <= F.col("z") - 1)
 
 
 def mark_keys() -> dict[str, Column]:
@@ -88,14 +111,15 @@ def mark_keys() -> dict[str, Column]:
 
 def placed(rows: DataFrame, tiles: DataFrame) -> DataFrame:
     """rows (with ix, iy, zreal) in every tile that shows them, with mark keys."""
-    return at_zooms(rows, F.sequence(F.lit(0), F.lit(MAX_ZOOM))).join(tiles, list(TILE)).withColumns(mark_keys())
+    return in_tiles(rows, tiles, MAX_ZOOM).withColumns(mark_keys())
 
 
-def aggregate(marks: DataFrame, root: Bbox, measures: list[str], dictionaries: list[str]) -> DataFrame:
+def aggregate(marks: DataFrame, root: Bbox, measures: list[str], dictionaries: list[str], tiles: DataFrame | None = None) -> DataFrame:
     """All tile rows: real marks as they are; others merged per grid cell, numbers averaged and dictionaries by their
-    most frequent value (the lowest on ties). Null numbers become NaN. marks: x, y, zreal, channels[, geometry]."""
+    most frequent value (the lowest on ties). Null numbers become NaN. marks: x, y, zreal, channels[, geometry].
+    tiles: aggregate_tiles, if it is written already."""
     marks = indexed(marks, root)
-    rows = placed(marks, aggregate_tiles(marks.select("ix", "iy", "zreal")))
+    rows = placed(marks, aggregate_tiles(marks.select("ix", "iy", "zreal")) if tiles is None else tiles)
     shape = [c for c in ("geometry", "part_offsets") if c in marks.columns]
     as_f32 = lambda c: F.coalesce(c.cast("float"), F.lit(float("nan")).cast("float"))
     real = rows.where("real").select(*TILE, "is_leaf", "real", "k1", "k2", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), *shape, F.lit(1).alias("merged_count"), *[as_f32(F.col(m)).alias(m) for m in measures], *dictionaries)
@@ -137,9 +161,7 @@ def _narrow(p: Partial) -> Column:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """mki: position of a mark in its tile by key, from 0. Tiles of a leaf pyramid hold at most 512 x 512 merged marks."""
-    keys = rows.select(*TILE, "real", "k1", "k2").distinct()
-    mki = keys.withColumn("mki", F.row_number().over(Window.partitionBy(*TILE).orderBy("real", "k1", "k2")) - 1)
-    return rows.join(mki, [*TILE, "real", "k1", "k2"])
+    return rows.withColumn("mki", (F.dense_rank().over(Window.partitionBy(*TILE).orderBy("real", "k1", "k2")) - 1).cast("int"))
 
 
 def metadata(rows: DataFrame) -> DataFrame:

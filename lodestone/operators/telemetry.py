@@ -32,3 +32,8 @@ def network_totals(events: DataFrame, nbytes: str, ms: str, cached: Column) -> D
 
 def frame_totals(frames: DataFrame, ms: str, long_ms: float = 50.0) -> DataFrame:
     return frames.agg(F.count_if(F.col(ms) >= long_ms).alias("long_frames"), (1000 / F.nullif(F.avg(ms), F.lit(0.0))).alias("fps"))
+
+
+def stage_traffic(events: DataFrame, stage: str, nbytes: str, wire: str, cached: Column) -> DataFrame:
+    """Bytes, bytes on the wire, and cold and warm requests per stage."""
+    return events.groupBy(stage).agg(F.sum(nbytes).alias("bytes"), F.sum(wire).alias("wire"), F.count_if(~cached).alias("cold"), F.count_if(cached).alias("warm"))

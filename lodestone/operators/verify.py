@@ -26,3 +26,13 @@ def group_summary(leaf_cube: DataFrame, source_rows: int) -> DataFrame:
     """Facts behind all leaf cells against the source."""
     got = leaf_cube.where("is_leaf").agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("facts"))
     return got.withColumn("source_rows", F.lit(source_rows)).withColumn("verdict", F.when(F.col("facts") > source_rows, "facts counted in more than one leaf").when(F.col("facts") < source_rows, "facts in no leaf at all").otherwise("ok"))
+
+
+def column_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(column, differing): how many rows of two results differ, per column; null equals null and NaN equals NaN. Rows that
+    only one side has differ in every column."""
+    others = [c for c in a.columns if c not in keys]
+    plain_ = lambda df, name: df.select(*keys, F.struct(*others).alias(name))
+    both = plain_(a, "_a").join(plain_(b, "_b"), keys, "full")
+    sums = both.agg(*[F.count_if(~F.col("_a")[c].eqNullSafe(F.col("_b")[c]) | F.col("_a").isNull() | F.col("_b").isNull()).alias(c) for c in others])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("differing")) for c in others])).alias("r")).select("r.*")

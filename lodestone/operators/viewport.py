@@ -1,6 +1,7 @@
 """Which tiles a screen shows: selection, cover by loaded tiles, prefetch."""
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -56,3 +57,43 @@ def prefetch(shown: Iterable[Key], known: set[Key], loaded: set[Key] = frozenset
     rings = [[(z - 1, x >> 1, y >> 1) for z, x, y in shown if z], [(z, x + i, y + j) for z, x, y in shown for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], [c for t in shown for c in _below(t, 1)]]
     skip = set(shown) | set(loaded)
     return [t for t in dict.fromkeys(t for ring in rings for t in ring) if t in known and t not in skip][:cap]
+
+
+def camera_bounds(center: tuple[float, float], scale: float, size: tuple[float, float]) -> Bbox:
+    """What a camera sees: `size` pixels around the centre, `scale` pixels a unit."""
+    w, h = size[0] / scale / 2, size[1] / scale / 2
+    return Bbox(center[0] - w, center[1] - h, center[0] + w, center[1] + h)
+
+
+def fitted(box: Bbox, size: tuple[float, float], margin: float = 0.0) -> tuple[tuple[float, float], float]:
+    """The camera (centre, scale) that shows all of a box, with a margin as a share of the screen."""
+    w, h = max(box.max_x - box.min_x, 1e-12), max(box.max_y - box.min_y, 1e-12)
+    return ((box.min_x + box.max_x) / 2, (box.min_y + box.max_y) / 2), min(size[0] / w, size[1] / h) * (1 - margin)
+
+
+class TileCache:
+    """Loaded tiles within a budget of bytes: the least recently used leaves first; failed tiles may be asked for again
+    after `retry` seconds, and what a later view no longer wants is not taken in."""
+
+    def __init__(self, budget: int = 384 << 20, retry: float = 2.0):
+        self.budget, self.retry, self.kept, self.used, self.failed, self.wanted = budget, retry, OrderedDict(), 0, {}, None
+
+    def want(self, keys: Iterable[Key], now: float) -> list[Key]:
+        """What to load for a view; anything else that arrives later is stale."""
+        self.wanted = set(keys)
+        for k in self.wanted & self.kept.keys():
+            self.kept.move_to_end(k)
+        return sorted(k for k in self.wanted - self.kept.keys() if now - self.failed.get(k, -self.retry) >= self.retry)
+
+    def put(self, key: Key, size: int, value=None) -> bool:
+        if self.wanted is not None and key not in self.wanted:
+            return False
+        if key in self.kept:
+            self.used -= self.kept.pop(key)[0]
+        self.kept[key], self.used = (size, value), self.used + size
+        while self.used > self.budget and len(self.kept) > 1:
+            self.used -= self.kept.popitem(last=False)[1][0]
+        return True
+
+    def fail(self, key: Key, now: float) -> None:
+        self.failed[key] = now

@@ -207,15 +207,6 @@ def catalogue() -> dict[str, tuple]:
     q["f02_tile_rect"] = (lambda s, d: points(s, d).where(tiling.in_tile(ROOT, 2, 1, 0)).select("id"), f"WITH p AS ({POINTS}) SELECT id FROM p WHERE {_idx('x', '4')} = 1 AND {_idx('y', '4')} = 0")
     q["f03_context"] = (lambda s, d: (lambda df: df.where(fold.predicate(CONTEXT, GRAIN, dict(df.dtypes))).groupBy("quarter").agg(F.count("*").alias("n")))(facts(s, d)), _F + f" SELECT quarter, count(*) AS n FROM f WHERE {_CTX} GROUP BY quarter")
     q["f04_predicate"] = (lambda s, d: fold.mark_filters(points(s, d), {"status": "O", "day": "1996-01-01.."}, {"day"}).select("id"), f"WITH p AS ({POINTS}) SELECT id FROM p WHERE status = 'O' AND (day IS NULL OR day >= DATE '1996-01-01')")
-    q["f11_multi_range"] = (lambda s, d: points(s, d).where(F.col("status").isin("O", "P") & F.col("x").between(1000, 200000)).select("id"), f"WITH p AS ({POINTS}) SELECT id FROM p WHERE status IN ('O', 'P') AND x BETWEEN 1000 AND 200000")
-    agg = {"total": "sum(qty)", "n": "count(*)::DOUBLE", "mean": "sum(qty) / count(*)", "weighted": "sum(qty::DOUBLE * w) / nullif(sum(w), 0)", "least": "min(qty)::DOUBLE", "most": "max(qty)::DOUBLE", "returned": "coalesce(sum(qty) FILTER (WHERE flag = 'R'), 0)", "share_r": "coalesce(sum(qty) FILTER (WHERE flag = 'R'), 0) / nullif(sum(qty), 0)"}
-    ids = {"total": "a01_sum", "n": "a02_count", "mean": "a03_avg", "weighted": "a04_wavg", "least": "a05_min", "most": "a05_max", "returned": "a06_filtered", "share_r": "a07_share", "top_flag": "a08_argmax", "low_flag": "a08_argmin"}
-    for n, key in ids.items():
-        if n in agg:
-            q[key] = (_measure(n), _F + f" SELECT x, y, round(({agg[n]})::DOUBLE, 6) AS v FROM f GROUP BY x, y")
-        else:
-            o = "sum(qty) DESC" if n == "top_flag" else "sum(qty) / count(*)"
-            q[key] = (_measure(n), _F + f" SELECT x, y, flag AS v FROM (SELECT x, y, flag, row_number() OVER (PARTITION BY x, y ORDER BY {o}, flag) AS r FROM f GROUP BY x, y, flag) WHERE r = 1")
     q["a12_cell_partials"] = (lambda s, d: facts(s, d).groupBy("x", "y", *GRAIN).agg(*[p.from_facts() for p in (Partial("sum", "qty"), Partial("cnt"), Partial("swp", "qty", "w"), Partial("min", "qty"), Partial("max", "qty"))]), _F + " SELECT x, y, flag, status, quarter, sum(qty)::FLOAT AS sum__qty, count(*)::INT AS cnt, sum(qty * w)::FLOAT AS swp__qty__w, min(qty) AS min__qty, max(qty) AS max__qty FROM f GROUP BY ALL")
     q["a13_fold_marks"] = (lambda s, d: _fold_marks(facts(s, d), trees(), CONTEXT), _F + ", " + _fold_sql(list(MEASURES), _CTX))
     q["flagship_dominant"] = (flagship, _F + ", " + _fold_sql(["total", "weighted", "share_r", "top_flag"], "status = 'O'"))
@@ -227,9 +218,6 @@ def catalogue() -> dict[str, tuple]:
     q["g07_temporal_domain"] = (lambda s, d: domains.temporal(points(s, d), "day"), f'WITH p AS ({POINTS}) SELECT strftime(min(day), \'%Y-%m-%d\') AS "from", strftime(max(day), \'%Y-%m-%d\') AS "to" FROM p')
     q["g09_probe"] = (lambda s, d: planner.probe_frame(facts(s, d)), _F + " SELECT min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, count(*) AS n, count(DISTINCT (x, y)) AS n_distinct FROM f")
     q["g10_axis_domain"] = (lambda s, d: cube.axis_values(facts(s, d), "quarter"), _F + " SELECT DISTINCT strftime(quarter, '%Y-%m-%d') AS value FROM f WHERE quarter IS NOT NULL")
-    q["g15_aggregate_block"] = (lambda s, d: facts(s, d).groupBy("zone", "flag").agg(F.sum("qty").alias("total"), F.count("*").alias("n")), _F + " SELECT zone, flag, sum(qty) AS total, count(*) AS n FROM f GROUP BY zone, flag")
-    q["b01_plan"] = (lambda s, d: planner.probe_frame(facts(s, d)).select("n", "n_distinct", F.when(F.col("n") <= 10_000, "rawPassthrough").when(F.col("n") / F.col("n_distinct") >= planner.FACTS_PER_PLACE, "aggregate").otherwise("quadtreeLod").alias("reduction")), _F + " SELECT count(*) AS n, count(DISTINCT (x, y)) AS n_distinct, CASE WHEN count(*) <= 10000 THEN 'rawPassthrough' WHEN count(*) / count(DISTINCT (x, y)) >= 4 THEN 'aggregate' ELSE 'quadtreeLod' END AS reduction FROM f")
-    q["b03_raw"] = (lambda s, d: pyramid.raw(points(s, d), ROOT).groupBy("z", "tx", "ty", "is_leaf").agg(F.count("*").alias("n")), "SELECT 0 AS z, 0::BIGINT AS tx, 0::BIGINT AS ty, true AS is_leaf, count(*) AS n FROM orders")
     q["b04_quadtree"] = (lambda s, d: pyramid.quadtree(points(s, d), ROOT, 6, 500, ["id"]).select("z", "tx", "ty", "id", "merged_count", "is_leaf"), _PTS + ", r AS (SELECT l.*, t.is_leaf FROM lvl l JOIN tiles t USING (z, tx, ty)) SELECT z::INT AS z, tx, ty, id, 1 AS merged_count, is_leaf FROM r WHERE is_leaf UNION ALL SELECT z::INT, tx, ty, min(id), count(*)::INT, false FROM r WHERE NOT is_leaf GROUP BY z, tx, ty, gx, gy")
     q["b04_quadtree_tiles"] = (lambda s, d: pyramid.quadtree_tiles(pyramid.indexed(points(s, d), ROOT), 6, 500), _PTS + " SELECT z::INT AS z, tx, ty, n, is_leaf FROM tiles")
     q["b05_aggregate"] = (lambda s, d: pyramid.aggregate(mark_table(s, d), ROOT, ["total"], ["zone", "lowest_flag"]).select("z", "tx", "ty", "is_leaf", "real", "k1", "k2", "x", "y", "merged_count", F.round(F.col("total").cast("double"), 2).alias("total"), "zone", "lowest_flag"), _KEYED + f""", md AS (SELECT {_MK}, zone FROM (SELECT {_MK}, zone, row_number() OVER (PARTITION BY {_MK} ORDER BY count(*) DESC, zone) AS r FROM pl WHERE NOT "real" GROUP BY {_MK}, zone) WHERE r = 1),
@@ -278,13 +266,14 @@ UNION ALL SELECT z::INT, tx, ty, is_leaf, "real", k1, k2, ((k1 + 0.5::DOUBLE) *
     q["w01_merged_count"] = (lambda s, d: pyramid.quadtree(points(s, d), ROOT, 6, 500, ["id"]).where(~F.col("is_leaf")).groupBy("z").agg(F.sum("merged_count").alias("rows"), F.max("merged_count").alias("largest")), _PTS + ", g AS (SELECT z, tx, ty, gx, gy, count(*) AS n FROM lvl JOIN tiles USING (z, tx, ty) WHERE NOT is_leaf GROUP BY ALL) SELECT z::INT AS z, sum(n)::BIGINT AS rows, max(n)::INT AS largest FROM g GROUP BY z")
     q["t01_stage_stats"] = (lambda s, d: telemetry.stage_stats(load(s, d, "SELECT event_type, value, event_id FROM events"), "event_type", "value", "event_id").select("event_type", "n", "last", "max", F.round("total", 4).alias("total"), "p50", "p95"), "WITH e AS (SELECT event_type, list(value ORDER BY value) FILTER (WHERE value IS NOT NULL) AS v, count(value) AS n, arg_max(value, event_id) AS last, max(value) AS max, round(sum(value), 4) AS total FROM events GROUP BY event_type) SELECT event_type, n, last, max, total, v[least(n - 1, floor(n * 0.5))::BIGINT + 1] AS p50, v[least(n - 1, floor(n * 0.95::DOUBLE))::BIGINT + 1] AS p95 FROM e")
     q["t02_totals"] = (lambda s, d: telemetry.network_totals(load(s, d, "SELECT CAST(user_id AS BIGINT) AS b, CAST(event_id % 100 AS BIGINT) AS ms, event_type FROM events"), "b", "ms", F.col("event_type") == "view").select("cold", "warm", "cold_bytes", "cold_ms", F.round("goodput", 4).alias("goodput")), "SELECT count(*) FILTER (WHERE event_type <> 'view') AS cold, count(*) FILTER (WHERE event_type = 'view') AS warm, sum(user_id) FILTER (WHERE event_type <> 'view')::BIGINT AS cold_bytes, sum(event_id % 100) FILTER (WHERE event_type <> 'view')::BIGINT AS cold_ms, round(1000 * sum(user_id) FILTER (WHERE event_type <> 'view') / sum(event_id % 100) FILTER (WHERE event_type <> 'view'), 4) AS goodput FROM events")
-    q["p20_triangulate"] = (lambda s, d: load(s, d, "SELECT p_partkey, array(CAST(0 AS FLOAT), 0, p_size + 4, 0, p_size + 4, p_size, 2, 1, 0, p_size, 0, 0) AS geometry, array(0, 6) AS part_offsets FROM part").select("p_partkey", (F.size(triangulate.triangles()) / 3).cast("int").alias("triangles")), "SELECT p_partkey, 3 AS triangles FROM part")
     q["src_joins"] = _same("SELECT n_name, count(*) AS n, count(DISTINCT s_suppkey) AS suppliers FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') GROUP BY n_name")
     q["src_range_join"] = _same("SELECT a.s_suppkey AS a, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_acctbal BETWEEN a.s_acctbal - 500 AND a.s_acctbal + 500 GROUP BY a.s_suppkey")
     q["src_set_ops"] = _same("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
     q["src_rollup"] = _same("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
     q["src_windows"] = _same("SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders")
-    return q
+    from . import edges
+
+    return q | edges.catalogue()
 
 
 def queries():

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import gzip
 import json
-import os
 import uuid
 import zlib
 from datetime import datetime, timezone
@@ -13,16 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import View
-from ..functions.tiling import Bbox, deep_index, morton
+from ..functions.tiling import Bbox, deep_index, hilbert
 from ..operators.pyramid import TILE
+from . import files
 
 ROW_GROUP_BYTES = 64 << 20
 
 
 def write_sorted(df: DataFrame, path: str, root: Bbox, storage: dict | None = None) -> None:
-    """Parquet in Morton order, so that row-group statistics prune by place. storage: partitionBy, sortBy, bloom."""
+    """Parquet in Hilbert order, so that row-group statistics prune by place. storage: partitionBy, sortBy, bloom."""
     storage = storage or {}
-    key = morton(deep_index(root, "x"), deep_index(root, "y"))
+    key = hilbert(deep_index(root, "x"), deep_index(root, "y"))
     parts = storage.get("partitionBy", [])
     placed = df.withColumn("_key", key).repartitionByRange(*parts, "_key").sortWithinPartitions(*parts, *storage.get("sortBy", ["_key"])).drop("_key")
     options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in storage.get("bloom", [])} | {"compression": storage.get("compression", "zstd"), "parquet.block.size": str(ROW_GROUP_BYTES)}
@@ -73,8 +73,8 @@ def arrow_tiles(rows: DataFrame, orders: dict[str, list[str]] | None = None) ->
     return rows.groupBy(*TILE).applyInArrow(one, "z int, tx long, ty long, n_rows long, data binary")
 
 
-def packed(tiles: DataFrame, codec: str = "gzip", level: int | None = None) -> DataFrame:
-    """data compressed per tile: gzip, zstd or brotli."""
+def packed(tiles: DataFrame, codec: str = "gzip", level: int | None = None, dictionary_: bytes | None = None) -> DataFrame:
+    """data compressed per tile: gzip, zstd (with a trained dictionary, if given) or brotli."""
 
     def run(batches):
         import zstandard
@@ -84,7 +84,7 @@ def packed(tiles: DataFrame, codec: str = "gzip", level: int | None = None) -> D
             if codec == "gzip":
                 out = [gzip.compress(x, level or 6, mtime=0) for x in raw]
             elif codec == "zstd":
-                c = zstandard.ZstdCompressor(level=level or 19)
+                c = zstandard.ZstdCompressor(level=level or 19, dict_data=zstandard.ZstdCompressionDict(dictionary_) if dictionary_ else None)
                 out = [c.compress(x) for x in raw]
             else:
                 c = pa.Codec(codec, compression_level=level)
@@ -94,7 +94,7 @@ def packed(tiles: DataFrame, codec: str = "gzip", level: int | None = None) -> D
     return tiles.mapInArrow(run, tiles.schema)
 
 
-def unpacked(tiles: DataFrame, codec: str = "gzip", largest: int = 1 << 30) -> DataFrame:
+def unpacked(tiles: DataFrame, codec: str = "gzip", largest: int = 1 << 30, dictionary_: bytes | None = None) -> DataFrame:
     """The inverse of packed; a block that would inflate beyond `largest` is refused."""
 
     def run(batches):
@@ -106,7 +106,7 @@ def unpacked(tiles: DataFrame, codec: str = "gzip", largest: int = 1 << 30) -> D
                 if codec == "gzip":
                     raw = zlib.decompressobj(31).decompress(x, largest + 1)
                 elif codec == "zstd":
-                    raw = zstandard.ZstdDecompressor().decompress(x, max_output_size=largest)
+                    raw = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary_) if dictionary_ else None).decompress(x, max_output_size=largest)
                 else:
                     raw = pa.CompressedInputStream(pa.BufferReader(x), codec).read(largest + 1)
                 if len(raw) > largest:
@@ -117,6 +117,78 @@ def unpacked(tiles: DataFrame, codec: str = "gzip", largest: int = 1 << 30) -> D
     return tiles.mapInArrow(run, tiles.schema)
 
 
+def tile_rows(tiles: DataFrame, schema: str) -> DataFrame:
+    """Rows of Arrow tiles (see arrow_tiles), with z, tx, ty; dictionaries become text. schema: of the rows."""
+    columns = [f.name for f in tiles.sparkSession.createDataFrame([], schema).schema]
+
+    def run(batches):
+        for b in batches:
+            for z, tx, ty, data in zip(*(b.column(c).to_pylist() for c in (*TILE, "data"))):
+                t = pa.ipc.open_stream(data).read_all()
+                t = pa.table({c: t.column(c).cast(t.schema.field(c).type.value_type) if pa.types.is_dictionary(t.schema.field(c).type) else t.column(c) for c in columns})
+                n = t.num_rows
+                for part in pa.table([pa.array([z] * n, pa.int32()), pa.array([tx] * n, pa.int64()), pa.array([ty] * n, pa.int64()), *t.columns], names=[*TILE, *columns]).to_batches():
+                    yield part
+
+    return tiles.mapInArrow(run, f"z int, tx long, ty long, {schema}")
+
+
+def packs(tiles: DataFrame, side: int = 16) -> DataFrame:
+    """(pack, index, data): blocks of leaf tiles one after the other, in tile order, and where each begins and ends.
+
+    tiles: z, tx, ty, is_leaf, data. A pack holds a square of `side` x `side` tiles of a zoom.
+    """
+
+    def one(table):
+        t = table.sort_by([("tx", "ascending"), ("ty", "ascending")])
+        at, index = 0, []
+        for x, y, data in zip(t.column("tx").to_pylist(), t.column("ty").to_pylist(), t.column("data").to_pylist()):
+            index.append({"tx": x, "ty": y, "start": at, "end": at + len(data)})
+            at += len(data)
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("tx", "ty", "start", "end")]))
+        return pa.table({"z": t.column("z").slice(0, 1).cast(pa.int32()), "index": pa.array([index], kind), "data": pa.array([b"".join(t.column("data").to_pylist())], pa.binary())})
+
+    square = [F.floor(F.col(c) / side) for c in ("tx", "ty")]
+    return tiles.where("is_leaf").select(*TILE, "data").groupBy("z", *square).applyInArrow(one, "z int, index array<struct<tx:bigint,ty:bigint,start:bigint,end:bigint>>, data binary")
+
+
+def from_packs(packed_: DataFrame) -> DataFrame:
+    """z, tx, ty, data: the blocks of packs, each cut out by its index entry."""
+    each = packed_.select("z", "data", F.inline("index"))
+    return each.select(*TILE, F.substring("data", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("data"))
+
+
+def slab_blocks(slabs: DataFrame) -> DataFrame:
+    """(z, tx, ty, data): the lists of a tile's slab as one Arrow block. Sparse slabs are told by their cell_ids."""
+    names_ = [c for c in slabs.columns if c not in TILE]
+
+    def run(batches):
+        for b in batches:
+            data = [tile_bytes(pa.Table.from_batches([b.slice(i, 1).select(names_)])) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in TILE), pa.array(data, pa.binary())], names=[*TILE, "data"])
+
+    return slabs.select(*TILE, *names_).mapInArrow(run, "z int, tx long, ty long, data binary")
+
+
+def read_slabs(blocks: DataFrame, parts: dict[str, str]) -> DataFrame:
+    """The inverse of slab_blocks: z, tx, ty, sparse, offsets, cell_ids and the lists of parts (name: type).
+
+    A block without cell_ids holds dense planes and has null offsets and cell_ids.
+    """
+    kinds = {"offsets": "array<int>", "cell_ids": "array<int>", **{c: f"array<{t}>" for c, t in parts.items()}}
+    fields = ", ".join(f"{c} {t}" for c, t in kinds.items())
+    arrow = {"int": pa.int32(), "float": pa.float32(), "double": pa.float64()}
+
+    def run(batches):
+        for b in batches:
+            for z, tx, ty, data in zip(*(b.column(c).to_pylist() for c in (*TILE, "data"))):
+                t = pa.ipc.open_stream(data).read_all()
+                lists = [t.column(c).combine_chunks().cast(pa.list_(arrow[k[6:-1]])) if c in t.column_names else pa.nulls(1, pa.list_(arrow[k[6:-1]])) for c, k in kinds.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([z], pa.int32()), pa.array([tx], pa.int64()), pa.array([ty], pa.int64()), pa.array(["cell_ids" in t.column_names]), *lists], names=[*TILE, "sparse", *kinds])
+
+    return blocks.mapInArrow(run, f"z int, tx long, ty long, sparse boolean, {fields}")
+
+
 def column_blocks(rows: DataFrame, first: list[str] = ()) -> DataFrame:
     """(z, tx, ty, place, column, data): each column of a tile as a zstd block of its own, in reading order: shape,
     then `first` (see first_paint), then the rest, so that a reader fetches only what it draws."""
@@ -153,37 +225,29 @@ def folded_columns(df: DataFrame) -> bytes:
 
 
 class BakeStore:
-    """Immutable versions of a view with a pointer flipped by rename."""
+    """Immutable versions of a view with a pointer flipped by rename, in any file system that Spark reads."""
 
     def __init__(self, folder: str):
         self.folder = folder
 
     def new_version(self, view_id: str) -> str:
         v = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-        os.makedirs(os.path.join(self.folder, view_id, v))
+        files.make(self.path(view_id, v))
         return v
 
     def path(self, view_id: str, version: str, *parts: str) -> str:
-        return os.path.join(self.folder, view_id, version, *parts)
+        return "/".join([self.folder.rstrip("/"), view_id, version, *parts])
 
     def publish(self, view_id: str, version: str, manifest: dict) -> None:
-        self._put(self.path(view_id, version, "manifest.json"), manifest)
-        self._put(os.path.join(self.folder, view_id, "latest.json"), {"version": version})
+        files.write(self.path(view_id, version, "manifest.json"), json.dumps(manifest, indent=1))
+        files.write(self.path(view_id, "latest.json"), json.dumps({"version": version}))
 
     def latest(self, view_id: str) -> tuple[str, dict] | None:
-        pointer = os.path.join(self.folder, view_id, "latest.json")
-        if not os.path.exists(pointer):
+        pointer = files.read(self.path(view_id, "latest.json"))
+        if pointer is None:
             return None
-        with open(pointer) as f:
-            version = json.load(f)["version"]
-        with open(self.path(view_id, version, "manifest.json")) as f:
-            return version, json.load(f)
-
-    @staticmethod
-    def _put(path: str, value: dict) -> None:
-        with open(path + ".new", "w") as f:
-            json.dump(value, f, indent=1)
-        os.replace(path + ".new", path)
+        version = json.loads(pointer)["version"]
+        return version, json.loads(files.read(self.path(view_id, version, "manifest.json")))
 
 
 def first_paint(view: View, per_fact: list[str], reduction: str) -> list[str]:

@@ -1,12 +1,11 @@
 """A cube kept up to date from a stream: additive partials of each micro-batch are merged into a table of versions."""
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import Partial
+from ..sources import files
 
 
 def merge(old: DataFrame | None, new: DataFrame, keys: list[str], parts: list[Partial]) -> DataFrame:
@@ -15,24 +14,40 @@ def merge(old: DataFrame | None, new: DataFrame, keys: list[str], parts: list[Pa
 
 
 class CubeSink:
-    """foreachBatch target. Each batch writes version n beside the last; a version names its batch, so a batch that is
-    replayed after a failure is recognised and not added twice."""
+    """foreachBatch target. A batch writes its own cells as delta d<epoch>; every `compact` deltas are merged into a base
+    b<epoch> that covers all epochs up to its own, and what it covers is removed. A delta names its batch, so a batch that
+    is replayed after a failure is recognised and not added twice. Only folders with a _SUCCESS file count."""
+
+    def __init__(self, folder: str, keys: list[str], parts: list[Partial], compact: int = 16):
+        self.folder, self.keys, self.parts, self.compact = folder, keys, parts, compact
 
-    def __init__(self, folder: str, keys: list[str], parts: list[Partial]):
-        self.folder, self.keys, self.parts = folder, keys, parts
+    def _written(self) -> tuple[int, list[int]]:
+        """The epoch of the newest base (-1 without one) and the epochs of deltas after it."""
+        done = [n for n in files.names(self.folder) if n[:1] in "bd" and n[1:].isdigit() and files.exists(f"{self.folder}/{n}/_SUCCESS")]
+        base = max([int(n[1:]) for n in done if n[0] == "b"], default=-1)
+        return base, sorted(int(n[1:]) for n in done if n[0] == "d" and int(n[1:]) > base)
 
     def versions(self) -> list[int]:
-        return sorted(int(d[1:]) for d in os.listdir(self.folder) if d.startswith("v") and os.path.exists(f"{self.folder}/{d}/_SUCCESS")) if os.path.isdir(self.folder) else []
+        """Epochs that are in the cube and can still be told apart, the newest last."""
+        base, deltas = self._written()
+        return ([base] if base >= 0 else []) + deltas
 
     def read(self, spark: SparkSession) -> DataFrame | None:
-        v = self.versions()
-        return spark.read.parquet(f"{self.folder}/v{v[-1]}") if v else None
+        base, deltas = self._written()
+        paths = [f"{self.folder}/b{base}"] * (base >= 0) + [f"{self.folder}/d{e}" for e in deltas]
+        return merge(None, spark.read.parquet(*paths), self.keys, self.parts) if paths else None
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        if epoch in self.versions():
+        base, deltas = self._written()
+        if epoch <= base or epoch in deltas:
             return
         cells = batch.groupBy(*self.keys).agg(*[p.from_facts() for p in self.parts])
-        merge(self.read(batch.sparkSession), cells, self.keys, self.parts).write.mode("overwrite").parquet(f"{self.folder}/v{epoch}")
+        cells.write.mode("overwrite").parquet(f"{self.folder}/d{epoch}")
+        if len(deltas) + 1 >= self.compact:
+            self.read(batch.sparkSession).write.mode("overwrite").parquet(f"{self.folder}/b{epoch}")
+            for n in files.names(self.folder):
+                if n[:1] in "bd" and n[1:].isdigit() and int(n[1:]) <= epoch and n != f"b{epoch}":
+                    files.remove(f"{self.folder}/{n}")
 
 
 def windowed_partials(stream: DataFrame, time: str, width: str, late: str, keys: list[str], parts: list[Partial]) -> DataFrame:

@@ -38,11 +38,41 @@ def test_contexts(facts, ctx, want):
             assert a == b if b is None or isinstance(b, str) else a == pytest.approx(b, abs=1e-6)
 
 
-def test_codes_and_nan(spark, facts):
-    dom = spark.createDataFrame([("apex", 0), ("zenith", 1)], "value string, code int")
+def test_codes_and_nan(facts):
     out = fold.fold(facts, Bbox(-0.5, -0.5, 2.0, 2.0), M, fold.Context({"operator": "apex"}), [(0, 0, 0)], ["operator", "quarter"])
-    rows = fold.edge_values(fold.coded_values(out, "dom", dom), [n for n, t in M.items() if not isinstance(t, ArgExtreme)]).orderBy("k1").collect()
-    assert [r.dom for r in rows] == [0, 65535] and math.isnan(rows[1].total) and rows[0].total == 15
+    rows = fold.coded(out, M, {"operator": ["apex", "zenith"]}).orderBy("mki").collect()
+    assert [r.mki for r in rows] == [0, 1] and [r.dom for r in rows] == [0, 65535] and math.isnan(rows[1].total) and rows[0].total == 15
+
+
+def test_cache_forgets_the_oldest():
+    cache, calls = fold.FoldCache(2), []
+
+    class Row:
+        def __init__(self, t):
+            self.z, self.tx, self.ty = t
+
+    class Result:
+        def __init__(self, tiles):
+            self.tiles = tiles
+
+        def orderBy(self, *_):
+            return self
+
+        def collect(self):
+            return [Row(t) for t in self.tiles]
+
+    def compute(tiles):
+        calls.append(list(tiles))
+        return Result(tiles)
+
+    a, b, c = (1, 0, 0), (1, 0, 1), (1, 1, 0)
+    ask = lambda tiles, ctx=fold.Context(), version="1": cache.get(version, tiles, M, ctx, compute)
+    assert len(ask([a, b])[a]) == 1 and ask([a]) and len(calls) == 1
+    ask([c])
+    ask([b])
+    ask([c], fold.Context({"operator": "apex"}))
+    ask([c], version="2")
+    assert calls == [[a, b], [c], [b], [c], [c]]
 
 
 def test_ties_take_the_lowest(spark):
@@ -72,6 +102,29 @@ def test_slab(spark):
     assert cube.needed_cells(plan, fold.Context({"operator": "nimbus"})) is None
 
 
+@pytest.mark.parametrize("ctx,want", CASES)
+@pytest.mark.parametrize("layout", ["sparse", "dense"])
+def test_slab_folds_agree_with_the_contexts(spark, layout, ctx, want):
+    rows = [(0, 0, 0, m, o, q, t, t * d) for m, o, q, t, d in ROWS]
+    plan = cube.axes({"operator": (["apex", "zenith"], False), "quarter": (["2025-01-01", "2025-04-01", "2025-07-01"], True)})
+    df = spark.createDataFrame(rows, "z int, tx int, ty int, mki int, operator string, quarter string, sum__tests float, swp__mbps__tests float").withColumns({"cnt": F.lit(1), "max__tests": F.col("sum__tests")})
+    df = df.withColumn("cell_id", cube.cell_id(df, plan))
+    parts = [Partial("sum", "tests"), Partial("cnt"), Partial("swp", "mbps", "tests"), Partial("max", "tests")]
+    made = {"rows": cube.sparse(df, parts)} if layout == "sparse" else {"planes_": cube.planes(cube.dense(df, plan, parts), parts)}
+    got = cube.fold_slabs(plan, parts, M, ctx, **made).orderBy("mki").collect()
+    for g, w in zip(got, want, strict=True):
+        for a, b in zip((g.total, g.avg, g.n, g.max, g.dom, g.share), w):
+            assert a == b if b is None or isinstance(b, str) else a == pytest.approx(b, abs=1e-5)
+
+
+def test_sparse_rows_keep_gaps(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1, 2, 5.0), (0, 0, 0, 1, 0, 4.0), (0, 0, 0, 4, 1, 7.0)], "z int, tx long, ty long, mki int, cell_id int, sum__v float")
+    r = cube.sparse(df, [Partial("sum", "v")]).first()
+    assert (r.offsets, r.cell_ids, r.sum__v) == ([0, 0, 2, 2, 2, 3], [0, 2, 1], [4, 5, 7])
+    back = cube.sparse_rows(cube.sparse(df, [Partial("sum", "v")]), [Partial("sum", "v")])
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_filters():
     assert fold.active({"a": "x", "b": "(all)", "c": "", "zz": "1"}, {"a", "b", "c"}) == {"a": "x"}
     assert fold.context({"q": "2025-01-01..", "o": "x"}, {"q"}) == fold.Context({"o": "x"}, {"q": ("2025-01-01", None)})

@@ -1,12 +1,10 @@
 """Every query against its SQL in an independent engine."""
 import math
-import sys
 
 import duckdb
 import pytest
 
-sys.path.insert(0, "/root/repo")
-from lodestone import queries as Q  # noqa: E402
+from lodestone import queries as Q
 
 CATALOGUE = Q.catalogue()
 
