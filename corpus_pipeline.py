@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from lodestone.llm import near_dedup, packing, pii, quality_rules, toxicity
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import Stash, cut
 
 
 def toxicity_stage(spark, docs, sf_dir):
@@ -38,11 +38,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    import uuid
-
-    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
-    return docs
+    """All stages over documents, each written as Parquet in the shared folder and read again; the folder goes at the end."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with Stash(spark) as stash:
+        before = None
+        for _, stage in STAGES:
+            docs = stash.put(stage(spark, docs, sf_dir))
+            if before is not None:
+                stash.drop(before)
+            before = docs
+        return cut(docs)
