@@ -17,30 +17,34 @@ host or path alone has no spread and gets the largest concentration.
 """
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .chunked import per_process
 from .common import cut, limit_batches, salted
 
 MAX_LABELS, SALTS, LARGEST = 20_000, 64, 1e6
 
 
-def features(text: str) -> list[float]:
+def features(text: str, tokens: toxicity.Tokens) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()]
     words = text.split()
     runs = list(zip(words, words[1:], words[2:], words[3:]))
     n = max(1, len(words))
-    return [*toxicity.shape(text, words), len(lines) / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(runs)) / max(1, len(runs)), float(len(words) < 20), sum(len(w) == 1 and not w.isalnum() for w in words) / n]
+    return [*toxicity.shape(text, words, Counter(words), tokens), len(lines) / n, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(runs)) / max(1, len(runs)), float(len(words) < 20), sum(len(w) == 1 and not w.isalnum() for w in words) / n]
 
 
 WIDTH = len(toxicity.SHAPES) + 5
 
 
 def matrix(texts: list) -> np.ndarray:
-    return np.array([features(t or "") for t in texts], np.float64).reshape(len(texts), WIDTH)
+    tokens = per_process("tokens", toxicity.Tokens)
+    return np.array([features(t or "", tokens) for t in texts], np.float64).reshape(len(texts), WIDTH)
 
 
 def logit(p: Column) -> Column:

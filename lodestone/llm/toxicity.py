@@ -56,57 +56,75 @@ def terms(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)]
 
 
-class Lexicon(dict):
-    """Raw token -> (weight, whether only undoing obfuscation shows it); tokens are remembered up to a bound."""
+class Tokens(dict):
+    """Raw token -> what is known of it without a lexicon; tokens are remembered up to a bound.
+
+    (plain form, is a pronoun of the second person, obfuscated runs, is in capitals)
+    """
+
+    def known(self, token: str) -> tuple:
+        if token.isalpha():  # nothing to strip or undo
+            p = token.lower()
+            return p, p in SECOND, 0, token.isupper()
+        p = plain(token)
+        return p, p in SECOND, len(_OBF.findall(token)), token.isupper()
+
+    def __missing__(self, token: str) -> tuple:
+        if len(self) > 400_000:
+            self.clear()
+        self[token] = out = self.known(token)
+        return out
+
+
+class Lexicon(Tokens):
+    """Tokens that also know their weight, and whether only undoing obfuscation shows it."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
-        self.weights = weights
+        self.weights, self.stems = weights, {t[1:]: w for t, w in weights.items() if t[0] == "^"}
 
     def weight(self, word: str) -> float:
-        return max([self.weights.get(t, 0.0) for t in terms(word)]) if word else 0.0
+        """The largest weight of the word and its stems (see terms)."""
+        stem, n = self.stems.get, len(word)
+        return max(self.weights.get(word, 0.0), stem(word[:4], 0.0) if n > 4 else 0.0, stem(word[:5], 0.0) if n > 5 else 0.0, stem(word[:6], 0.0) if n > 6 else 0.0)
 
-    def __missing__(self, token: str) -> tuple[float, bool]:
-        if len(self) > 300_000:
-            self.clear()
-        seen = self.weight(plain(token))
-        below = self.weight(undone(token))
-        self[token] = out = (max(seen, below), below > seen)
-        return out
+    def known(self, token: str) -> tuple:
+        base = super().known(token)
+        seen = self.weight(base[0])
+        below = seen if token.isalpha() else self.weight(undone(token))
+        return *base, max(seen, below), below > seen
 
 
-def shape(text: str, raw: list[str]) -> list[float]:
-    """What does not depend on any lexicon."""
+def shape(text: str, raw: list[str], counts: dict[str, int], tokens: Tokens) -> list[float]:
+    """What does not depend on any lexicon. counts: how often each token of raw occurs."""
     n = max(1, len(raw))
-    low = list(map(plain, raw))
+    each = [(tokens[t], k) for t, k in counts.items()]
     b = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     chars = max(1, len(text))
     capitals = b[65:91].sum()
     letters = max(1, capitals + b[97:123].sum())
     punct = b[33:48].sum() + b[58:65].sum() + b[91:97].sum() + b[123:127].sum()
-    shouted = sum(map(str.isupper, raw)) if capitals > n / 20 else 0
     return [
-        sum(map(SECOND.__contains__, low)) / n, len(_OBF.findall(text)) / n, capitals / letters, shouted / n, punct / chars, b[33] / chars, b[63] / chars, b[48:58].sum() / chars,
-        b[[35, 36, 37, 38, 42, 60, 62, 64, 94, 124]].sum() / chars, np.log1p(len(raw)), chars / n, len(set(low)) / n,
+        sum([k for t, k in each if t[1]]) / n, sum([k * t[2] for t, k in each if t[2]]) / n, capitals / letters, sum([k for t, k in each if t[3]]) / n, punct / chars, b[33] / chars, b[63] / chars, b[48:58].sum() / chars,
+        b[[35, 36, 37, 38, 42, 60, 62, 64, 94, 124]].sum() / chars, np.log1p(len(raw)), chars / n, len({t[0] for t, _ in each}) / n,
     ]
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     raw = text.split()
-    n = max(1, len(raw))
-    found = [(i, *lexicon[w]) for i, w in enumerate(raw)]
-    hits = [(i, w, hidden) for i, w, hidden in found if w > 0]
+    n, counts = max(1, len(raw)), Counter(raw)
+    hits = {t: (k, *known[4:]) for (t, k), known in zip(counts.items(), map(lexicon.__getitem__, counts)) if known[4]}
     near = 0
     if hits:
-        you = np.array([i for i, w in enumerate(raw) if plain(w) in SECOND])
-        at = np.array([i for i, _, _ in hits])
+        you = np.array([i for i, w in enumerate(raw) if lexicon[w][1]])
+        at = np.array([i for i, w in enumerate(raw) if w in hits])
         if len(you):
             j = np.searchsorted(you, at)
             near = int((np.minimum(abs(at - you[np.maximum(j - 1, 0)]), abs(at - you[np.minimum(j, len(you) - 1)])) <= 5).sum())
-    weights = [w for _, w, _ in hits]
+    total = sum(k for k, _, _ in hits.values())
     return [
-        len(hits) / n, log1p(len(hits)), float(len({undone(raw[i]) for i, _, _ in hits})), sum(w > 4 for w in weights) / n, max(weights, default=0.0), log1p(sum(weights)), near / n, float(sum(h for _, _, h in hits)),
-        *shape(text, raw),
+        total / n, log1p(total), float(len({undone(t) for t in hits})), sum(k for k, w, _ in hits.values() if w > 4) / n, max([w for _, w, _ in hits.values()], default=0.0), log1p(sum(k * w for k, w, _ in hits.values())), near / n, float(sum(k for k, _, h in hits.values() if h)),
+        *shape(text, raw, counts, lexicon),
     ]
 
 
