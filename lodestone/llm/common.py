@@ -49,9 +49,9 @@ class Stash:
         limit_batches(spark)
         self.spark, self.at, self.names = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", itertools.count()
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.at}/{next(self.names)}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stashed = path
         return out

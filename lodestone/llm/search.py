@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Stash, cut
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH = 16_000_000, 4_000_000, 32, 24, 400_000
+SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH = 8_000_000, 4_000_000, 32, 24, 400_000
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 
@@ -227,7 +227,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(1, math.ceil(size / shard_bytes))
         placed = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard")
-        index = stash.put(placed.groupBy("shard").applyInArrow(_indexed(mean, BLOCK), "shard int, parts array<binary>"))
+        index = stash.put(placed.groupBy("shard").applyInArrow(_indexed(mean, BLOCK), "shard int, parts array<binary>"), maxRecordsPerFile=1)
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(_query_terms, "query_id long, t long, qtf long")
         idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         terms_ = asked.join(stats.where("t <> 0").select("t", "df"), "t").groupBy("query_id", "t").agg((F.sum("qtf") * F.first(idf)).alias("w"))
