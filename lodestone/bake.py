@@ -41,12 +41,21 @@ def bake(spark: SparkSession, view: View, store: sinks.BakeStore, budget: int =
         rows = facts
     numbers = [c.name for c in shown.channels if c.type in NUMERIC]
     others = [c.name for c in shown.channels if c.type not in NUMERIC and c.name in rows.columns]
+
+    def written_tiles(made):
+        """The tile table is small and used again and again: written once, rows are then read once."""
+        made.write.mode("overwrite").parquet(at("tile-index.parquet"))
+        return spark.read.parquet(at("tile-index.parquet"))
+
     if plan.reduction == "aggregate":
-        tiles = pyramid.aggregate(with_real_zoom(rows, plan.root), plan.root, numbers, others)
+        placed = with_real_zoom(rows, plan.root)
+        index = written_tiles(pyramid.aggregate_tiles(pyramid.indexed(placed, plan.root).select("ix", "iy", "zreal")))
+        tiles = pyramid.aggregate(placed, plan.root, numbers, others, index)
     elif plan.reduction == "quadtreeLod":
         ids = [c.name for c in view.channels if c.role == "identity"]
         scalars = [c for c, t in rows.dtypes if not t.startswith("array")]
-        tiles = pyramid.quadtree(rows, plan.root, plan.max_zoom, plan.budget, ids or scalars)
+        index = written_tiles(pyramid.quadtree_tiles(pyramid.indexed(rows, plan.root).select("ix", "iy"), plan.max_zoom, plan.budget))
+        tiles = pyramid.quadtree(rows, plan.root, plan.max_zoom, plan.budget, ids or scalars, index)
     else:
         nan = F.lit(float("nan")).cast("float")
         tiles = pyramid.raw(rows.withColumns({c: F.coalesce(F.col(c).cast("float"), nan) for c in numbers}), plan.root).withColumn("merged_count", F.lit(1))
@@ -56,7 +65,7 @@ def bake(spark: SparkSession, view: View, store: sinks.BakeStore, budget: int =
     route = None
     if view.grouped:
         reals = spark.read.parquet(at("fold.parquet"))
-        sinks.write_tiles(pyramid.numbered(pyramid.cube(reals, plan.root, grain, marks.cube_partials(view))), at("cube.parquet"))
+        sinks.write_tiles(pyramid.numbered(pyramid.cube(reals, plan.root, grain, marks.cube_partials(view), index)), at("cube.parquet"))
         route = asdict(planner.route(spark.read.parquet(at("cube.parquet")), view))
     manifest = {"view": view.id, "version": version, "plan": {**asdict(plan)}, "rows": probe.count, "distinct": probe.distinct, "sketches": {"distinctRsd": planner.DISTINCT_RSD, "quantileRankError": 1 / domains.ACCURACY}, "perFact": per_fact, "grain": grain, "domains": domains.scan(facts, view), "route": route, "firstPaint": sinks.first_paint(view, per_fact, plan.reduction)}
     store.publish(view.id, version, manifest)
