@@ -319,6 +319,23 @@ def test_shards(spark, sf_dir):
     assert max(sizes) - min(sizes) <= largest + 0.05 * total / 16 + 1
 
 
+def test_prefix_sums_against_a_loop(spark, sf_dir):
+    texts = sample(sf_dir, 80) + ["hot"] * 90
+    rows = sorted(sharding.prefixes(frame(spark, texts), partitions=7).collect(), key=lambda r: r.rows_before)
+    at = 0
+    for i, r in enumerate(rows):
+        assert r.rows_before == i and r.bytes_before == at and r.size == len((texts[r.doc_id] or "").encode()) + 1
+        at += r.size
+    assert [(r.h, r.doc_id) for r in rows] == sorted((r.h, r.doc_id) for r in rows)
+
+
+def test_wide_ids(spark):
+    ids = [2**60 + 1, 2**60 + 3, -(2**61) - 1]
+    docs = frame(spark, ["one two three four five six"] * 3, ids)
+    assert {r.doc_id: r.class_id for r in near_dedup.report(docs).collect()} == dict.fromkeys(ids, ids[2])
+    assert sorted(r.doc_id for r in sharding.report(docs).collect()) == sorted(ids)
+
+
 def test_small_groups_stay_together(spark, sf_dir):
     rows = sharding.shard(frame(spark, [f"{t} {i % 300}" for i, t in enumerate(["some text of equal size"] * 1200)]), shards=4).collect()
     where = {}
@@ -350,6 +367,49 @@ def test_pipeline_stages(spark, sf_dir):
     assert run.drop("sequence_id", "offset").exceptAll(packed.drop("sequence_id", "offset")).count() == 0 and run.count() == packed.count()
 
 
+def test_pipeline_against_plain_loops(spark, sf_dir):
+    """What every stage keeps, stage after stage, by loops over the few documents; texts after PII and packing from the rules."""
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import quality_rules, toxicity
+
+    from .test_text_ops import TOKENIZER, brute_quality, brute_terms, literal_spans
+
+    stages, labels = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    bad = {r.doc_id for r in toxicity.report(docs, labels).collect() if r.predicted}
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id not in bad}
+    out = stages["toxicity"](spark, docs, sf_dir).cache()
+    assert {r.doc_id for r in out.collect()} == rows.keys()
+    judged = brute_quality([(r.text, r.source) for r in rows.values()], quality_rules.LINE_DOCS)
+    kept = {i for i, v in zip(rows, judged) if v[6]}
+    out = stages["quality"](spark, out, sf_dir).cache()
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert texts.keys() == kept and all(len(texts[i]) <= len(rows[i].text or "") for i in kept)
+    ids = sorted(texts)
+    want = sorted(set(brute_classes([texts[i] for i in ids], ids)))
+    out = stages["near_dedup"](spark, out, sf_dir).cache()
+    assert sorted(r.doc_id for r in out.collect()) == want
+    told = dict(zip(want, brute_terms([texts[i] for i in want])))
+    out = stages["pii"](spark, out, sf_dir).cache()
+    clean = {r.doc_id: r.text for r in out.collect()}
+    for i in want:
+        assert not literal_spans(clean[i]) and (clean[i] == texts[i] or literal_spans(texts[i]) or told[i] or "[SECRET]" in clean[i])
+    tk = Tokenizer.from_file(TOKENIZER)
+    packed, lengths = stages["packing"](spark, out, sf_dir).collect(), Counter()
+    for r in packed:
+        ids = [*tk.encode(clean[r.doc_id] or "", add_special_tokens=False).ids, 2][r.start : r.start + r.length]
+        assert len(ids) == r.length and zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
+        lengths[r.doc_id] += r.length
+    assert lengths.keys() == set(want)
+
+
+def test_pipeline_on_nothing(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_op3_against_sql(spark, sf_dir):
     import duckdb
 
