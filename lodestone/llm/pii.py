@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Stash, cut, limit_batches, spare, spread
 
 KINDS = ("email", "ip", "card", "phone", "term", "secret")
-ALPHA, FLUSH, FREQUENT, SECRET_CHARS, SECRET_BITS = 1.5, 400_000, 100_000, 16, 45.0
+ALPHA, FLUSH, FREQUENT, SECRET_CHARS, SECRET_BITS = 1.5, 200_000, 100_000, 16, 45.0
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"

@@ -44,7 +44,7 @@ class TermHashes(dict):
     """Lower-cased raw word -> hash of its term, 0 for none; remembered up to a bound. The hash 0 itself becomes 1."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         term = word.strip(STRIP)
         self[word] = h = max(1, xxhash.xxh3_64_intdigest(term)) if term else 0

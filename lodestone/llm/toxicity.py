@@ -70,7 +70,7 @@ class Tokens(dict):
         return p, p in SECOND, len(_OBF.findall(token)), token.isupper()
 
     def __missing__(self, token: str) -> tuple:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[token] = out = self.known(token)
         return out
