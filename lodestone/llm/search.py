@@ -5,10 +5,12 @@ holds a bounded number of bytes and is indexed once: the index is a table with a
 ordered by which of its most frequent terms they hold, so neighbours are alike (one language, one template), and cut into
 aligned blocks; every term keeps the blocks that hold it with its largest BM25 weight in each.
 
-A query adds up the block maxima of its terms. The pivot is the next block, in order of that bound, that reaches the
-threshold (the k-th best score so far); its documents are scored in full. Once the next bound falls below the threshold
-all other blocks are skipped with all their postings: no document in them can enter. So each shard's k best are exact
-(with all ties), and shards are merged by rank.
+Terms that more than DENSE of a shard's documents hold (at most WIDE of them) have no use for blocks: what they give to
+every document is one product of small matrices for all queries at once. To the largest of these sums in a block a query
+adds the block maxima of its other terms. The pivot is the next block, in order of that bound, that reaches the threshold
+(the k-th best score so far); its documents are scored in full. Once the next bound falls below the threshold all other
+blocks are skipped with all their postings: no document in them can enter. So each shard's k best are exact (with all
+ties), and shards are merged by rank.
 
 Queries are taken in blocks of about QUERY_BYTES; a block is broadcast and every shard's index read once for it, so
 neither documents nor indexes are shuffled again, and a task's work does not grow with the number of queries.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Stash, cut
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH = 8_000_000, 4_000_000, 32, 24, 400_000
+SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, WIDE, SLAB = 16_000_000, 4_000_000, 16, 24, 400_000, 0.15, 256, 128
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 
@@ -142,6 +144,16 @@ class Index:
         self.block, self.n_docs = block, len(lengths)
         self.n_blocks = self.n_docs // block + 1
         self.weight = weights(tf, lengths[self.docs], mean_length)
+        df = self.entry_start[self.term_start[1:]] - self.entry_start[self.term_start[:-1]]
+        wide = np.argsort(-df, kind="stable")[:WIDE]
+        self.wide = np.sort(wide[df[wide] > DENSE * self.n_docs])
+        #: Row of the dense matrix of each term, -1 for terms that keep their blocks.
+        self.row = np.full(len(self.names), -1)
+        self.row[self.wide] = np.arange(len(self.wide))
+        self.matrix = np.zeros((len(self.wide), self.n_blocks * block))
+        at, n = self._positions(self.entry_start[self.term_start], self.wide)
+        self.matrix[np.repeat(np.arange(len(self.wide)), n), self.docs[at]] = self.weight[at]
+        self.df = df
         #: Postings of queries' terms that were scored, and that lay in skipped blocks.
         self.read = self.skipped = 0
 
@@ -151,42 +163,63 @@ class Index:
         n = start[ids + 1] - start[ids]
         return np.repeat(start[ids] - n.cumsum() + n, n) + np.arange(n.sum()), n
 
-    def search(self, names: np.ndarray, w: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores, at least those of the k best that reach `least`, with all ties. names: hashes of terms."""
-        found = np.zeros(0, np.int64), np.zeros(0)
+    def known_terms(self, names: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the shard among hashes of terms, and their weights."""
+        if not len(self.names):
+            return np.zeros(0, np.int64), np.zeros(0)
         ids = np.searchsorted(self.names, names)
-        mine = (ids < len(self.names)) & (self.names[np.minimum(ids, max(0, len(self.names) - 1))] == names) if len(self.names) else np.zeros(len(names), bool)
-        ids, w = ids[mine], w[mine]
-        if not len(ids):
-            return found
-        entries, n = self._positions(self.term_start, ids)
-        block, w = self.block_of[entries], np.repeat(w, n)
-        bound = np.bincount(block, self.block_max[entries] * w, self.n_blocks)
+        mine = self.names[np.minimum(ids, len(self.names) - 1)] == names
+        return ids[mine], w[mine]
+
+    def answers(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: list[float] | None = None):
+        """For each query (hashes of terms, weights) its k best (id, score); SLAB queries share one product of matrices."""
+        for at in range(0, len(queries), SLAB):
+            part = [self.known_terms(*q) for q in queries[at : at + SLAB]]
+            asked = np.zeros((len(part), len(self.wide)))
+            for i, (ids, w) in enumerate(part):
+                row = self.row[ids]
+                asked[i, row[row >= 0]] = w[row >= 0]
+            for i, ((ids, w), dense) in enumerate(zip(part, asked @ self.matrix)):
+                yield self.best(ids, w, dense, k, least[at + i] if least else 0.0)
+
+    def search(self, ids: np.ndarray, w: np.ndarray, dense: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores, at least those of the k best that reach `least`, with all ties.
+
+        ids, w: the query's terms; dense: what its wide terms give to each document.
+        """
+        held = int(self.df[ids].sum())
+        rare = self.row[ids] < 0
+        seen = int(self.df[ids[~rare]].sum())
+        entries, n = self._positions(self.term_start, ids[rare])
+        block, w = self.block_of[entries], np.repeat(w[rare], n)
+        bound = dense.reshape(-1, self.block).max(1) + np.bincount(block, self.block_max[entries] * w, self.n_blocks)
         slack = 1e-9 * bound.max()
         order = np.argsort(-bound, kind="stable")
-        at, step, seen = 0, max(1, 4 * k // self.block), 0
+        found, at, step = (np.zeros(0, np.int64), np.zeros(0)), 0, max(1, 8 * k // self.block)
         chosen = np.zeros(self.n_blocks, bool)
         while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - slack:
             pivots = order[at : at + step]
-            at, step = at + len(pivots), 8 * step
+            at, step = at + len(pivots), self.n_blocks
             chosen[:] = False
             chosen[pivots[(bound[pivots] > 0) & (bound[pivots] >= least - slack)]] = True
             open_ = np.flatnonzero(chosen[block])
             where, n = self._positions(self.entry_start, entries[open_])
             seen += len(where)
-            score = np.bincount(self.docs[where], self.weight[where] * np.repeat(w[open_], n), self.n_docs)
-            docs = np.flatnonzero(score > max(0.0, least - slack))
+            score = np.bincount(self.docs[where], self.weight[where] * np.repeat(w[open_], n), len(dense)) + dense
+            docs = np.flatnonzero((score > 0) & (score >= least - slack) & np.repeat(chosen, self.block))
             found = np.concatenate([found[0], docs]), np.concatenate([found[1], score[docs]])
             if len(found[1]) >= k:
                 least = max(least, np.partition(found[1], -k)[-k])
         self.read += seen
-        self.skipped += int((self.entry_start[entries + 1] - self.entry_start[entries]).sum()) - seen
+        self.skipped += held - seen
         keep = found[1] >= least - slack
         return found[0][keep], found[1][keep]
 
-    def best(self, names, w, k: int, least: float = 0.0) -> list[tuple[int | None, float]]:
+    def best(self, ids, w, dense, k: int, least: float = 0.0) -> list[tuple[int | None, float]]:
         """The k best (id, score), ties by id, null ids last; those that cannot reach `least` may be left out."""
-        docs, score = self.search(names, w, k, least)
+        if not len(ids):
+            return []
+        docs, score = self.search(ids, w, dense, k, least)
         score = np.round(score, 9)
         at = np.lexsort((self.ids[docs], ~self.known[docs], -score))[:k]
         return [(int(self.ids[d]) if self.known[d] else None, float(s)) for d, s in zip(docs[at], score[at])]
@@ -201,9 +234,9 @@ def _answered(block, mean_length: float, k: int):
         for b in batches:
             for parts in b.column("parts"):
                 index, out = Index([p.as_buffer() for p in parts], mean_length), []
-                for i, (q, lo, hi) in enumerate(zip(ids.tolist(), start[:-1], start[1:])):
-                    # scores are rounded to 9 digits, so a bound from another shard gets that much room
-                    got = index.best(names[lo:hi], w[lo:hi], k, reached[i][k - 1] - 1e-8 if len(reached[i]) >= k else 0.0)
+                # scores are rounded to 9 digits, so a bound from another shard gets that much room
+                least = [r[k - 1] - 1e-8 if len(r) >= k else 0.0 for r in reached]
+                for i, (q, got) in enumerate(zip(ids.tolist(), index.answers([(names[lo:hi], w[lo:hi]) for lo, hi in zip(start[:-1], start[1:])], k, least))):
                     reached[i] = sorted(reached[i] + [s for _, s in got], reverse=True)[:k]
                     out += [(q, d, s) for d, s in got]
                 q, d, s = zip(*out) if out else ((), (), ())

@@ -56,8 +56,10 @@ def test_search_keeps_wide_ids(spark):
     assert [r.doc_id for r in search.search(docs, q, k=9).orderBy("rank").collect()] == [ids[3], ids[0], ids[1], None]
 
 
-def test_blocks_are_skipped_and_results_stay():
+@pytest.mark.parametrize("wide", [0, 3, 256])
+def test_blocks_are_skipped_and_results_stay(monkeypatch, wide):
     """Postings of a query's terms are scored or lie in skipped blocks, and the best are those of plain scoring."""
+    monkeypatch.setattr(search, "WIDE", wide)
     r = random.Random(1)
     texts = [" ".join(f"{side}{int(r.paretovariate(0.6)) % 400}" for _ in range(30)) for side in "ab" for _ in range(400)]
     r.shuffle(texts)
@@ -70,7 +72,7 @@ def test_blocks_are_skipped_and_results_stay():
         bag = Counter(search.terms(q))
         names, w = np.array([hashes[t] for t in bag], np.uint64).view(np.int64), np.array([float(len(t) + n) for t, n in bag.items()])
         index.read = index.skipped = 0
-        got = index.best(names, w, 10)
+        (got,) = index.answers([(names, w)], 10)
         want = []
         for i, t in enumerate(texts):
             b = Counter(search.terms(t))
@@ -81,7 +83,7 @@ def test_blocks_are_skipped_and_results_stay():
         held = sum(k in Counter(search.terms(t)) for t in texts for k in bag)
         assert index.read + index.skipped == held
         skipped += index.skipped
-        assert index.best(names, w, 10, got[4][1])[:5] == got[:5]
+        assert next(index.answers([(names, w)], 10, [got[4][1]]))[:5] == got[:5]
     assert skipped > 1000
 
 
