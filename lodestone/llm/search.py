@@ -5,7 +5,7 @@ holds a bounded number of bytes and is indexed once: the index is a table with a
 ordered by which of its most frequent terms they hold, so neighbours are alike (one language, one template), and cut into
 aligned blocks; every term keeps the blocks that hold it with its largest BM25 weight in each.
 
-Terms that more than DENSE of a shard's documents hold (at most WIDE of them) have no use for blocks: what they give to
+Terms that more than DENSE of a shard's documents hold (at most WIDE of them) have little use for blocks: what they give to
 every document is one product of small matrices for all queries at once. To the largest of these sums in a block a query
 adds the block maxima of its other terms. The pivot is the next block, in order of that bound, that reaches the threshold
 (the k-th best score so far); its documents are scored in full. Once the next bound falls below the threshold all other
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Stash, cut
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, WIDE, SLAB = 16_000_000, 4_000_000, 16, 24, 400_000, 0.15, 256, 128
+SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, WIDE, SLAB = 12_000_000, 4_000_000, 16, 24, 400_000, 0.15, 256, 128
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 
@@ -121,14 +121,15 @@ def _indexed(mean_length: float, block: int):
         most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
         held = cell[first]
         ids = shard.column("doc_id").combine_chunks().take(pa.array(order))
-        arrays = [names, np.searchsorted(held // blocks, np.arange(len(names) + 1)), held % blocks, most, np.append(first, len(doc)), doc, tf, lengths, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_valid())]
+        arrays = [names, np.searchsorted(held // blocks, np.arange(len(names) + 1)), most, np.append(first, len(doc)), doc, tf, lengths, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_valid())]
         arrays = [x.astype(k) for x, k in zip(arrays, KINDS)]
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "parts": pa.array([[x.tobytes() for x in arrays]], pa.list_(pa.binary()))})
 
     return apply
 
 
-KINDS = (np.int64, np.int64, np.int32, np.float32, np.int64, np.int32, np.int32, np.int32, np.int64, np.bool_)
+#: A shard holds SHARD_BYTES of text, so positions of its postings fit 32 bits.
+KINDS = (np.int64, np.int32, np.float32, np.int32, np.int32, np.int32, np.int32, np.int64, np.bool_)
 
 
 def weights(tf, lengths, mean_length: float) -> np.ndarray:
@@ -140,8 +141,9 @@ class Index:
     """Index of one shard: per term its entries (block, largest weight), per entry its postings (document, weight)."""
 
     def __init__(self, parts: list[bytes], mean_length: float, block: int = BLOCK):
-        self.names, self.term_start, self.block_of, self.block_max, self.entry_start, self.docs, tf, lengths, self.ids, self.known = (np.frombuffer(p, k) for p, k in zip(parts, KINDS))
+        self.names, self.term_start, self.block_max, self.entry_start, self.docs, tf, lengths, self.ids, self.known = (np.frombuffer(p, k) for p, k in zip(parts, KINDS))
         self.block, self.n_docs = block, len(lengths)
+        self.block_of = self.docs[self.entry_start[:-1]] // block
         self.n_blocks = self.n_docs // block + 1
         self.weight = weights(tf, lengths[self.docs], mean_length)
         df = self.entry_start[self.term_start[1:]] - self.entry_start[self.term_start[:-1]]
