@@ -176,8 +176,8 @@ def catalogue() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
     q["s05_row_count"] = (lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM lineitem")
     q["p02_cast"] = (
-        lambda s, d: adapters.canonical(load(s, d, "SELECT * FROM orders"), View("o", "x", Geometry("xy", x="o_totalprice", y="o_orderkey"), (Channel("k8", "o_orderkey", "identity", "u8"), Channel("k16", "o_orderkey", "identity", "u16"), Channel("status", "o_orderstatus", "dimension", "dict"), Channel("day", "o_orderdate", "temporal", "date"), Channel("price", "o_totalprice", "measure", "f64")), bake_filters=("o_orderkey % 2 = 0", "o_totalprice > 1000"))),
-        "SELECT o_totalprice::FLOAT AS x, o_orderkey::FLOAT AS y, (o_orderkey % 256)::INT AS k8, (o_orderkey % 65536)::INT AS k16, coalesce(o_orderstatus, 'null') AS status, o_orderdate::DATE AS day, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0 AND o_totalprice > 1000",
+        lambda s, d: adapters.canonical(load(s, d, "SELECT * FROM orders"), View("o", "x", Geometry("xy", x="o_totalprice", y="o_orderkey"), (Channel("k8", "o_orderkey", "identity", "u8"), Channel("k16", "o_orderkey", "identity", "u16"), Channel("status", "o_orderstatus", "dimension", "dict"), Channel("day", "o_orderdate", "temporal", "date"), Channel("price", "o_totalprice", "measure", "f64")))),
+        "SELECT o_totalprice::FLOAT AS x, o_orderkey::FLOAT AS y, (o_orderkey % 256)::INT AS k8, (o_orderkey % 65536)::INT AS k16, coalesce(o_orderstatus, 'null') AS status, o_orderdate::DATE AS day, o_totalprice AS price FROM orders",
     )
     digits = "||".join(f"CAST((s_suppkey // {4**i}) % 4 AS VARCHAR)" for i in reversed(range(7)))
     spark_digits = ", ".join(f"CAST((s_suppkey DIV {4**i}) % 4 AS STRING)" for i in reversed(range(7)))
