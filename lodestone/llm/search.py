@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Stash, cut
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, WIDE, SLAB = 12_000_000, 4_000_000, 16, 24, 400_000, 0.15, 256, 128
+SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, WIDE, SLAB = 8_000_000, 4_000_000, 16, 24, 400_000, 0.15, 256, 128
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 
