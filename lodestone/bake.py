@@ -19,6 +19,13 @@ def with_real_zoom(df, root: Bbox):
     return df.withColumn("zreal", real_zoom(ext, root))
 
 
+def at_places(facts):
+    """Facts with the least zreal of their place, so that folds of facts and of the cube show the same marks."""
+    least = facts.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min("zreal").alias("_z"))
+    same = facts["x"].eqNullSafe(least["_x"]) & facts["y"].eqNullSafe(least["_y"])
+    return facts.join(least, same).withColumn("zreal", F.col("_z")).drop("_x", "_y", "_z")
+
+
 def bake(spark: SparkSession, view: View, store: sinks.BakeStore, budget: int = planner.POINT_BUDGET) -> dict:
     """Write a version of the view and point to it; returns its manifest."""
     view.validate()
@@ -34,9 +41,9 @@ def bake(spark: SparkSession, view: View, store: sinks.BakeStore, budget: int =
     if view.grouped:
         per_mark, per_fact = marks.classify(facts, view)
         grain = marks.grain_of(view, per_fact)
-        marks.group(facts, view, per_mark).withColumn("id", F.concat_ws(":", "x", "y")).write.mode("overwrite").parquet(at("marks.parquet"))
+        marks.group(with_real_zoom(facts, plan.root), view, per_mark).withColumn("id", F.concat_ws(":", "x", "y")).write.mode("overwrite").parquet(at("marks.parquet"))
         rows, shown = spark.read.parquet(at("marks.parquet")), marks.effective_view(view, per_mark)
-        sinks.write_fold_facts(with_real_zoom(facts, plan.root), at("fold.parquet"))
+        sinks.write_fold_facts(at_places(with_real_zoom(facts, plan.root)), at("fold.parquet"))
     else:
         rows = facts
     numbers = [c.name for c in shown.channels if c.type in NUMERIC]
@@ -48,7 +55,7 @@ def bake(spark: SparkSession, view: View, store: sinks.BakeStore, budget: int =
         return spark.read.parquet(at("tile-index.parquet"))
 
     if plan.reduction == "aggregate":
-        placed = with_real_zoom(rows, plan.root)
+        placed = rows if view.grouped else with_real_zoom(rows, plan.root)
         index = written_tiles(pyramid.aggregate_tiles(pyramid.indexed(placed, plan.root).select("ix", "iy", "zreal")))
         tiles = pyramid.aggregate(placed, plan.root, numbers, others, index)
     elif plan.reduction == "quadtreeLod":

@@ -31,12 +31,20 @@ def classify(facts: DataFrame, view: View) -> tuple[list[str], list[str]]:
     return [n for n in names if n not in varies], [n for n in names if n in varies]
 
 
-def group(facts: DataFrame, view: View, per_mark: list[str]) -> DataFrame:
-    """One row per place: shape, per-mark channels and every measure without a filter context."""
+def group(facts: DataFrame, view: View, per_mark: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per place: shape, per-mark channels and every measure without a filter context.
+
+    order: columns that decide which fact gives a place its shape and channels where facts differ; the view's identity
+    channels, or else the values themselves. With zreal, a place has the least of its facts.
+    """
     trees = {m.name: m.tree for m in view.measures}
     keep = [c for c in (*SHAPE, *per_mark) if c in facts.columns]
     plain = {n: t for n, t in trees.items() if not isinstance(t, ArgExtreme)}
-    out = facts.groupBy("x", "y").agg(*[F.first(c).alias(c) for c in keep], *[flat(t, over_facts).cast("float").alias(n) for n, t in plain.items()], F.count(F.lit(1)).alias("n_facts"))
+    by = order or [c.name for c in view.channels if c.role == "identity" and c.name in facts.columns]
+    stands = [F.min_by(F.struct(*keep), F.struct(*by, *(c for c in keep if c not in by))).alias("_kept")] if keep else []
+    least = [F.min("zreal").alias("zreal")] if "zreal" in facts.columns else []
+    out = facts.groupBy("x", "y").agg(*stands, *least, *[flat(t, over_facts).cast("float").alias(n) for n, t in plain.items()], F.count(F.lit(1)).alias("n_facts"))
+    out = out.select("x", "y", *[F.col("_kept")[c].alias(c) for c in keep], *[c for c in out.columns if c not in ("x", "y", "_kept")])
     for name, t in trees.items():
         if isinstance(t, ArgExtreme):
             out = out.join(arg_measure(facts, ["x", "y"], name, t), ["x", "y"], "left")

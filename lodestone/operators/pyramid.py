@@ -135,13 +135,14 @@ def aggregate(marks: DataFrame, root: Bbox, measures: list[str], dictionaries: l
 def cube(facts: DataFrame, root: Bbox, grain: list[str], parts: list[Partial], tiles: DataFrame | None = None) -> DataFrame:
     """Partial aggregates per tile, mark and grain cell. facts: x, y, zreal, channels.
 
-    Facts are summed per place and grain first, so the zooms multiply places, not facts.
+    Facts are summed per place and grain first, so the zooms multiply places, not facts. A place is one mark: it becomes
+    real at the least zreal of its facts.
     """
-    facts = indexed(facts, root)
     if tiles is None:
-        tiles = aggregate_tiles(facts.select("ix", "iy", "zreal"))
-    base = facts.groupBy("x", "y", "ix", "iy", "zreal", *grain).agg(*[_wide(p) for p in parts])
-    return placed(base, tiles).groupBy(*TILE, "is_leaf", "real", "k1", "k2", *grain).agg(*[_narrow(p) for p in parts])
+        tiles = aggregate_tiles(indexed(facts.groupBy("x", "y").agg(F.min("zreal").alias("zreal")), root))
+    base = facts.groupBy("x", "y", *grain).agg(F.min("zreal").alias("zreal"), *[_wide(p) for p in parts])
+    base = base.withColumn("zreal", F.min("zreal").over(Window.partitionBy("x", "y")))
+    return placed(indexed(base, root), tiles).groupBy(*TILE, "is_leaf", "real", "k1", "k2", *grain).agg(*[_narrow(p) for p in parts])
 
 
 def _wide(p: Partial) -> Column:
