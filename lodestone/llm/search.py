@@ -5,12 +5,12 @@ holds a bounded number of bytes and is indexed once: the index is a table with a
 ordered by which of its most frequent terms they hold, so neighbours are alike (one language, one template), and cut into
 aligned blocks; every term keeps the blocks that hold it with its largest BM25 weight in each.
 
-Terms that more than DENSE of a shard's documents hold (at most WIDE of them) have little use for blocks: what they give to
-every document is one product of small matrices for all queries at once. To the largest of these sums in a block a query
-adds the block maxima of its other terms. The pivot is the next block, in order of that bound, that reaches the threshold
-(the k-th best score so far); its documents are scored in full. Once the next bound falls below the threshold all other
-blocks are skipped with all their postings: no document in them can enter. So each shard's k best are exact (with all
-ties), and shards are merged by rank.
+Terms that more than DENSE of a shard's documents and more than LEAST of them hold (at most WIDE terms) have little use for blocks: what they give to
+every document is one product of matrices for a slab of queries. To the largest of these sums in a block a query adds the
+block maxima of its other terms. The pivots are the blocks with the largest bounds; their documents are scored in full and
+give the threshold (the k-th best score so far). Blocks whose bound falls below it are skipped with all their postings: no
+document in them can enter; the others are scored in full. So each shard's k best are exact (with all ties), and shards are
+merged by rank. All steps run on a slab of queries at once.
 
 Queries are taken in blocks of about QUERY_BYTES; a block is broadcast and every shard's index read once for it, so
 neither documents nor indexes are shuffled again, and a task's work does not grow with the number of queries.
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import Stash, cut
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, WIDE, SLAB = 8_000_000, 4_000_000, 16, 24, 400_000, 0.15, 256, 128
+SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, LEAST, WIDE, SLAB = 8_000_000, 4_000_000, 16, 24, 400_000, 0.04, 100, 1024, 128
+#: Numbers in the dense matrix of a shard, and in an array over a slab of queries and all documents of a shard.
+MATRIX, CELLS = 3_000_000, 320_000
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
 
 
@@ -147,8 +149,8 @@ class Index:
         self.n_blocks = self.n_docs // block + 1
         self.weight = weights(tf, lengths[self.docs], mean_length)
         df = self.entry_start[self.term_start[1:]] - self.entry_start[self.term_start[:-1]]
-        wide = np.argsort(-df, kind="stable")[:WIDE]
-        self.wide = np.sort(wide[df[wide] > DENSE * self.n_docs])
+        wide = np.argsort(-df, kind="stable")[: min(WIDE, MATRIX // (self.n_blocks * block))]
+        self.wide = np.sort(wide[df[wide] > max(DENSE * self.n_docs, LEAST)])
         #: Row of the dense matrix of each term, -1 for terms that keep their blocks.
         self.row = np.full(len(self.names), -1)
         self.row[self.wide] = np.arange(len(self.wide))
@@ -174,57 +176,64 @@ class Index:
         return ids[mine], w[mine]
 
     def answers(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: list[float] | None = None):
-        """For each query (hashes of terms, weights) its k best (id, score); SLAB queries share one product of matrices."""
-        for at in range(0, len(queries), SLAB):
-            part = [self.known_terms(*q) for q in queries[at : at + SLAB]]
-            asked = np.zeros((len(part), len(self.wide)))
-            for i, (ids, w) in enumerate(part):
-                row = self.row[ids]
-                asked[i, row[row >= 0]] = w[row >= 0]
-            for i, ((ids, w), dense) in enumerate(zip(part, asked @ self.matrix)):
-                yield self.best(ids, w, dense, k, least[at + i] if least else 0.0)
-
-    def search(self, ids: np.ndarray, w: np.ndarray, dense: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores, at least those of the k best that reach `least`, with all ties.
-
-        ids, w: the query's terms; dense: what its wide terms give to each document.
-        """
-        held = int(self.df[ids].sum())
-        rare = self.row[ids] < 0
-        seen = int(self.df[ids[~rare]].sum())
+        """For each query (hashes of terms, weights) its k best (id, score), ties by id, null ids last; those that cannot
+        reach `least` may be left out. A slab of queries is answered at once."""
+        slab = max(1, min(SLAB, CELLS // (self.n_blocks * self.block)))
+        for at in range(0, len(queries), slab):
+            part = queries[at : at + slab]
+            yield from self._slab(part, k, np.array(least[at : at + slab]) if least else np.zeros(len(part)))
+
+    def _slab(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> list[list[tuple[int | None, float]]]:
+        """Documents of the best blocks by bound are scored first; then those of all other blocks that reach the k-th best."""
+        part = [self.known_terms(*q) for q in queries]
+        of = np.repeat(np.arange(len(part)), [len(ids) for ids, _ in part])
+        ids, w = (np.concatenate(x) for x in zip(*part))
+        row, width = self.row[ids], self.n_blocks * self.block
+        common, rare = row >= 0, row < 0
+        asked = np.zeros((len(part), len(self.wide)))
+        asked[of[common], row[common]] = w[common]
+        score = asked @ self.matrix  # what wide terms give to each document
+        blocks = score.reshape(len(part), self.n_blocks, self.block)
         entries, n = self._positions(self.term_start, ids[rare])
-        block, w = self.block_of[entries], np.repeat(w[rare], n)
-        bound = dense.reshape(-1, self.block).max(1) + np.bincount(block, self.block_max[entries] * w, self.n_blocks)
-        slack = 1e-9 * bound.max()
-        order = np.argsort(-bound, kind="stable")
-        found, at, step = (np.zeros(0, np.int64), np.zeros(0)), 0, max(1, 8 * k // self.block)
-        chosen = np.zeros(self.n_blocks, bool)
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - slack:
-            pivots = order[at : at + step]
-            at, step = at + len(pivots), self.n_blocks
-            chosen[:] = False
-            chosen[pivots[(bound[pivots] > 0) & (bound[pivots] >= least - slack)]] = True
-            open_ = np.flatnonzero(chosen[block])
+        of, w = np.repeat(of[rare], n), np.repeat(w[rare], n)
+        cell = of * self.n_blocks + self.block_of[entries]
+        bound = blocks.max(2) + np.bincount(cell, self.block_max[entries] * w, len(part) * self.n_blocks).reshape(len(part), -1)
+        slack = 1e-9 * bound.max(1)
+        seen = int(self.df[ids[common]].sum())
+        held = seen + int(self.df[ids[rare]].sum())
+
+        def scored(chosen):
+            """Adds the rare terms' part to the documents of chosen blocks; the number of postings."""
+            open_ = np.flatnonzero(chosen.reshape(-1)[cell])
             where, n = self._positions(self.entry_start, entries[open_])
-            seen += len(where)
-            score = np.bincount(self.docs[where], self.weight[where] * np.repeat(w[open_], n), len(dense)) + dense
-            docs = np.flatnonzero((score > 0) & (score >= least - slack) & np.repeat(chosen, self.block))
-            found = np.concatenate([found[0], docs]), np.concatenate([found[1], score[docs]])
-            if len(found[1]) >= k:
-                least = max(least, np.partition(found[1], -k)[-k])
+            flat = score.reshape(-1)
+            flat += np.bincount(np.repeat(of[open_] * width, n) + self.docs[where], self.weight[where] * np.repeat(w[open_], n), len(flat))
+            return len(where)
+
+        def kth(rows):
+            return np.partition(rows, -k, axis=1)[:, -k] if rows.shape[1] >= k else np.zeros(len(rows))
+
+        step = min(self.n_blocks, max(1, 8 * k // self.block))
+        pivots, each = np.argpartition(-bound, step - 1, axis=1)[:, :step], np.arange(len(part))[:, None]
+        reach = lambda: (bound > 0) & (bound >= (least - slack)[:, None])
+        first = np.zeros(bound.shape, bool)
+        first[each, pivots] = True
+        first &= reach()
+        seen += scored(first)
+        least = np.maximum(least, kth(np.where(first[each, pivots][:, :, None], blocks[each, pivots], 0.0).reshape(len(part), -1)))
+        rest = reach() & ~first
+        seen += scored(rest)
+        score = np.where((first | rest)[:, :, None], blocks, 0.0).reshape(len(part), width)
+        least = np.maximum(least, kth(score))
         self.read += seen
         self.skipped += held - seen
-        keep = found[1] >= least - slack
-        return found[0][keep], found[1][keep]
-
-    def best(self, ids, w, dense, k: int, least: float = 0.0) -> list[tuple[int | None, float]]:
-        """The k best (id, score), ties by id, null ids last; those that cannot reach `least` may be left out."""
-        if not len(ids):
-            return []
-        docs, score = self.search(ids, w, dense, k, least)
-        score = np.round(score, 9)
-        at = np.lexsort((self.ids[docs], ~self.known[docs], -score))[:k]
-        return [(int(self.ids[d]) if self.known[d] else None, float(s)) for d, s in zip(docs[at], score[at])]
+        query, docs = np.nonzero((score > 0) & (score >= (least - slack)[:, None]))
+        score = np.round(score[query, docs], 9)
+        by = np.lexsort((self.ids[docs], ~self.known[docs], -score, query))
+        query, docs, score = query[by], docs[by], score[by]
+        start = np.searchsorted(query, np.arange(len(part) + 1))
+        found = [(i if real else None, x) for i, real, x in zip(self.ids[docs].tolist(), self.known[docs].tolist(), score.tolist())]
+        return [found[lo : min(hi, lo + k)] for lo, hi in zip(start[:-1].tolist(), start[1:].tolist())]
 
 
 def _answered(block, mean_length: float, k: int):

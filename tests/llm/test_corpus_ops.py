@@ -87,6 +87,27 @@ def test_blocks_are_skipped_and_results_stay(monkeypatch, wide):
     assert skipped > 1000
 
 
+def test_slabs_answer_as_single_queries(monkeypatch):
+    """Queries answered together get what each gets alone, in slabs of any size, with thresholds of their own."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    texts = [" ".join(f"w{int(r.paretovariate(0.5)) % 900}" for _ in range(r.randint(0, 60))) for _ in range(500)]
+    texts += texts[:40]
+    ids = [None if i % 97 == 5 else (i * 7919) % 1000 - (1 << 60) for i in range(len(texts))]
+    table = search._indexed(30.0, 16)((pa.scalar(0),), pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts}))
+    index, hashes = search.Index(table.column("parts")[0].as_py(), 30.0), search.TermHashes()
+    queries = [(np.unique(hashes.of(t)), np.full(len(np.unique(hashes.of(t))), 1.5)) for t in texts[:150]]
+    alone = [next(index.answers([q], 7)) for q in queries]
+    together = list(index.answers(queries, 7))
+    assert together == alone and [len(a) for a in alone] == [7 if len(q[0]) else 0 for q in queries]
+    monkeypatch.setattr(search, "CELLS", 5 * index.n_blocks * 16)
+    least = [a[2][1] if a else 0.0 for a in alone]
+    assert [a[:3] for a in index.answers(queries, 7, least)] == [a[:3] for a in alone]
+    monkeypatch.setattr(search, "MATRIX", 0)
+    assert list(search.Index(table.column("parts")[0].as_py(), 30.0).answers(queries, 7)) == alone
+
+
 def test_search_edges(spark):
     docs = frame(spark, EDGE)
     q = spark.createDataFrame([(1, None), (2, "zzz unknown"), (3, "same text")], "query_id long, text string")
