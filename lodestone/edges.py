@@ -68,7 +68,8 @@ def _slabs(s, d, which: str) -> DataFrame:
         told = cells.join(layout, list(pyramid.TILE))
         made = {"rows": lists(told.where("layout = 'sparse'")), "planes_": planes(told.where("layout = 'dense'"))}
     out = cube.fold_slabs(plan, parts, SLAB_MEASURES, LATE, **made)
-    return out.select(*pyramid.TILE, "mki", "total", "n", "most", "returned", F.round("share_r", 6).alias("share_r"), "top_flag")
+    # the nearest double of a multiple: F.round(c, 6) rounds the decimal text instead, and 41 / 640 lies between the two
+    return out.select(*pyramid.TILE, "mki", "total", "n", "most", "returned", (F.round(F.col("share_r") * 1e6) / 1e6).alias("share_r"), "top_flag")
 
 
 def _plain(df: DataFrame, *names: str) -> DataFrame:

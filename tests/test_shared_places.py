@@ -52,3 +52,16 @@ def test_group_takes_one_fact(spark):
     assert [(r.zone, r.zreal) for r in marks.group(facts, Q.SUPPLY, ["zone"], ["pk"]).collect()] == [("z8", 2)]
     assert [r.zone for r in marks.group(facts, Q.SUPPLY, ["zone"]).collect()] == ["z6"]
     assert {r.zreal for r in bake.at_places(facts).collect()} == {2}
+
+
+@pytest.mark.parametrize("name", ("q06_slab_fold_sparse", "q06_slab_fold_dense", "c14_slab_fold_mixed"))
+def test_share_between_two_digits(spark, sf_dir, tmp_path, name):
+    """41 of 640 is 0.0640625; its double times a million is less than 64062.5."""
+    for n in Q.TABLES:
+        duckdb.sql(f"COPY (SELECT * FROM '{sf_dir}/{n}.parquet' WHERE {'false' if n == 'lineitem' else 'true'}) TO '{tmp_path}/{n}.parquet'")
+    rows = "SELECT unnest([41, 599, 333, 307])::DOUBLE AS l_quantity, unnest(['R', 'N', 'R', 'A']) AS l_returnflag, unnest([1, 1, 2, 2])::BIGINT AS l_partkey, 'O' AS l_linestatus, TIMESTAMP '1996-05-05' AS l_shipdate"
+    duckdb.sql(f"COPY (FROM '{sf_dir}/lineitem.parquet' WHERE false UNION ALL BY NAME {rows}) TO '{tmp_path}/lineitem.parquet'")
+    run, sql = CATALOGUE[name]
+    rel = duckdb.sql(sql.replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet'"))
+    at = rel.columns.index("share_r")
+    assert sorted(r.share_r for r in run(spark, str(tmp_path)).collect()) == sorted(r[at] for r in rel.fetchall())
