@@ -1,7 +1,8 @@
 """Exact top-k BM25 search: an inverted index per shard, block-max WAND inside, an exact merge outside.
 
-Statistics (documents, mean length, document frequency) are global, so scores do not depend on the shards. A shard
-holds a bounded number of bytes and is indexed once: the index is a table with a row per shard. Documents of a shard are
+Statistics (documents, mean length, document frequency) are global, so scores do not depend on the shards; they are summed
+from the indexes, so every text is read once. A shard holds a bounded number of bytes and is indexed once: the index is a
+table with a row per shard. Documents of a shard are
 ordered by which of its most frequent terms they hold, so neighbours are alike (one language, one template), and cut into
 aligned blocks; every term keeps the blocks that hold it with its largest BM25 weight in each.
 
@@ -13,7 +14,8 @@ document in them can enter; the others are scored in full. So each shard's k bes
 merged by rank. All steps run on a slab of queries at once.
 
 Queries are taken in blocks of about QUERY_BYTES; a block is broadcast and every shard's index read once for it, so
-neither documents nor indexes are shuffled again, and a task's work does not grow with the number of queries.
+neither documents nor indexes are shuffled again. GROUPS tasks a core share the shards; a task keeps the k best of its
+shards for each query of the block, which are also the threshold for the next of them, and sends on only these.
 
 BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 = 1.2, b = 0.75; a query term counts as often as it occurs.
 Terms are lower-cased words between ASCII white space without edge punctuation.
@@ -24,6 +26,7 @@ null ids last; equal rows are separate results; fewer than k matching rows give
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import Stash, cut
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, LEAST, WIDE, SLAB = 8_000_000, 4_000_000, 16, 24, 400_000, 0.04, 100, 1024, 128
+SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, LEAST, WIDE, SLAB = 8_000_000, 16_000_000, 16, 24, 400_000, 0.04, 100, 1024, 128
+#: Tasks a core that answer for all shards to a block of queries.
+GROUPS = 4
 #: Numbers in the dense matrix of a shard, and in an array over a slab of queries and all documents of a shard.
 MATRIX, CELLS = 3_000_000, 320_000
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&=+-_/\\"
@@ -51,7 +56,7 @@ class TermHashes(dict):
         if len(self) > 200_000:
             self.clear()
         term = word.strip(STRIP)
-        self[word] = h = max(1, xxhash.xxh3_64_intdigest(term)) if term else 0
+        self[word] = h = (xxhash.xxh3_64_intdigest(term) or 1) if term else 0
         return h
 
     def of(self, text: str) -> np.ndarray:
@@ -62,22 +67,25 @@ class TermHashes(dict):
 
 
 def _counted(batches):
-    """Document frequency of terms and, as term 0, documents and their length; flushed at a bounded size."""
-    hashes, held, size, n, total = TermHashes(), [], 0, 0, 0
+    """Document frequency of terms and, as term 0, documents and their length, from the `counts` of shards; flushed at a bounded size."""
+    names, df, size, n, total = [], [], 0, 0, 0
 
     def flush():
-        t, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(t), np.int64))], names=["t", "n", "len"])
+        t, c = np.concatenate(names), np.concatenate(df).astype(np.int64)
+        by = np.argsort(t, kind="stable")  # merges sorted runs
+        t = t[by]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(t[first]), pa.array(np.add.reduceat(c[by], first)), pa.array(np.zeros(len(first), np.int64))], names=["t", "n", "len"])
 
     for b in batches:
-        for text in b.column("text").to_pylist():
-            found = hashes.of(text or "")
-            n, total = n + 1, total + len(found)
-            held.append(np.unique(found))
-            size += len(held[-1])
+        for counts in b.column("counts"):
+            terms_, held, whole = (np.frombuffer(x.as_buffer(), k) for x, k in zip(counts, (np.int64, np.int32, np.int64)))
+            n, total, size = n + int(whole[0]), total + int(whole[1]), size + len(terms_)
+            names.append(terms_)
+            df.append(held)
             if size > 10 * FLUSH:
                 yield flush()
-                held, size = [], 0
+                names, df, size = [], [], 0
     if size:
         yield flush()
     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["t", "n", "len"])
@@ -91,8 +99,11 @@ def _query_terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array([q] * len(t), pa.int64()), pa.array(t), pa.array(n.astype(np.int64))], names=["query_id", "t", "qtf"])
 
 
-def _indexed(mean_length: float, block: int):
-    """A row for each shard: its index as arrays of bytes."""
+def _indexed(_mean_length: float | None, block: int):
+    """A row for each shard: its index as arrays of bytes, and its terms with their document frequencies, documents and length.
+
+    The mean length is not needed before the index is opened, so texts are read once, for index and statistics.
+    """
 
     def apply(key, shard):
         hashes, parts, counts = TermHashes(), [], []
@@ -118,20 +129,20 @@ def _indexed(mean_length: float, block: int):
         by = np.argsort(cell, kind="stable")
         doc, tf, cell = doc[by].astype(np.int32), tf[by].astype(np.int32), cell[by]
         first = np.flatnonzero(np.diff(cell, prepend=-1))
-        most = np.maximum.reduceat(weights(tf, lengths[doc], mean_length), first) if len(first) else np.zeros(0)
-        # rounded up, so that a bound stays one
-        most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
         held = cell[first]
         ids = shard.column("doc_id").combine_chunks().take(pa.array(order))
-        arrays = [names, np.searchsorted(held // blocks, np.arange(len(names) + 1)), most, np.append(first, len(doc)), doc, tf, lengths, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_valid())]
+        arrays = [names, np.searchsorted(held // blocks, np.arange(len(names) + 1)), np.append(first, len(doc)), doc, tf, lengths, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_valid())]
         arrays = [x.astype(k) for x, k in zip(arrays, KINDS)]
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "parts": pa.array([[x.tobytes() for x in arrays]], pa.list_(pa.binary()))})
+        df = np.bincount(term, minlength=len(names)).astype(np.int32)
+        told = [arrays[0], df, np.array([len(lengths), lengths.sum()], np.int64)]
+        as_bytes = lambda parts: pa.array([[x.tobytes() for x in parts]], pa.list_(pa.binary()))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "parts": as_bytes(arrays), "counts": as_bytes(told)})
 
     return apply
 
 
 #: A shard holds SHARD_BYTES of text, so positions of its postings fit 32 bits.
-KINDS = (np.int64, np.int32, np.float32, np.int32, np.int32, np.int32, np.int32, np.int64, np.bool_)
+KINDS = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.int64, np.bool_)
 
 
 def weights(tf, lengths, mean_length: float) -> np.ndarray:
@@ -139,15 +150,35 @@ def weights(tf, lengths, mean_length: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / mean_length))
 
 
+@dataclass(frozen=True)
+class Block:
+    """Queries: hashes of all their terms, sorted; and for each query, from start[i] to start[i + 1], its terms among them and their weights."""
+
+    start: np.ndarray
+    names: np.ndarray
+    term: np.ndarray
+    w: np.ndarray
+
+    @staticmethod
+    def of(lengths, terms_: np.ndarray, w: np.ndarray) -> Block:
+        names, at = np.unique(terms_, return_inverse=True)
+        return Block(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), names, at.astype(np.int32), w)
+
+    @property
+    def n(self) -> int:
+        return len(self.start) - 1
+
+
 class Index:
     """Index of one shard: per term its entries (block, largest weight), per entry its postings (document, weight)."""
 
     def __init__(self, parts: list[bytes], mean_length: float, block: int = BLOCK):
-        self.names, self.term_start, self.block_max, self.entry_start, self.docs, tf, lengths, self.ids, self.known = (np.frombuffer(p, k) for p, k in zip(parts, KINDS))
+        self.names, self.term_start, self.entry_start, self.docs, tf, lengths, self.ids, self.known = (np.frombuffer(p, k) for p, k in zip(parts, KINDS))
         self.block, self.n_docs = block, len(lengths)
         self.block_of = self.docs[self.entry_start[:-1]] // block
         self.n_blocks = self.n_docs // block + 1
         self.weight = weights(tf, lengths[self.docs], mean_length)
+        self.block_max = np.maximum.reduceat(self.weight, self.entry_start[:-1]) if len(self.docs) else np.zeros(0)
         df = self.entry_start[self.term_start[1:]] - self.entry_start[self.term_start[:-1]]
         wide = np.argsort(-df, kind="stable")[: min(WIDE, MATRIX // (self.n_blocks * block))]
         self.wide = np.sort(wide[df[wide] > max(DENSE * self.n_docs, LEAST)])
@@ -167,37 +198,41 @@ class Index:
         n = start[ids + 1] - start[ids]
         return np.repeat(start[ids] - n.cumsum() + n, n) + np.arange(n.sum()), n
 
-    def known_terms(self, names: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the shard among hashes of terms, and their weights."""
+    def known_terms(self, names: np.ndarray) -> np.ndarray:
+        """Term of the shard for each of sorted hashes of terms, -1 for none."""
         if not len(self.names):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.full(len(names), -1)
         ids = np.searchsorted(self.names, names)
-        mine = self.names[np.minimum(ids, len(self.names) - 1)] == names
-        return ids[mine], w[mine]
+        return np.where(self.names[np.minimum(ids, len(self.names) - 1)] == names, ids, -1)
 
     def answers(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: list[float] | None = None):
         """For each query (hashes of terms, weights) its k best (id, score), ties by id, null ids last; those that cannot
-        reach `least` may be left out. A slab of queries is answered at once."""
-        slab = max(1, min(SLAB, CELLS // (self.n_blocks * self.block)))
-        for at in range(0, len(queries), slab):
-            part = queries[at : at + slab]
-            yield from self._slab(part, k, np.array(least[at : at + slab]) if least else np.zeros(len(part)))
-
-    def _slab(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> list[list[tuple[int | None, float]]]:
-        """Documents of the best blocks by bound are scored first; then those of all other blocks that reach the k-th best."""
-        part = [self.known_terms(*q) for q in queries]
-        of = np.repeat(np.arange(len(part)), [len(ids) for ids, _ in part])
-        ids, w = (np.concatenate(x) for x in zip(*part))
+        reach `least` may be left out."""
+        if queries:
+            yield from self.answers_to(Block.of([len(t) for t, _ in queries], *(np.concatenate(x) for x in zip(*queries))), k, least)
+
+    def answers_to(self, queries: Block, k: int, least: list[float] | None = None):
+        """The same for a block of queries. A slab of them is answered at once."""
+        slab, ids = max(1, min(SLAB, CELLS // (self.n_blocks * self.block))), self.known_terms(queries.names)
+        for at in range(0, queries.n, slab):
+            start = queries.start[at : at + slab + 1]
+            mine = ids[queries.term[start[0] : start[-1]]]
+            of, real = np.repeat(np.arange(len(start) - 1), np.diff(start)), mine >= 0
+            yield from self._slab(len(start) - 1, of[real], mine[real], queries.w[start[0] : start[-1]][real], k, np.array(least[at : at + slab]) if least else np.zeros(len(start) - 1))
+
+    def _slab(self, n_queries: int, of: np.ndarray, ids: np.ndarray, w: np.ndarray, k: int, least: np.ndarray) -> list[list[tuple[int | None, float]]]:
+        """Terms `ids` with weights w belong to queries `of`. Documents of the best blocks by bound are scored first; then
+        those of all other blocks that reach the k-th best."""
         row, width = self.row[ids], self.n_blocks * self.block
         common, rare = row >= 0, row < 0
-        asked = np.zeros((len(part), len(self.wide)))
+        asked = np.zeros((n_queries, len(self.wide)))
         asked[of[common], row[common]] = w[common]
         score = asked @ self.matrix  # what wide terms give to each document
-        blocks = score.reshape(len(part), self.n_blocks, self.block)
+        blocks = score.reshape(n_queries, self.n_blocks, self.block)
         entries, n = self._positions(self.term_start, ids[rare])
         of, w = np.repeat(of[rare], n), np.repeat(w[rare], n)
         cell = of * self.n_blocks + self.block_of[entries]
-        bound = blocks.max(2) + np.bincount(cell, self.block_max[entries] * w, len(part) * self.n_blocks).reshape(len(part), -1)
+        bound = blocks.max(2) + np.bincount(cell, self.block_max[entries] * w, n_queries * self.n_blocks).reshape(n_queries, -1)
         slack = 1e-9 * bound.max(1)
         seen = int(self.df[ids[common]].sum())
         held = seen + int(self.df[ids[rare]].sum())
@@ -214,16 +249,16 @@ class Index:
             return np.partition(rows, -k, axis=1)[:, -k] if rows.shape[1] >= k else np.zeros(len(rows))
 
         step = min(self.n_blocks, max(1, 8 * k // self.block))
-        pivots, each = np.argpartition(-bound, step - 1, axis=1)[:, :step], np.arange(len(part))[:, None]
+        pivots, each = np.argpartition(-bound, step - 1, axis=1)[:, :step], np.arange(n_queries)[:, None]
         reach = lambda: (bound > 0) & (bound >= (least - slack)[:, None])
         first = np.zeros(bound.shape, bool)
         first[each, pivots] = True
         first &= reach()
         seen += scored(first)
-        least = np.maximum(least, kth(np.where(first[each, pivots][:, :, None], blocks[each, pivots], 0.0).reshape(len(part), -1)))
+        least = np.maximum(least, kth(np.where(first[each, pivots][:, :, None], blocks[each, pivots], 0.0).reshape(n_queries, -1)))
         rest = reach() & ~first
         seen += scored(rest)
-        score = np.where((first | rest)[:, :, None], blocks, 0.0).reshape(len(part), width)
+        score = np.where((first | rest)[:, :, None], blocks, 0.0).reshape(n_queries, width)
         least = np.maximum(least, kth(score))
         self.read += seen
         self.skipped += held - seen
@@ -231,27 +266,26 @@ class Index:
         score = np.round(score[query, docs], 9)
         by = np.lexsort((self.ids[docs], ~self.known[docs], -score, query))
         query, docs, score = query[by], docs[by], score[by]
-        start = np.searchsorted(query, np.arange(len(part) + 1))
+        start = np.searchsorted(query, np.arange(n_queries + 1))
         found = [(i if real else None, x) for i, real, x in zip(self.ids[docs].tolist(), self.known[docs].tolist(), score.tolist())]
         return [found[lo : min(hi, lo + k)] for lo, hi in zip(start[:-1].tolist(), start[1:].tolist())]
 
 
 def _answered(block, mean_length: float, k: int):
-    """Rows of the index table: each shard's answers to a broadcast block of queries."""
+    """Rows of the index table: the best answers of their shards together to a broadcast block of queries."""
 
     def apply(batches):
-        ids, start, names, w = block.value
-        reached: list[list[float]] = [[] for _ in ids]  # the k best scores of each query in the shards seen so far
+        ids, asked = block.value
+        best: list[list[tuple[int | None, float]]] = [[] for _ in ids]  # of each query in the shards seen so far
         for b in batches:
             for parts in b.column("parts"):
-                index, out = Index([p.as_buffer() for p in parts], mean_length), []
                 # scores are rounded to 9 digits, so a bound from another shard gets that much room
-                least = [r[k - 1] - 1e-8 if len(r) >= k else 0.0 for r in reached]
-                for i, (q, got) in enumerate(zip(ids.tolist(), index.answers([(names[lo:hi], w[lo:hi]) for lo, hi in zip(start[:-1], start[1:])], k, least))):
-                    reached[i] = sorted(reached[i] + [s for _, s in got], reverse=True)[:k]
-                    out += [(q, d, s) for d, s in got]
-                q, d, s = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["query", "doc_id", "score"])
+                least = [r[-1][1] - 1e-8 if len(r) >= k else 0.0 for r in best]
+                for i, got in enumerate(Index([p.as_buffer() for p in parts], mean_length).answers_to(asked, k, least)):
+                    if got:
+                        best[i] = sorted(best[i] + got, key=lambda r: (-r[1], r[0] is None, r[0]))[:k] if best[i] else got
+        q, d, s = zip(*[(q, d, s) for q, r in zip(ids.tolist(), best) for d, s in r]) if any(best) else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["query", "doc_id", "score"])
 
     return apply
 
@@ -264,26 +298,28 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     with Stash(spark) as stash:
-        stats = stash.put(docs.select("text").mapInArrow(_counted, "t long, n long, len long").groupBy("t").agg(F.sum("n").alias("df"), F.sum("len").alias("len")))
-        whole = stats.where("t = 0").first()
-        n, length = (whole.df, whole.len) if whole else (0, 0)
-        mean = max(1e-9, length / max(n, 1))
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(1, math.ceil(size / shard_bytes))
         placed = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard")
-        index = stash.put(placed.groupBy("shard").applyInArrow(_indexed(mean, BLOCK), "shard int, parts array<binary>"), maxRecordsPerFile=1)
+        index = stash.put(placed.groupBy("shard").applyInArrow(_indexed(None, BLOCK), "shard int, parts array<binary>, counts array<binary>"), maxRecordsPerFile=1)
+        stats = stash.put(index.select("counts").coalesce(math.ceil(shards / 8)).mapInArrow(_counted, "t long, n long, len long").groupBy("t").agg(F.sum("n").alias("df"), F.sum("len").alias("len")))
+        whole = stats.where("t = 0").first()
+        n, length = (whole.df, whole.len) if whole else (0, 0)
+        mean = max(1e-9, length / max(n, 1))
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(_query_terms, "query_id long, t long, qtf long")
         idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         terms_ = asked.join(stats.where("t <> 0").select("t", "df"), "t").groupBy("query_id", "t").agg((F.sum("qtf") * F.first(idf)).alias("w"))
         rows = stash.put(terms_.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("x")).withColumn("query", F.monotonically_increasing_id()))
+        # a task answers for several shards and sends on k rows a query, so those rows do not grow with queries times shards
+        groups = max(1, min(shards, GROUPS * spark.sparkContext.defaultParallelism))
         total = rows.agg(F.sum(16 * F.size("x"))).first()[0] or 0
         blocks, parts = max(1, math.ceil(total / query_bytes)), []
         for i in range(blocks):
             got = rows.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).select("query", F.col("x.t").alias("t"), F.col("x.w").alias("w")).toArrow()
             flat = lambda c, kind: np.asarray(got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), kind) if got.num_rows else np.zeros(0, kind)  # noqa: E731, B023
             lengths = np.array([len(x) for x in got.column("t")], np.int64)
-            block = spark.sparkContext.broadcast((got.column("query").to_numpy(), np.concatenate([[0], lengths.cumsum()]), flat("t", np.int64), flat("w", np.float64)))
-            parts.append(stash.put(index.select("parts").mapInArrow(_answered(block, mean, k), "query long, doc_id long, score double")))
+            block = spark.sparkContext.broadcast((got.column("query").to_numpy(), Block.of(lengths, flat("t", np.int64), flat("w", np.float64))))
+            parts.append(stash.put(index.select("parts").coalesce(groups).mapInArrow(_answered(block, mean, k), "query long, doc_id long, score double")))
             block.destroy()
         best = parts[0]
         for p in parts[1:]:

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -108,6 +109,31 @@ def test_slabs_answer_as_single_queries(monkeypatch):
     assert list(search.Index(table.column("parts")[0].as_py(), 30.0).answers(queries, 7)) == alone
 
 
+def test_search_task_sends_the_best_of_its_shards():
+    """A task sends on k rows a query for all its shards, and their indexes hold what the statistics need."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(90)]
+    ids = [None if i % 30 == 7 else i // 2 for i in range(90)]
+    rows = [search._indexed(None, search.BLOCK)((pa.scalar(i),), pa.table({"doc_id": pa.array(ids[i::3], pa.int64()), "text": texts[i::3]})) for i in range(3)]
+    batch = pa.concat_tables(rows).combine_chunks().to_batches()[0]
+
+    # statistics of all shards come from their indexes
+    held = Counter(k for t in texts for k in set(search.TermHashes().of(t).tolist()))
+    told = list(zip(*(c.to_pylist() for c in pa.Table.from_batches(search._counted(iter([batch]))).columns)))
+    assert {t: n for t, n, _ in told} == held | {0: 90} and sum(x for _, _, x in told) == sum(len(t.split()) for t in texts)
+
+    queries = [(np.unique(search.TermHashes().of(q)), np.arange(1.0, 1 + len(set(q.split())))) for q in ("a b c", "d", "zz", "e f a")]
+    block = SimpleNamespace(value=(np.arange(4) * 10, search.Block.of([len(t) for t, _ in queries], *(np.concatenate(x) for x in zip(*queries)))))
+    got = pa.Table.from_batches(search._answered(block, 5.0, 6)(iter([batch]))).to_pylist()
+    want = []
+    for q, one in enumerate(queries):
+        every = [r for row in rows for r in next(search.Index(row.column("parts")[0].as_py(), 5.0).answers([one], 99))]
+        want += [{"query": 10 * q, "doc_id": d, "score": s} for d, s in sorted(every, key=lambda r: (-r[1], r[0] is None, r[0] or 0))[:6]]
+    assert got == want and len(got) == 18
+
+
 def test_search_edges(spark):
     docs = frame(spark, EDGE)
     q = spark.createDataFrame([(1, None), (2, "zzz unknown"), (3, "same text")], "query_id long, text string")
