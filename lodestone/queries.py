@@ -50,6 +50,11 @@ def facts(spark, d) -> DataFrame:
     return load(spark, d, SPARK_FACTS)
 
 
+def placed_facts(spark, d) -> DataFrame:
+    """Facts with the place of their row in the table, `_file` and `_row`."""
+    return spark.sql(SPARK_FACTS.replace(" FROM lineitem", ", _file, _row FROM {lineitem}"), lineitem=adapters.placed(spark, f"{d}/lineitem.parquet"))
+
+
 def points(spark, d) -> DataFrame:
     return load(spark, d, POINTS)
 
@@ -211,7 +216,7 @@ def catalogue() -> dict[str, tuple]:
     q["a13_fold_marks"] = (lambda s, d: _fold_marks(facts(s, d), trees(), CONTEXT), _F + ", " + _fold_sql(list(MEASURES), _CTX))
     q["flagship_dominant"] = (flagship, _F + ", " + _fold_sql(["total", "weighted", "share_r", "top_flag"], "status = 'O'"))
     q["g01_classify"] = (lambda s, d: marks.classify_frame(facts(s, d), ["flag", "status", "quarter", "zone", "zreal"]), _F + ", p AS (SELECT count(DISTINCT (x, y)) AS n FROM f) " + " UNION ALL ".join(f"SELECT '{c}' AS channel, count(DISTINCT (x, y, {c})) > (SELECT n FROM p) AS per_fact FROM f" for c in ("flag", "status", "quarter", "zone", "zreal")))
-    q["g02_marks"] = (lambda s, d: marks.group(facts(s, d), SUPPLY, ["zone"], ["pk"]).select("x", "y", "zone", "total", "n", "least", "most", "top_flag", F.round(F.col("share_r").cast("double"), 4).alias("share_r"), "n_facts"), _F + ", a AS (SELECT x, y, flag AS top_flag FROM (SELECT x, y, flag, row_number() OVER (PARTITION BY x, y ORDER BY sum(qty) DESC, flag) AS r FROM f GROUP BY x, y, flag) WHERE r = 1) SELECT x, y, first(zone) AS zone, sum(qty)::FLOAT AS total, count(*)::FLOAT AS n, min(qty) AS least, max(qty) AS most, first(top_flag) AS top_flag, round((coalesce(sum(qty) FILTER (WHERE flag = 'R'), 0) / sum(qty))::FLOAT::DOUBLE, 4) AS share_r, count(*) AS n_facts FROM f JOIN a USING (x, y) GROUP BY x, y")
+    q["g02_marks"] = (lambda s, d: marks.group(placed_facts(s, d), SUPPLY, ["zone"], ["_file", "_row"]).select("x", "y", "zone", "total", "n", "least", "most", "top_flag", F.round(F.col("share_r").cast("double"), 4).alias("share_r"), "n_facts"), _F + ", a AS (SELECT x, y, flag AS top_flag FROM (SELECT x, y, flag, row_number() OVER (PARTITION BY x, y ORDER BY sum(qty) DESC, flag) AS r FROM f GROUP BY x, y, flag) WHERE r = 1) SELECT x, y, first(zone) AS zone, sum(qty)::FLOAT AS total, count(*)::FLOAT AS n, min(qty) AS least, max(qty) AS most, first(top_flag) AS top_flag, round((coalesce(sum(qty) FILTER (WHERE flag = 'R'), 0) / sum(qty))::FLOAT::DOUBLE, 4) AS share_r, count(*) AS n_facts FROM f JOIN a USING (x, y) GROUP BY x, y")
     q["g03_effective_view"] = (lambda s, d: s.createDataFrame([(c.name, c.role, c.type) for c in marks.effective_view(SUPPLY, ["zone"]).channels], "name string, role string, type string"), "SELECT * FROM (VALUES ('id', 'identity', 'dict'), ('zone', 'dimension', 'dict'), " + ", ".join(f"('{n}', '{'dimension' if n.endswith('_flag') else 'measure'}', '{'dict' if n.endswith('_flag') else 'f32'}')" for n in MEASURES) + ") t(name, role, type)")
     q["g05_numeric_domain"] = (lambda s, d: domains.numeric(points(s, d), "x").select("min", "max", F.posexplode("quantiles").alias("i", "v")).select("min", "max", "i", F.round("v", 4).alias("v")), f"WITH p AS ({POINTS}), q AS (SELECT min(x)::DOUBLE AS min, max(x)::DOUBLE AS max, quantile_cont(x::DOUBLE, {[i / 128 for i in range(129)]}) AS v FROM p) SELECT min, max, i::INT AS i, round(v[i + 1], 4) AS v FROM q, range(0, 129) r(i)")
     q["g06_distinct_domain"] = (lambda s, d: domains.coded(points(s, d), "priority"), f"WITH p AS ({POINTS}), v AS (SELECT DISTINCT coalesce(priority, 'null') AS value FROM p) SELECT value, (row_number() OVER (ORDER BY value) - 1)::INT AS code FROM v")

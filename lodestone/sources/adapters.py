@@ -36,6 +36,13 @@ def register_tables(spark: SparkSession, folder: str, names) -> None:
         spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(n)
 
 
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with the place of each row in it, `_file` and `_row`, whatever tasks read it: the order of first()."""
+    df = spark.read.parquet(path)
+    at = df.metadataColumn("_metadata")
+    return df.select("*", at["file_path"].alias("_file"), at["row_index"].alias("_row"))
+
+
 def cast(c: Channel, kind: str) -> Column:
     """A channel in its declared type. Unsigned types wrap; dictionaries turn null into the text 'null'."""
     col = F.col(c.column)

@@ -65,3 +65,24 @@ def test_share_between_two_digits(spark, sf_dir, tmp_path, name):
     rel = duckdb.sql(sql.replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet'"))
     at = rel.columns.index("share_r")
     assert sorted(r.share_r for r in run(spark, str(tmp_path)).collect()) == sorted(r[at] for r in rel.fetchall())
+
+
+def test_first_row_of_the_table(spark, shared_dir, tmp_path):
+    """Parts in falling order over two files of several groups: first(zone) is then not the zone of the least part."""
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n in set(Q.TABLES) - {"lineitem"}:
+        (tmp_path / f"{n}.parquet").symlink_to(f"{shared_dir}/{n}.parquet")
+    for i in range(2):
+        duckdb.sql(f"COPY (SELECT * FROM '{shared_dir}/lineitem.parquet' WHERE least(l_partkey % 3, 1) = {i} ORDER BY l_partkey DESC) TO '{tmp_path}/lineitem.parquet/{i}.parquet' (ROW_GROUP_SIZE 2048)")
+    c = duckdb.connect(config={"threads": 1})
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    run, sql = CATALOGUE["g02_marks"]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got = {(r.x, r.y): r.zone for r in run(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    rel = c.sql(sql)
+    x, y, zone = (rel.columns.index(n) for n in ("x", "y", "zone"))
+    assert got == {(r[x], r[y]): r[zone] for r in rel.fetchall()}
