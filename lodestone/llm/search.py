@@ -3,15 +3,17 @@
 Statistics (documents, mean length, document frequency) are global, so scores do not depend on the shards; they are summed
 from the indexes, so every text is read once. A shard holds a bounded number of bytes and is indexed once: the index is a
 table with a row per shard. Documents of a shard are
-ordered by which of its most frequent terms they hold, so neighbours are alike (one language, one template), and cut into
-aligned blocks; every term keeps the blocks that hold it with its largest BM25 weight in each.
-
-Terms that more than DENSE of a shard's documents and more than LEAST of them hold (at most WIDE terms) have little use for blocks: what they give to
-every document is one product of matrices for a slab of queries. To the largest of these sums in a block a query adds the
-block maxima of its other terms. The pivots are the blocks with the largest bounds; their documents are scored in full and
-give the threshold (the k-th best score so far). Blocks whose bound falls below it are skipped with all their postings: no
-document in them can enter; the others are scored in full. So each shard's k best are exact (with all ties), and shards are
-merged by rank. All steps run on a slab of queries at once.
+ordered by likeness (halved again and again by the direction in which they differ most, then by which of the most frequent
+terms they hold), so neighbours are of one language or template, and cut into aligned blocks; every term keeps the blocks
+that hold it with its largest BM25 weight in each. Queries are ordered by likeness as well.
+
+Terms that at most SHORT documents of a shard hold are scored exactly at once, by lists of one length: their blocks hold
+one posting each, so a bound would cost what it saves. Terms that more than DENSE of a block's documents hold (at most WIDE) have their weights in matrices, one for
+each run of blocks. What short lists gave at most in a block and the block maxima of the other terms bound its documents. Queries
+without a threshold first score the blocks with the largest bounds in full and take the k-th best; blocks whose bound falls below
+the threshold are skipped with their postings, and a matrix is multiplied only with the queries that reach it. Products of matrices
+are in f32; documents that reach the threshold within the error of such sums are scored again in f64. So each shard's k best are exact (with
+all ties), and shards are merged by rank. All steps run on a slab of queries at once.
 
 Queries are taken in blocks of about QUERY_BYTES; a block is broadcast and every shard's index read once for it, so
 neither documents nor indexes are shuffled again. GROUPS tasks a core share the shards; a task keeps the k best of its
@@ -26,7 +28,7 @@ null ids last; equal rows are separate results; fewer than k matching rows give
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,11 @@ from pyspark.sql import functions as F
 from .common import Stash, cut
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, LEAST, WIDE, SLAB = 8_000_000, 16_000_000, 16, 24, 400_000, 0.04, 100, 1024, 128
+SHARD_BYTES, QUERY_BYTES, BLOCK, LIKE, FLUSH, DENSE, LEAST, WIDE, SLAB = 8_000_000, 16_000_000, 128, 24, 400_000, 0.05, 16, 2048, 128
+#: Runs of blocks in a shard, and how often its documents, and the queries of a block, are halved by likeness; by so many terms at most.
+CHUNKS, HALVED, FEATURES = 256, 4, 256
+#: The longest list of postings that is scored without regard to blocks.
+SHORT = 128
 #: Tasks a core that answer for all shards to a block of queries.
 GROUPS = 4
 #: Numbers in the dense matrix of a shard, and in an array over a slab of queries and all documents of a shard.
@@ -99,6 +105,34 @@ def _query_terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array([q] * len(t), pa.int64()), pa.array(t), pa.array(n.astype(np.int64))], names=["query_id", "t", "qtf"])
 
 
+def alike(term: np.ndarray, sizes: np.ndarray, n_terms: int) -> np.ndarray:
+    """A number for each text of sizes[i] different terms: texts with near numbers hold the same of the most frequent ones.
+
+    Texts are halved, and the halves again, by the direction in which they differ most, so texts of one language or template
+    come together.
+    """
+    n = len(sizes)
+    top = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[: min(FEATURES, max(8, 4_000_000 // max(n, 1)))]
+    column = np.full(n_terms, -1)
+    column[top] = np.arange(len(top))
+    column = column[term]
+    held = np.zeros((n, len(top)), np.float32)
+    held[np.repeat(np.arange(n), sizes)[column >= 0], column[column >= 0]] = 1
+    held /= np.maximum(np.sqrt(held.sum(1, keepdims=True)), 1)
+    part = np.zeros(n, np.int64)
+    for _ in range(HALVED):
+        part *= 2
+        for p in np.unique(part):
+            mine = np.flatnonzero(part == p)
+            x = held[mine] - held[mine].mean(0)
+            v = x[np.argmax((x * x).sum(1))]
+            for _ in range(12):
+                v = (x @ v) @ x
+                v /= max(float(np.sqrt(v @ v)), 1e-30)
+            part[mine] += x @ v > 0
+    return part
+
+
 def _indexed(_mean_length: float | None, block: int):
     """A row for each shard: its index as arrays of bytes, and its terms with their document frequencies, documents and length.
 
@@ -119,7 +153,7 @@ def _indexed(_mean_length: float | None, block: int):
         bit[top] = 1 << np.arange(len(top))[::-1]
         start = np.concatenate([[0], sizes.cumsum()])
         like = np.array([bit[term[a:b]].sum() for a, b in zip(start, start[1:])], np.int64)
-        order = np.argsort(like, kind="stable")
+        order = np.lexsort((like, alike(term, sizes, len(names))))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         doc, tf, lengths = np.repeat(place, sizes), np.concatenate(counts), np.array([counts[i].sum() for i in order], np.int32)
@@ -158,6 +192,7 @@ class Block:
     names: np.ndarray
     term: np.ndarray
     w: np.ndarray
+    cut: dict = field(default_factory=dict)
 
     @staticmethod
     def of(lengths, terms_: np.ndarray, w: np.ndarray) -> Block:
@@ -168,6 +203,17 @@ class Block:
     def n(self) -> int:
         return len(self.start) - 1
 
+    def slabs(self, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each `size` queries the query, the term and the weight of their terms, by term: equal lists of postings are then read together."""
+        if size not in self.cut:
+            self.cut.clear()
+            self.cut[size] = out = []
+            for at in range(0, self.n, size):
+                start = self.start[at : at + size + 1]
+                by = np.argsort(self.term[start[0] : start[-1]], kind="stable")
+                out.append((np.repeat(np.arange(len(start) - 1), np.diff(start))[by], self.term[start[0] : start[-1]][by], self.w[start[0] : start[-1]][by]))
+        return self.cut[size]
+
 
 class Index:
     """Index of one shard: per term its entries (block, largest weight), per entry its postings (document, weight)."""
@@ -179,19 +225,44 @@ class Index:
         self.n_blocks = self.n_docs // block + 1
         self.weight = weights(tf, lengths[self.docs], mean_length)
         self.block_max = np.maximum.reduceat(self.weight, self.entry_start[:-1]) if len(self.docs) else np.zeros(0)
-        df = self.entry_start[self.term_start[1:]] - self.entry_start[self.term_start[:-1]]
-        wide = np.argsort(-df, kind="stable")[: min(WIDE, MATRIX // (self.n_blocks * block))]
-        self.wide = np.sort(wide[df[wide] > max(DENSE * self.n_docs, LEAST)])
-        #: Row of the dense matrix of each term, -1 for terms that keep their blocks.
-        self.row = np.full(len(self.names), -1)
+        self.df = self.entry_start[self.term_start[1:]] - self.entry_start[self.term_start[:-1]]
+        #: Row in the chunks' matrices of each wide term, -1 for terms that keep their blocks.
+        self.row = np.full(len(self.names), -1, np.int32)
+        self.wide = self._wide()
         self.row[self.wide] = np.arange(len(self.wide))
-        self.matrix = np.zeros((len(self.wide), self.n_blocks * block))
-        at, n = self._positions(self.entry_start[self.term_start], self.wide)
-        self.matrix[np.repeat(np.arange(len(self.wide)), n), self.docs[at]] = self.weight[at]
-        self.df = df
+        self._chunks()
         #: Postings of queries' terms that were scored, and that lay in skipped blocks.
         self.read = self.skipped = 0
 
+    def _wide(self) -> np.ndarray:
+        """Terms that many documents of some block hold."""
+        if not len(self.names):
+            return np.zeros(0, np.int64)
+        most = np.maximum.reduceat(np.diff(self.entry_start), self.term_start[:-1])
+        wide = np.flatnonzero((most > DENSE * self.block) & (self.df > LEAST))
+        return np.sort(wide[np.argsort(-self.df[wide], kind="stable")[: min(WIDE, MATRIX // (self.n_blocks * self.block))]])
+
+    def _chunks(self) -> None:
+        """For each run of blocks the wide terms that occur in it and their weights in its documents; and for all wide terms, by block, the largest weight."""
+        self.per = -(-self.n_blocks // CHUNKS)
+        n, width = -(-self.n_blocks // self.per), self.per * self.block
+        at, k = self._positions(self.entry_start[self.term_start], self.wide)
+        row, docs = np.repeat(np.arange(len(self.wide)), k), self.docs[at]
+        chunk = docs // width
+        #: Postings of a wide term in a chunk.
+        self.held = np.bincount(row * n + chunk, minlength=len(self.wide) * n).reshape(-1, n)
+        self.highest = np.zeros((len(self.wide), self.n_blocks))
+        entries, k = self._positions(self.term_start, self.wide)
+        np.maximum.at(self.highest, (np.repeat(np.arange(len(self.wide)), k), self.block_of[entries]), self.block_max[entries])
+        self.rows, self.matrices = [np.flatnonzero(h) for h in self.held.T], []
+        by = np.argsort(chunk, kind="stable")
+        ends = np.searchsorted(chunk[by], np.arange(n + 1))
+        for i, rows in enumerate(self.rows):
+            mine = by[ends[i] : ends[i + 1]]
+            m = np.zeros((len(rows), min(width, self.n_blocks * self.block - i * width)))
+            m[np.searchsorted(rows, row[mine]), docs[mine] - i * width] = self.weight[at[mine]]
+            self.matrices.append((m.astype(np.float32), m))
+
     @staticmethod
     def _positions(start, ids):
         """All positions from start[i] to start[i + 1] for some i, and how many there are for each."""
@@ -212,58 +283,106 @@ class Index:
             yield from self.answers_to(Block.of([len(t) for t, _ in queries], *(np.concatenate(x) for x in zip(*queries))), k, least)
 
     def answers_to(self, queries: Block, k: int, least: list[float] | None = None):
-        """The same for a block of queries. A slab of them is answered at once."""
+        """The same for a block of queries. A slab of them is answered at once; best if queries that are alike come together."""
         slab, ids = max(1, min(SLAB, CELLS // (self.n_blocks * self.block))), self.known_terms(queries.names)
-        for at in range(0, queries.n, slab):
-            start = queries.start[at : at + slab + 1]
-            mine = ids[queries.term[start[0] : start[-1]]]
-            of, real = np.repeat(np.arange(len(start) - 1), np.diff(start)), mine >= 0
-            yield from self._slab(len(start) - 1, of[real], mine[real], queries.w[start[0] : start[-1]][real], k, np.array(least[at : at + slab]) if least else np.zeros(len(start) - 1))
+        for at, (of, term, w) in zip(range(0, queries.n, slab), queries.slabs(slab)):
+            n, mine = min(slab, queries.n - at), ids[term]
+            real = np.flatnonzero(mine >= 0)
+            yield from self._slab(n, of[real], mine[real], w[real], k, np.array(least[at : at + slab]) if least else np.zeros(n))
+
+    def _short(self, n_queries: int, of: np.ndarray, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What terms that few documents hold give to each document: all postings, by lists of one length."""
+        width, n = self.n_blocks * self.block, self.df[ids]
+        if not len(ids):
+            return np.zeros((n_queries, width))
+        by = np.argsort(n.astype(np.int16), kind="stable")
+        n, first, base, w = n[by], self.entry_start[self.term_start[ids[by]]].astype(np.int64), of[by] * width, w[by]
+        cells, parts, at = np.empty(n.sum(), np.int64), np.empty(n.sum()), 0
+        cuts = np.searchsorted(n, np.arange(SHORT + 2))
+        for k in range(1, SHORT + 1):
+            lo, hi = cuts[k], cuts[k + 1]
+            if lo < hi:
+                where = first[lo:hi, None] + np.arange(k)
+                end = at + where.size
+                np.add(self.docs[where], base[lo:hi, None], out=cells[at:end].reshape(-1, k))
+                np.multiply(self.weight[where], w[lo:hi, None], out=parts[at:end].reshape(-1, k))
+                at = end
+        return np.bincount(cells, parts, n_queries * width).reshape(n_queries, width)
 
     def _slab(self, n_queries: int, of: np.ndarray, ids: np.ndarray, w: np.ndarray, k: int, least: np.ndarray) -> list[list[tuple[int | None, float]]]:
-        """Terms `ids` with weights w belong to queries `of`. Documents of the best blocks by bound are scored first; then
-        those of all other blocks that reach the k-th best."""
-        row, width = self.row[ids], self.n_blocks * self.block
-        common, rare = row >= 0, row < 0
+        """Terms `ids` with weights w belong to queries `of`. Terms with short lists are scored at once. Queries without a
+        threshold then score the documents of their best blocks by bound and take the k-th best; of the others, all blocks
+        that reach the threshold are scored. What wide terms give is first taken in f32; documents that reach the threshold
+        by that get it in f64."""
+        width, per = self.n_blocks * self.block, self.per * self.block
+        row, n = self.row[ids], self.df[ids]
+        common = row >= 0
+        short = ~common & (n <= SHORT)
         asked = np.zeros((n_queries, len(self.wide)))
         asked[of[common], row[common]] = w[common]
-        score = asked @ self.matrix  # what wide terms give to each document
-        blocks = score.reshape(n_queries, self.n_blocks, self.block)
-        entries, n = self._positions(self.term_start, ids[rare])
-        of, w = np.repeat(of[rare], n), np.repeat(w[rare], n)
-        cell = of * self.n_blocks + self.block_of[entries]
-        bound = blocks.max(2) + np.bincount(cell, self.block_max[entries] * w, n_queries * self.n_blocks).reshape(n_queries, -1)
-        slack = 1e-9 * bound.max(1)
-        seen = int(self.df[ids[common]].sum())
-        held = seen + int(self.df[ids[rare]].sum())
+        rough = np.ascontiguousarray(asked.T, np.float32)
+        held, seen = int(n.sum()), int(n[short].sum())
+        exact = self._short(n_queries, of[short], ids[short], w[short])
+        bound = asked @ self.highest + exact.reshape(n_queries, self.n_blocks, self.block).max(2)
+        long = ~common & ~short
+        if any_long := bool(long.any()):
+            entries, n = self._positions(self.term_start, ids[long])
+            of, w = np.repeat(of[long], n), np.repeat(w[long], n)
+            cell = of * self.n_blocks + self.block_of[entries]
+            bound += np.bincount(cell, self.block_max[entries] * w, bound.size).reshape(bound.shape)
+        # sums of f32 are off by less than this
+        slack = (len(self.wide) + 8) * 2.0**-24 * bound.max(1)
+        score, done = [], np.zeros((n_queries, len(self.rows)), bool)  # chunk, queries, f32 sums of wide terms
+        postings = (asked != 0) @ self.held.astype(np.float64)
 
         def scored(chosen):
-            """Adds the rare terms' part to the documents of chosen blocks; the number of postings."""
-            open_ = np.flatnonzero(chosen.reshape(-1)[cell])
-            where, n = self._positions(self.entry_start, entries[open_])
-            flat = score.reshape(-1)
-            flat += np.bincount(np.repeat(of[open_] * width, n) + self.docs[where], self.weight[where] * np.repeat(w[open_], n), len(flat))
-            return len(where)
-
-        def kth(rows):
-            return np.partition(rows, -k, axis=1)[:, -k] if rows.shape[1] >= k else np.zeros(len(rows))
-
-        step = min(self.n_blocks, max(1, 8 * k // self.block))
-        pivots, each = np.argpartition(-bound, step - 1, axis=1)[:, :step], np.arange(n_queries)[:, None]
+            """Scores the documents of chosen blocks, wide terms for whole chunks; the number of postings."""
+            number = 0
+            if any_long and len(open_ := np.flatnonzero(chosen.reshape(-1)[cell])):
+                where, n = self._positions(self.entry_start, entries[open_])
+                flat = exact.reshape(-1)
+                flat += np.bincount(np.repeat(of[open_] * width, n) + self.docs[where], self.weight[where] * np.repeat(w[open_], n), len(flat))
+                number = len(where)
+            todo = np.logical_or.reduceat(chosen, np.arange(0, self.n_blocks, self.per), axis=1) & ~done
+            done[todo] = True
+            for i in np.flatnonzero(todo.any(0)):
+                mine = np.flatnonzero(todo[:, i])
+                terms_ = rough[self.rows[i]]
+                score.append((i, mine, (terms_ if len(mine) == n_queries else terms_[:, mine]).T @ self.matrices[i][0]))
+            return number + int(postings[todo].sum())
+
+        def sums(i, mine, x):
+            return x + (exact[:, i * per : (i + 1) * per] if len(mine) == n_queries else exact[mine, i * per : (i + 1) * per])
+
+        def raise_():
+            """New queries get the k-th best of the documents scored so far as their threshold."""
+            if len(new) and width >= k:
+                have = np.zeros((n_queries, width))
+                for i, mine, x in score:
+                    have[mine, i * per : (i + 1) * per] = sums(i, mine, x)
+                least[new] = np.maximum(np.partition(have[new], -k, axis=1)[:, -k] - slack[new], 0)
+
         reach = lambda: (bound > 0) & (bound >= (least - slack)[:, None])
-        first = np.zeros(bound.shape, bool)
-        first[each, pivots] = True
-        first &= reach()
-        seen += scored(first)
-        least = np.maximum(least, kth(np.where(first[each, pivots][:, :, None], blocks[each, pivots], 0.0).reshape(n_queries, -1)))
-        rest = reach() & ~first
-        seen += scored(rest)
-        score = np.where((first | rest)[:, :, None], blocks, 0.0).reshape(n_queries, width)
-        least = np.maximum(least, kth(score))
+        first, new = np.zeros(bound.shape, bool), np.flatnonzero(least <= 0)
+        if len(new):
+            step = min(self.n_blocks, max(1, 8 * k // self.block))
+            first[new[:, None], np.argpartition(-bound[new], step - 1, axis=1)[:, :step]] = True
+            first &= reach()
+            seen += scored(first)
+            raise_()
+        seen += scored(reach() & ~first)
+        raise_()
         self.read += seen
         self.skipped += held - seen
-        query, docs = np.nonzero((score > 0) & (score >= (least - slack)[:, None]))
-        score = np.round(score[query, docs], 9)
+        found, floor = [], np.maximum(least - slack, 0)[:, None]
+        for i, mine, x in score:
+            query, docs = np.nonzero(sums(i, mine, x) > floor[mine])
+            for j in range(0, len(query), 256):
+                q, at = mine[query[j : j + 256]], docs[j : j + 256]
+                part = np.einsum("ij,ij->i", asked[np.ix_(q, self.rows[i])], self.matrices[i][1][:, at].T)
+                found.append((q, at + i * per, exact[q, at + i * per] + part))
+        query, docs, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        score = np.round(score, 9)
         by = np.lexsort((self.ids[docs], ~self.known[docs], -score, query))
         query, docs, score = query[by], docs[by], score[by]
         start = np.searchsorted(query, np.arange(n_queries + 1))
@@ -318,6 +437,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
             got = rows.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).select("query", F.col("x.t").alias("t"), F.col("x.w").alias("w")).toArrow()
             flat = lambda c, kind: np.asarray(got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), kind) if got.num_rows else np.zeros(0, kind)  # noqa: E731, B023
             lengths = np.array([len(x) for x in got.column("t")], np.int64)
+            at = np.unique(flat("t", np.int64), return_inverse=True)[1]
+            got = got.take(pa.array(np.argsort(alike(at, lengths, at.max(initial=0) + 1), kind="stable")))
+            lengths = np.array([len(x) for x in got.column("t")], np.int64)
             block = spark.sparkContext.broadcast((got.column("query").to_numpy(), Block.of(lengths, flat("t", np.int64), flat("w", np.float64))))
             parts.append(stash.put(index.select("parts").coalesce(groups).mapInArrow(_answered(block, mean, k), "query long, doc_id long, score double")))
             block.destroy()

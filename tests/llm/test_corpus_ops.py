@@ -88,6 +88,22 @@ def test_blocks_are_skipped_and_results_stay(monkeypatch, wide):
     assert skipped > 1000
 
 
+def test_wide_terms_skip_blocks_of_other_languages():
+    """A term of all documents is read only where the query's other terms are; documents and queries that are alike come together."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = [f"shared {' '.join(f'{side}{int(r.paretovariate(0.7)) % 300}' for _ in range(40))}" for side in "ab" for _ in range(600)]
+    r.shuffle(texts)
+    table = search._indexed(30.0, search.BLOCK)((pa.scalar(0),), pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}))
+    index, hashes = search.Index(table.column("parts")[0].as_py(), 30.0), search.TermHashes()
+    queries = [(np.unique(hashes.of(t)), np.ones(len(np.unique(hashes.of(t))))) for t in texts[:40]]
+    got = list(index.answers(queries, 10))
+    index.read = index.skipped = 0
+    assert list(index.answers(queries, 10, [a[-1][1] for a in got])) == got
+    assert index.skipped > 40 * 400
+
+
 def test_slabs_answer_as_single_queries(monkeypatch):
     """Queries answered together get what each gets alone, in slabs of any size, with thresholds of their own."""
     import pyarrow as pa
