@@ -64,8 +64,8 @@ def trees(*names):
 
 
 def mark_table(spark, d) -> DataFrame:
-    """One row per place with a square shape as large as its zreal says; where parts share a place, the first has the zone."""
-    m = facts(spark, d).groupBy("x", "y").agg(F.min_by("zone", "pk").alias("zone"), F.min("zreal").alias("zreal"), F.sum("qty").cast("float").alias("total"), F.min("flag").alias("lowest_flag"))
+    """One row per place with a square shape as large as its zreal says; where parts share a place, the first row of the table has the zone."""
+    m = placed_facts(spark, d).groupBy("x", "y").agg(F.min_by("zone", F.struct("_file", "_row")).alias("zone"), F.min("zreal").alias("zreal"), F.sum("qty").cast("float").alias("total"), F.min("flag").alias("lowest_flag"))
     return m
 
 

@@ -86,3 +86,16 @@ def test_first_row_of_the_table(spark, shared_dir, tmp_path):
     rel = c.sql(sql)
     x, y, zone = (rel.columns.index(n) for n in ("x", "y", "zone"))
     assert got == {(r[x], r[y]): r[zone] for r in rel.fetchall()}
+
+
+def test_first_row_is_in_the_pyramid(spark, shared_dir, tmp_path):
+    """The same for b05_aggregate: parts in falling order, so that a place's first row is not of its least part."""
+    for n in set(Q.TABLES) - {"lineitem"}:
+        (tmp_path / f"{n}.parquet").symlink_to(f"{shared_dir}/{n}.parquet")
+    duckdb.sql(f"COPY (SELECT * FROM '{shared_dir}/lineitem.parquet' ORDER BY l_partkey DESC) TO '{tmp_path}/lineitem.parquet' (ROW_GROUP_SIZE 2048)")
+    c = duckdb.connect(config={"threads": 1})
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    run, sql = CATALOGUE["b05_aggregate"]
+    df, rel = run(spark, str(tmp_path)), c.sql(sql)
+    at = [rel.columns.index(n) for n in df.columns]
+    assert sorted(tuple(map(plain, r)) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
