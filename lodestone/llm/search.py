@@ -2,18 +2,19 @@
 
 Statistics (documents, mean length, document frequency) are global, so scores do not depend on the shards; they are summed
 from the indexes, so every text is read once. A shard holds a bounded number of bytes and is indexed once: the index is a
-table with a row per shard. Documents of a shard are
-ordered by likeness (halved again and again by the direction in which they differ most, then by which of the most frequent
-terms they hold), so neighbours are of one language or template, and cut into aligned blocks; every term keeps the blocks
-that hold it with its largest BM25 weight in each. Queries are ordered by likeness as well.
-
-Terms that at most SHORT documents of a shard hold are scored exactly at once, by lists of one length: their blocks hold
-one posting each, so a bound would cost what it saves. Terms that more than DENSE of a block's documents hold (at most WIDE) have their weights in matrices, one for
-each run of blocks. What short lists gave at most in a block and the block maxima of the other terms bound its documents. Queries
-without a threshold first score the blocks with the largest bounds in full and take the k-th best; blocks whose bound falls below
-the threshold are skipped with their postings, and a matrix is multiplied only with the queries that reach it. Products of matrices
-are in f32; documents that reach the threshold within the error of such sums are scored again in f64. So each shard's k best are exact (with
-all ties), and shards are merged by rank. All steps run on a slab of queries at once.
+table with a row per shard. Documents of a shard are ordered by likeness (halved again and again by the direction in which
+they differ most, then by which of the most frequent terms they hold), so neighbours are of one language or template, and
+cut into aligned blocks; every term keeps the blocks that hold it with its largest BM25 weight in each. Queries are ordered
+by likeness as well.
+
+Terms that at most SHORT documents of a shard hold are scored at once, by lists of one length: nearly every block holds one
+posting of them, so a bound would cost what it saves. Terms that more than DENSE of a block's documents and more than LEAST
+of the shard's hold (at most WIDE terms) have their weights in matrices, one for each run of blocks. A block is bounded by
+the most that short lists gave in it and by the block maxima of the other terms. Queries without a threshold first score the
+blocks with the largest bounds in full and take the k-th best score so far. Blocks whose bound falls below the threshold are
+skipped with their postings, and a matrix is multiplied only with the queries that reach it; the others are scored in full.
+These products are in f32; documents that reach the threshold within the error of such sums are scored again in f64. So each
+shard's k best are exact (with all ties), and shards are merged by rank. All steps run on a slab of queries at once.
 
 Queries are taken in blocks of about QUERY_BYTES; a block is broadcast and every shard's index read once for it, so
 neither documents nor indexes are shuffled again. GROUPS tasks a core share the shards; a task keeps the k best of its
